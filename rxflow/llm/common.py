@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch. Texts may be long, so batches are kept short: 256 texts of
 #: 100 KB are 25 MB, which a Python worker holds easily.
@@ -71,7 +72,7 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str, most: int = BROADCAST_ROW
     return df.join(side, on, "left_semi")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` of a function of one batch; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
