@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxflow.llm import bpe, packing, personal, quality, records, toxicity
+from rxflow.llm import bpe, ngram_join, packing, personal, quality, records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_byte_bpe": bpe.query,
         "op3_toxicity": toxicity.query,
         "op5_binary_records": records.query,
+        "op7_ngram_join": ngram_join.query,
         "op8_packing": packing.query,
         "op9_quality_rules": quality.query,
         "op10_personal_data": personal.query,
