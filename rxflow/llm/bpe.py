@@ -13,7 +13,8 @@ table gives an empty result; only ``doc_id`` and ``text`` are read, whatever els
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Mapping
+from array import array
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -79,29 +80,22 @@ def merge(piece: bytes, ranks: Mapping[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Texts to ids and back, by a vocabulary file of ranks and a splitting pattern.
-
-    Ids of pieces are remembered, at most ``vocab.CACHE_WORDS`` of them.
-    """
+    """Texts to ids and back, by a vocabulary file of ranks and a splitting pattern (None: the public one)."""
 
     def __init__(self, path: str, pattern: str | None = None):
         self.ranks = vocab.ranks_of(path)
         self.pieces = vocab.bytes_of(path)
-        self.find = (vocab.splitter(pattern) if pattern else vocab.splitter()).findall
-        self.known: dict[str, bytes] = {}
+        self.words = vocab.Words(self._merged, vocab.splitter(pattern).findall if pattern else vocab.split)
+
+    def _merged(self, new: list[str]) -> list[bytes]:
+        return [array("I", merge(w.encode(), self.ranks)).tobytes() for w in new]
+
+    def encode_all(self, batch: list[str]) -> Iterator[np.ndarray]:
+        for ids in self.words.ids(batch):
+            yield np.frombuffer(ids, "<u4")
 
     def encode(self, text: str) -> np.ndarray:
-        known, words = self.known, self.find(text)
-        try:
-            found = [known[w] for w in words]
-        except KeyError:
-            if len(known) > vocab.CACHE_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(merge(w.encode(), self.ranks), "<u4").tobytes()
-            found = [known[w] for w in words]
-        return np.frombuffer(b"".join(found), "<u4")
+        return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         pieces = self.pieces
@@ -124,7 +118,7 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(path, pattern)
-        ids = [e.encode(t).astype(np.int32) for t in texts(batch["text"])]
+        ids = [x.astype(np.int32) for x in e.encode_all(texts(batch["text"]))]
         return pa.record_batch([batch["doc_id"].cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>")
@@ -152,8 +146,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str | None = None) -> DataFr
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(path, pattern)
         n, sums, back = [], [], []
-        for t in texts(batch["text"]):
-            ids = e.encode(t)
+        for ids in e.encode_all(texts(batch["text"])):
             n.append(len(ids))
             sums.append(hashlib.sha256(ids).hexdigest())
             back.append(hashlib.sha256(e.decode(ids.tolist())).hexdigest())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.llm import vocab
-from rxflow.llm.common import map_arrow, shared_dir, stored, table, texts, tune
+from rxflow.llm.common import map_arrow, shared_dir, table, texts, tune
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qQB")
@@ -77,7 +77,10 @@ def unpack(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0) -> DataFrame:
-    """Write the ids of every text, in ascending doc_id order, and the index; return the index."""
+    """Write the ids of every text, in ascending doc_id order; read the files back and write the index; return it.
+
+    The index also holds ``n_tokens``, ``ids_crc32`` and ``position`` of each record.
+    """
     spark = docs.sparkSession
     tune(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -93,7 +96,7 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0) -> DataF
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), "text")
     map_arrow(rows, run, "frame binary").select(F.col("frame").cast("string")).write.text(f"{path}/data", lineSep=END.decode())
-    index = read(spark, path).select("file", "doc_id", "offset", "length")
+    index = read(spark, path)
     index.write.parquet(f"{path}/index")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
@@ -134,6 +137,5 @@ def starts(records: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark)
-    write(table(spark, sf_dir, "documents"), path, vocab.vocab_file("byte_bpe_50k.json"))
-    return starts(stored(read(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    index = write(table(spark, sf_dir, "documents"), shared_dir(spark), vocab.vocab_file("byte_bpe_50k.json"))
+    return starts(index).select("doc_id", "start", "n_tokens", "ids_crc32")
