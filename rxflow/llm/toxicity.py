@@ -18,6 +18,7 @@ both classes every score is 0; repeated rows are scored each.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +32,7 @@ from rxflow.llm import vocab
 from rxflow.llm.common import map_arrow, stored, table, texts, tune
 
 #: Labelled texts of each class that the models are fitted on, at most.
-SAMPLE = 10_000
+SAMPLE = 4_000
 ORDER, SHARED = 6, 3
 DISCOUNT = 0.75
 THRESHOLD = 0.7
@@ -39,7 +40,7 @@ THRESHOLD = 0.7
 STRONG = 1.0
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray, order: int) -> np.ndarray:
@@ -60,15 +61,15 @@ def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, at, word
 
 
-def _grams(flat: np.ndarray) -> list[np.ndarray]:
-    """For each order the hash of the letters up to each place; order 0 is the empty one."""
-    out, total, power = [np.zeros(len(flat), np.uint64)], np.zeros(len(flat), np.uint64), np.uint64(1)
-    for n in range(ORDER):
-        total = total.copy()
-        total[n:] += (flat[: len(flat) - n] + np.uint64(1)) * power
-        power *= _BASE
-        out.append(_mix(total, n + 1))
-    return out
+def _grams(flat: np.ndarray, at: np.ndarray, most: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order from 1 the hashes of the letters up to each place, and of its context."""
+    total, context, power = np.zeros(len(flat), np.uint64), np.zeros(len(at), np.uint64), 1
+    for n in range(most):
+        total[n:] += (flat[: len(flat) - n] + np.uint64(1)) * np.uint64(power)
+        power = power * _BASE % 2**64
+        mixed = _mix(total, n + 1)
+        yield mixed[at], context
+        context = mixed[at - 1]
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
@@ -87,6 +88,10 @@ class Level:
     contexts: np.ndarray
     left: np.ndarray
 
+    def up(self, gram: np.ndarray, context: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of this order from those of the order below."""
+        return _find(self.grams, self.shares, gram, 0.0) + _find(self.contexts, self.left, context, 1.0) * p
+
     @staticmethod
     def of(gram: np.ndarray, context: np.ndarray, count: np.ndarray) -> Level:
         """From distinct grams with their contexts and counts."""
@@ -97,56 +102,52 @@ class Level:
         return Level(gram[order], ((count - DISCOUNT) / totals[of])[order], keys, DISCOUNT * types / totals)
 
 
-def _counted(gram: np.ndarray, context: np.ndarray, weight: np.ndarray):
+def _counted(gram: np.ndarray, context: np.ndarray, weight: np.ndarray | None = None) -> Level:
+    """The level of grams that stand in some places, each of a weight."""
     keys, first, of = np.unique(gram, return_index=True, return_inverse=True)
-    return keys, context[first], np.bincount(of, weight, len(keys)), first
+    return Level.of(keys, context[first], np.bincount(of, weight, len(keys)))
+
+
+def _continued(grams: Iterator[tuple[np.ndarray, np.ndarray]], orders: range, top: np.ndarray | None = None) -> list[Level]:
+    """Levels by continuation counts: in how many distinct longer grams a gram ends. top: the weights of the last one's places."""
+    out: list[Level] = []
+    last = None
+    for n, (gram, context) in enumerate(grams, 1):
+        if last is not None and n - 1 in orders:
+            first = np.unique(gram, return_index=True)[1]
+            out.append(_counted(last[0][first], last[1][first]))
+        last = gram, context
+    if top is not None:
+        out.append(_counted(*last, top))
+    return out
 
 
 class Model:
     """The two models; ``shared`` holds the orders up to SHARED, ``own[c]`` those above of class c."""
 
     def __init__(self, counts: list[dict[str, int]]):
-        self.shared: list[Level] = []
-        self.own: list[list[Level]] = [[], []]
-        words = [list(c) for c in counts]
-        every = sorted({*words[0], *words[1]})
+        every = sorted({*counts[0], *counts[1]})
         flat, at, _ = _letters(every)
-        grams = _grams(flat)
-        for n in range(1, SHARED + 1):  # continuation counts: in how many longer grams a gram ends
-            longer, first = np.unique(grams[n + 1][at], return_index=True)
-            gram, context = grams[n][at][first], grams[n - 1][at - 1][first]
-            keys, context, count, _ = _counted(gram, context, np.ones(len(longer)))
-            self.shared.append(Level.of(keys, context, count))
+        self.shared = _continued(_grams(flat, at, SHARED + 1), range(1, SHARED + 1))
+        self.own = []
         for c in (0, 1):
-            flat, at, word = _letters(words[c])
-            grams, times = _grams(flat), np.fromiter(counts[c].values(), np.float64, len(words[c]))
-            for n in range(SHARED + 1, ORDER + 1):
-                if n == ORDER:
-                    keys, context, count, _ = _counted(grams[n][at], grams[n - 1][at - 1], times[word])
-                else:
-                    _, first = np.unique(grams[n + 1][at], return_index=True)
-                    keys, context, count, _ = _counted(grams[n][at][first], grams[n - 1][at - 1][first], np.ones(len(first)))
-                self.own[c].append(Level.of(keys, context, count))
+            flat, at, word = _letters(list(counts[c]))
+            times = np.fromiter(counts[c].values(), np.float64, len(counts[c]))[word]
+            self.own.append(_continued(_grams(flat, at), range(SHARED + 1, ORDER), times))
         self.bottom = 1.0 / max(2, len(self.shared[0].grams) + 1)
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """For each word, the toxic less the ordinary log-likelihood."""
         flat, at, word = _letters(words)
-        grams = _grams(flat)
         p = np.full(len(at), self.bottom)
-
-        def up(level: Level, n: int, p: np.ndarray) -> np.ndarray:
-            return _find(level.grams, level.shares, grams[n][at], 0.0) + _find(level.contexts, level.left, grams[n - 1][at - 1], 1.0) * p
-
-        for n, level in enumerate(self.shared, 1):
-            p = up(level, n, p)
-        logs = []
-        for levels in self.own:
-            q = p
-            for n, level in enumerate(levels, SHARED + 1):
-                q = up(level, n, q)
-            logs.append(np.log(q))
-        return np.bincount(word, logs[1] - logs[0], len(words))
+        both = [p, p]
+        for n, (gram, context) in enumerate(_grams(flat, at), 1):
+            if n <= SHARED:
+                p = self.shared[n - 1].up(gram, context, p)
+                both = [p, p]
+            else:
+                both = [self.own[c][n - SHARED - 1].up(gram, context, both[c]) for c in (0, 1)]
+        return np.bincount(word, np.log(both[1] / both[0]), len(words))
 
 
 class Scorer:
