@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxflow.llm import bpe, ngram_join, packing, personal, quality, records, toxicity
+from rxflow.llm import bpe, html, neighbours, ngram_join, packing, personal, quality, records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,7 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": bpe.query,
+        "op2_neighbours": neighbours.query,
         "op3_toxicity": toxicity.query,
+        "op4_html_main_text": html.query,
         "op5_binary_records": records.query,
         "op7_ngram_join": ngram_join.query,
         "op8_packing": packing.query,
