@@ -85,7 +85,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str | None = None):
         self.ranks = vocab.ranks_of(path)
         self.pieces = vocab.bytes_of(path)
-        self.words = vocab.Words(self._merged, vocab.splitter(pattern).findall if pattern else vocab.split)
+        self.words = vocab.Words(self._merged, vocab.splitter(pattern).findall if pattern else vocab.split, chunked=pattern is None)
 
     def _merged(self, new: list[str]) -> list[bytes]:
         return [array("I", merge(w.encode(), self.ranks)).tobytes() for w in new]

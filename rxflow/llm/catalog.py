@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxflow.llm import bpe, html, neighbours, ngram_join, packing, personal, quality, records, toxicity
+from rxflow.llm import bpe, html, neighbours, ngram_join, packing, personal, quality, records, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": toxicity.query,
         "op4_html_main_text": html.query,
         "op5_binary_records": records.query,
+        "op6_url_filter": urls.query,
         "op7_ngram_join": ngram_join.query,
         "op8_packing": packing.query,
         "op9_quality_rules": quality.query,

@@ -72,6 +72,13 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: str, most: int = BROADCAST_ROW
     return df.join(side, on, "left_semi")
 
 
+def drop_keys(df: DataFrame, keys: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is not in ``keys``, likewise; rows without a key stay."""
+    keys = keys.select(on)
+    side = F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
+    return df.join(side, on, "left_anti")
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` of a function of one batch; empty batches are skipped."""
 

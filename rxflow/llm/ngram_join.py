@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxflow.llm import vocab
-from rxflow.llm.common import keep_keys, map_arrow, stored, table, texts, tune
+from rxflow.llm.common import drop_keys, keep_keys, map_arrow, stored, table, texts, tune
 from rxflow.llm.graph import components
 
 WORDS = 5
@@ -311,5 +311,20 @@ def classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` of which each stands for its component: that of the smallest doc_id.
+
+    Of rows that share a doc_id the smallest stays; rows without doc_id stay.
+    """
+    named = stored(classes(docs).select("doc_id", "component_id"))
+    gone = stored(named.where("doc_id <> component_id").select("doc_id").distinct())
+    twice = stored(named.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = drop_keys(docs, gone, "doc_id")
+    if twice.isEmpty():
+        return left
+    least = keep_keys(left, twice, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return drop_keys(left, twice, "doc_id").unionByName(least)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -17,7 +17,6 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rxflow.llm.common import map_arrow, table, texts, tune
 
@@ -113,6 +112,26 @@ def measure(text: str, min_words: int = MIN_WORDS) -> tuple[int, int, int, int,
     return (len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)), again, repeated_windows(ids), *repetition(ids, min_words))
 
 
+def passed(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    tune(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([kept(measure(t, min_words), max_covered, max_longest) for t in texts(batch.column(at))], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
+def kept(measures: tuple[int, ...], max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> bool:
+    n, _, _, _, again, covered, longest = measures
+    return not base_failed(n, again) and covered <= max_covered * n and longest <= max_longest
+
+
 def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The measures, ``base_failed`` and ``kept`` of every text."""
     tune(docs.sparkSession)
@@ -120,12 +139,12 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [measure(t, min_words) for t in texts(batch["text"])]
-        return pa.record_batch([batch["doc_id"].cast(pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*rows))], ["doc_id", *names])
+        verdicts = [[base_failed(r[0], r[4]) for r in rows], [kept(r, max_covered, max_longest) for r in rows]]
+        cols = [*(pa.array(x, pa.int64()) for x in zip(*rows)), *(pa.array(x, pa.bool_()) for x in verdicts)]
+        return pa.record_batch([batch["doc_id"].cast(pa.int64()), *cols], ["doc_id", *names, "base_failed", "kept"])
 
-    rows = map_arrow(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = (F.col("n_covered") <= max_covered * F.col("n_words")) & (F.col("longest_repeat") <= max_longest)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
+    schema = "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", base_failed boolean, kept boolean"
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
