@@ -1,17 +1,59 @@
-"""A corpus pipeline of the llm operators over ``documents``."""
+"""A corpus pipeline over ``documents``: toxicity, quality, near duplicates, personal data, packing.
+
+Every stage works on all that the one before it kept. A stage may read its input more than once, so
+each result is written to the shared folder and read again before the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rxflow.llm import ngram_join, packing, personal, quality, toxicity, vocab
+from rxflow.llm.common import stored, table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose score reaches the threshold."""
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).where("predicted = 0").select(docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality rules reject."""
+    return quality.passed(docs)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data."""
+    out = personal.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack(docs, vocab.vocab_file("byte_bpe_50k.json"))
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", not_toxic),
+    ("quality_rules", good_quality),
+    ("ngram_join", no_near_duplicates),
+    ("personal_data", no_personal_data),
+    ("packing", packed),
+]
 
-#: The stages' models and tokenizers are beyond SQL; tests hold them against brute force.
+#: Models, suffix arrays and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
