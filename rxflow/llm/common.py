@@ -61,6 +61,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """About how many bytes the texts have: twice the files that ``df`` reads, or a count where it reads none."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    if paths:
+        return 2 * sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys`` (a stored table of distinct keys).
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxflow.llm import vocab
-from rxflow.llm.common import drop_keys, keep_keys, map_arrow, stored, table, texts, tune
+from rxflow.llm.common import drop_keys, input_bytes, keep_keys, map_arrow, stored, table, texts, tune
 from rxflow.llm.graph import components
 
 WORDS = 5
@@ -153,8 +153,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """``doc_id, n, a, b, shared``: size and signature of every set, and how many of its shingles occur
     in another document (never too few)."""
     tune(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(4, -(-size * 3 // 4 // PART_BYTES))
+    parts = max(4, -(-input_bytes(docs) * 3 // 4 // PART_BYTES))
     rows = _dealt(docs, parts).groupBy("part").applyInArrow(_shared, "batch long, shared binary, about binary")
     return rows.groupBy("batch").applyInArrow(_summed, "doc_id long, n long, a long, b long, shared long")
 

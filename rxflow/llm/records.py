@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.llm import vocab
-from rxflow.llm.common import map_arrow, shared_dir, table, texts, tune
+from rxflow.llm.common import input_bytes, map_arrow, shared_dir, table, texts, tune
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qQB")
 _SUM = struct.Struct("<I")
 END = b"\n"
 
-#: A file has some so many bytes of text at most; files are read whole.
+#: A file has about so many bytes of text; files are read whole.
 FILE_BYTES = 16 << 20
 
 
@@ -83,8 +83,7 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0) -> DataF
     """
     spark = docs.sparkSession
     tune(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    files = max(spark.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache = vocab.words_of(vocab_path)

@@ -15,7 +15,7 @@ import public_tokenizers
 import regex
 
 #: Words whose ids a process remembers at most, about; each takes some 150 bytes.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_400_000
 
 
 def vocab_file(name: str) -> str:
@@ -68,20 +68,16 @@ def split(text: str) -> list[str]:
 
 
 class Words:
-    """Ids of texts piece by piece; ``encode`` gives the ids of new pieces, as bytes, in one call.
+    """Ids of texts word by word; ``encode`` gives the ids of new words, as bytes, in one call.
 
-    A match of the public pattern never runs across a single space that a character other
-    than white space follows, so a text is first cut there, which is cheap, and only chunks that
-    aren't known are matched. Of more than CACHE_WORDS chunks or pieces the long ones,
-    which seldom recur, are forgotten.
+    Known words live in two generations. When the young one is full it becomes the old one, and
+    words that are met again come back from there, so that rare words are forgotten.
     """
 
-    LONG = 10
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], find: Callable[[str], list[str]] = split, chunked: bool = True):
-        self.encode, self.find, self.chunked = encode, find, chunked
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], find: Callable[[str], list[str]] = split):
+        self.encode, self.find = encode, find
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, batch: list[str]) -> Iterator[bytes]:
         """Of each text, in portions of about a million characters."""
@@ -95,41 +91,20 @@ class Words:
                 portion, room = [], 1 << 20
         yield from self._portion(portion)
 
-    def _kept(self, known: dict[str, bytes]) -> dict[str, bytes]:
-        if len(known) <= CACHE_WORDS:
-            return known
-        short = {w: i for w, i in known.items() if len(w) <= self.LONG}
-        return short if len(short) <= CACHE_WORDS // 2 else {}
-
     def _portion(self, batch: list[str]) -> Iterator[bytes]:
-        self.chunks, self.pieces = self._kept(self.chunks), self._kept(self.pieces)
-        chunks, pieces, find = self.chunks, self.pieces, self.find
-        cut, heads = [], []  # of each text, chunks after a space each, and the pieces before them
-        for text in batch:
-            parts = text.split(" ") if self.chunked else [text]
-            head = parts.pop(0)
-            if "" in parts:
-                parts, head = [], text
-            cut.append(parts)
-            heads.append(find(head))
-        new = list(set().union(*cut).difference(chunks))
-        if odd := {c for c in new if c[0].isspace()}:  # white space may run on before such a chunk
-            for k, parts in enumerate(cut):
-                if not odd.isdisjoint(parts):
-                    cut[k], heads[k] = [], find(batch[k])
-            new = list(set().union(*cut).difference(chunks))
-        split_up = [find(" " + c) for c in new]
-        fresh = list(set().union(*split_up, *heads).difference(pieces))
-        pieces.update(zip(fresh, self.encode(fresh)))
-        chunks.update(zip(new, [_joined(pieces, p) for p in split_up]))
-        for head, parts in zip(heads, cut):
-            yield _joined(pieces, head) + _joined(chunks, parts)
-
-
-def _joined(known: dict[str, bytes], words: list[str]) -> bytes:
-    if len(words) > 1:
-        return b"".join(itemgetter(*words)(known))
-    return known[words[0]] if words else b""
+        found = list(map(self.find, batch))
+        if len(self.young) > CACHE_WORDS // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = set().union(*found).difference(young)
+        if old:
+            again = [w for w in new if w in old]
+            young.update([(w, old[w]) for w in again])
+            new.difference_update(again)
+        fresh = list(new)
+        young.update(zip(fresh, self.encode(fresh)))
+        for words in found:
+            yield b"".join(itemgetter(*words)(young)) if len(words) > 1 else b"".join(young[w] for w in words)
 
 
 class WordCache:
