@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
 from rxflow.operators.build import numbered
+from rxflow.sources.tables import durable
 
 K, THRESHOLD = 4, 0.4
 
@@ -37,32 +38,19 @@ def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
-def _durable(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder of the session if there is one."""
-    context = df.sparkSession.sparkContext
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        if not root:
-            import tempfile
-
-            root = "file://" + tempfile.mkdtemp(prefix="rxflow-")
-        context.setCheckpointDir(root)
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
     """``id, component`` (its smallest id) of every node; edges are ``a, b``.
 
     Labels move to the smallest of a node's neighbours and are then followed once more, so chains shorten
     by half each round; each round is checkpointed.
     """
-    both = _durable(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct())
-    labels = _durable(nodes.select("id", F.col("id").alias("component")).distinct())
+    both = durable(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct())
+    labels = durable(nodes.select("id", F.col("id").alias("component")).distinct())
     for _ in range(rounds):
         theirs = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("low"))
         moved = labels.join(theirs, "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
         jump = moved.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = _durable(moved.join(jump, "next", "left").select("id", "component", F.least("next", F.coalesce("far", "next")).alias("now")))
+        new = durable(moved.join(jump, "next", "left").select("id", "component", F.least("next", F.coalesce("far", "next")).alias("now")))
         labels = new.select("id", F.col("now").alias("component"))
         if new.where("component <> now").isEmpty():
             return labels

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import tempfile
 from pathlib import Path
 from typing import Any
 
@@ -44,21 +45,31 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str
     return rows.select(*map(field, schema.fields), *([ordinal] if ordinal else []))
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the folder that the session names, or in a temporary one where it names none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="rxflow-"))
+    return df.checkpoint()
+
+
 def with_ordinal(df: DataFrame, name: str) -> DataFrame:
     """Consecutive numbers from 0 in the order of partitions and of rows in them.
 
-    Only one count for each partition reaches the driver.
+    The rows are checkpointed first: were they computed twice, ranges could be cut elsewhere the second
+    time. Only one count for each partition reaches the driver.
     """
     spark = df.sparkSession
-    tagged = df.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = {r["_part"]: r["n"] for r in tagged.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    tagged = durable(df.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()))
+    counts = {r["__part"]: r["n"] for r in tagged.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
     for part in sorted(counts):
         before.append((part, total))
         total += counts[part]
-    starts = spark.createDataFrame(before, "_part int, _before long")
-    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return tagged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + at).drop("_part", "_at", "_before")
+    starts = spark.createDataFrame(before, "__part int, __before long")
+    at = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    return tagged.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + at).drop("__part", "__row", "__before")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
