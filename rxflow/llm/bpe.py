@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from rxflow.llm import vocab
-from rxflow.llm.common import map_arrow, table, texts, tune
+from rxflow.llm.common import hold, map_arrow, table, texts, tune
 
 _NONE = 1 << 62
 
@@ -107,6 +107,7 @@ _encoders: dict[tuple[str, str | None], Encoder] = {}
 
 def encoder(path: str, pattern: str | None = None) -> Encoder:
     """The encoder of this process."""
+    hold("bpe", _encoders.clear)
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(path, pattern)
     return _encoders[path, pattern]

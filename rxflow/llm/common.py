@@ -20,6 +20,20 @@ BATCH_BYTES = 16 << 20
 BROADCAST_ROWS = 500_000
 
 
+_in_use: list = []
+
+
+def hold(owner: str, clear: Callable[[], object]) -> None:
+    """Says that this Python process now works for ``owner``; what another one remembered is cleared.
+
+    Workers are reused from stage to stage, and several operators' word tables would not fit together.
+    """
+    if not _in_use or _in_use[0] != owner:
+        if _in_use:
+            _in_use[1]()
+        _in_use[:] = [owner, clear]
+
+
 def tune(spark: SparkSession) -> None:
     """Short Arrow batches, so that a batch of very long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxflow.llm import vocab
-from rxflow.llm.common import drop_keys, input_bytes, keep_keys, map_arrow, stored, table, texts, tune
+from rxflow.llm.common import drop_keys, hold, input_bytes, keep_keys, map_arrow, stored, table, texts, tune
 from rxflow.llm.graph import components
 
 WORDS = 5
@@ -53,8 +52,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
+    """Hashes of words; of more than a bounded number it starts anew."""
+
     def __missing__(self, word: str) -> int:
-        if len(self) > vocab.CACHE_WORDS:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode())
         return value
@@ -65,6 +66,7 @@ _hashes = _Hashes()
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of the shingles of a text."""
+    hold("shingles", _hashes.clear)
     found = _WORD.findall(text.translate(_LOWER))
     if not found:
         return np.zeros(0, np.uint64)

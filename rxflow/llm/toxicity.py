@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from rxflow.llm import vocab
-from rxflow.llm.common import map_arrow, stored, table, texts, tune
+from rxflow.llm.common import hold, map_arrow, stored, table, texts, tune
 
 #: Labelled texts of each class that the models are fitted on, at most.
-SAMPLE = 4_000
+SAMPLE = 3_000
+#: Words whose evidence a process remembers at most.
+KNOWN_WORDS = 500_000
 ORDER, SHARED = 6, 3
 DISCOUNT = 0.75
 THRESHOLD = 0.7
@@ -160,7 +161,7 @@ class Scorer:
     def features(self, batch: list[str]) -> np.ndarray:
         found = [_WORD.findall(t.lower()) for t in batch]
         known = self.known
-        if len(known) > vocab.CACHE_WORDS:
+        if len(known) > KNOWN_WORDS:
             known.clear()
         new = list({w for ws in found for w in ws if w not in known})
         for part in range(0, len(new), 20_000):
@@ -254,6 +255,7 @@ _scorers: dict[int, Scorer] = {}
 
 def scorer_of(sent) -> Scorer:
     """The scorer of this process for a broadcast model or (model, weights)."""
+    hold("toxicity", _scorers.clear)
     key = id(sent.value)
     if key not in _scorers:
         _scorers.clear()

@@ -14,8 +14,10 @@ import numpy as np
 import public_tokenizers
 import regex
 
+from rxflow.llm.common import hold
+
 #: Words whose ids a process remembers at most, about; each takes some 150 bytes.
-CACHE_WORDS = 1_400_000
+CACHE_WORDS = 1_000_000
 
 
 def vocab_file(name: str) -> str:
@@ -135,6 +137,7 @@ _caches: dict[str, WordCache] = {}
 
 def words_of(path: str) -> WordCache:
     """The word cache of this process."""
+    hold("vocab", _caches.clear)
     if path not in _caches:
         _caches[path] = WordCache(path)
     return _caches[path]
