@@ -1,0 +1,163 @@
+import json
+from datetime import UTC, datetime
+from http.client import HTTPException
+
+import pytest
+from pyspark.sql import functions as F
+
+from rxflow import schema
+from rxflow.operators import embed
+from rxflow.sources import lookups, tables
+
+
+def test_csv_keeps_backslashes_and_reads_missing_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('unmapped,rxn_idx,ec_num,quality,natural,other\n"C\\C=C\\",1,NA,0.5,True,x\n"a""b",2.0,null,,False,y\nC,3,1.1,nan,True,z\n')
+    rows = tables.read_csv(spark, str(tmp_path / "a.csv"), schema.RAW_REACTIONS, ordinal="ord").orderBy("ord").collect()
+    assert [r["unmapped"] for r in rows] == ["C\\C=C\\", 'a"b', "C"]
+    assert [r["rxn_idx"] for r in rows] == [1, 2, 3] and [r["ord"] for r in rows] == [0, 1, 2]
+    assert [r["ec_num"] for r in rows] == [None, None, "1.1"] and rows[1]["quality"] is None and rows[0]["organism"] is None
+
+
+def test_latin1_csv(spark, tmp_path):
+    (tmp_path / "b.csv").write_bytes("Symbol,Txid\ncafé,9606\n".encode("latin-1"))
+    row = tables.read_csv(spark, str(tmp_path / "b.csv"), schema.CYP_REACTIONS, encoding="ISO-8859-1").first()
+    assert row["Symbol"] == "café" and row["Txid"] == 9606.0
+
+
+def test_split_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(10).withColumn("split", F.when(F.col("id") < 7, "train").otherwise("test")).withColumn("enzyme_split", F.lit("valid"))
+    tables.write_reactions(rows, path)
+    got = tables.read_reactions(spark, path, "test")
+    assert got.count() == 3 and tables.read_reactions(spark, path, "valid", "enzyme_split").count() == 10 and tables.read_reactions(spark, path).count() == 10
+    plan = got.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(split,test)" in plan and "enzyme_split" not in plan
+    with pytest.raises(KeyError):
+        tables.read_reactions(spark, path, "test", "other")
+
+
+FASTA = ">sp|P1|name one\nMKV\nLLL\n>P2 some text\nAAA\n\n>P2 again\nCCC\n"
+
+
+def test_fasta(spark, tmp_path):
+    assert lookups.parse_fasta("junk\n" + FASTA) == {"P1": "MKVLLL", "P2": "CCC"}
+    (tmp_path / "x.fasta").write_text("junk\n" + FASTA)
+    assert {r["accession"]: r["sequence"] for r in tables.read_fasta(spark, str(tmp_path / "x.fasta")).collect()} == {"P1": "MKVLLL", "P2": "CCC"}
+    got = spark.createDataFrame([(FASTA,)], "t string").select(F.inline(tables.fasta_records(F.col("t")))).collect()
+    assert [tuple(r) for r in got] == [("P1", "MKVLLL"), ("P2", "AAA"), ("P2", "CCC")]
+
+
+def test_search_answers(spark):
+    text = "Entry\nP1\tx\n\nP2\n"
+    assert lookups.parse_hits(text) == ["P1", "P2"] and lookups.parse_hits("") == []
+    assert spark.createDataFrame([(text,)], "t string").select(tables.search_hits(F.col("t"))).first()[0] == ["P1", "P2"]
+    assert lookups.search_text("1.1", "E. coli", True) == '(ec:1.1) AND (organism_name:"E. coli") AND (reviewed:true)' and lookups.search_text("1.1", "") == "(ec:1.1)"
+
+
+class Answer:
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        return False
+
+    def read(self):
+        return b"ok"
+
+
+def test_http_is_tried_again():
+    calls = []
+
+    def opened(request, timeout):
+        calls.append(request.full_url)
+        if len(calls) < 3:
+            raise (OSError, HTTPException)[len(calls) - 1]("down")
+        return Answer()
+
+    assert lookups.http_get("http://x", {"a": "b c"}, wait=0, opened=opened) == "ok" and len(calls) == 3 and "a=b+c" in calls[0]
+
+    def dead(request, timeout):
+        raise OSError("down")
+
+    with pytest.raises(RuntimeError):
+        lookups.http_get("http://x", {}, tries=2, wait=0, opened=dead)
+
+
+def test_sequences_are_cached_with_misses(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def fetch(batch):
+        (log / ("_".join(sorted(batch)))).write_text("")
+        return {a: "M" + a for a in batch if a != "C"}
+
+    wanted = spark.createDataFrame([("A",), ("B",), ("C",), ("A",)], "accession string").coalesce(1)
+    cache = str(tmp_path / "cache")
+    got = lookups.fetch_sequences(spark, wanted, cache, batch_size=2, fetch_batch=fetch)
+    assert {r["accession"]: r["sequence"] for r in got.collect()} == {"A": "MA", "B": "MB"}
+    assert sum(len(p.name.split("_")) for p in log.iterdir()) == 3
+    n = len(list(log.iterdir()))
+    more = wanted.unionByName(spark.createDataFrame([("D",)], "accession string"))
+    assert lookups.fetch_sequences(spark, more, cache, fetch_batch=fetch).count() == 3
+    assert len(list(log.iterdir())) == n + 1
+
+
+def test_searches_that_fail_stay_unknown(spark, tmp_path):
+    def fetch(ec, organism):
+        if ec == "bad":
+            raise RuntimeError("no")
+        return ["P1", "P2"] if organism else []
+
+    pairs = spark.createDataFrame([("1", "x"), ("1", ""), ("bad", "y")], "ec_num string, organism string")
+    got = lookups.search_accessions(spark, pairs, str(tmp_path / "c"), skip_errors=True, fetch_one=fetch)
+    assert {(r["ec_num"], r["organism"]): r["accessions"] for r in got.collect()} == {("1", "x"): ["P1", "P2"], ("1", ""): []}
+    cache = tables.KeyValueCache(spark, str(tmp_path / "c"), ["ec_num", "organism"], "accessions", "array<string>")
+    assert [r["ec_num"] for r in cache.missing(pairs).collect()] == ["bad"]
+
+
+def test_archive_is_asked_for_the_rest(spark, tmp_path):
+    wanted = spark.createDataFrame([("A",), ("B",), ("C",)], "accession string")
+    first = lambda w: lookups.fetch_sequences(spark, w, str(tmp_path / "p"), fetch_batch=lambda b: {"A": "M"})
+    second = lambda w: lookups.archived_sequences(spark, w, str(tmp_path / "q"), fetch_one=lambda a: {"B": "OLD"}.get(a, ""))
+    got = lookups.with_fallback(spark, wanted, first, second).collect()
+    assert {(r["accession"], r["sequence"], r["sequence_source"]) for r in got} == {("A", "M", "primary"), ("B", "OLD", "archive")}
+
+
+def test_embeddings_are_resumed(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "MKV"), ("b", "M" * 2000)], "id string, sequence string")
+    encode = lambda seqs: [[float(len(s)), 1.0] for s in seqs]
+    got = {r["id"]: r["embedding"] for r in embed.ensure_embeddings(spark, rows, str(tmp_path / "e"), encode).collect()}
+    assert got == {"a": [3.0, 1.0], "b": [float(embed.MAX_RESIDUES), 1.0]}
+
+    def never(seqs):
+        raise AssertionError
+
+    assert embed.ensure_embeddings(spark, rows, str(tmp_path / "e"), never).count() == 2
+    with pytest.raises(KeyError):
+        embed.attach(spark.createDataFrame([("z",)], "uniprot_id string"), embed.ensure_embeddings(spark, rows, str(tmp_path / "e"), never))
+
+
+def test_needed_takes_the_last_sequence(spark):
+    rows = spark.createDataFrame([(0, "A", "x"), (1, "A", "y"), (2, "B", "z")], "reaction_id long, uniprot_id string, sequence string")
+    assert {tuple(r) for r in embed.needed(rows).collect()} == {("A", "y"), ("B", "z")} and embed.needed(rows, 1).collect()[0]["sequence"] == "x"
+
+
+def test_predictions_are_stripped(spark):
+    rows = spark.createDataFrame([(1, "CC", [1.0])], "row_id long, reactant_smiles string, embedding array<float>")
+    got = embed.predict(rows, lambda texts, e: [[t.replace("REACTANT:", "").replace("REAGENT:", " ") + "O"] for t in texts]).first()
+    assert got["predictions"] == ["CCO"]
+
+
+def test_json_round_trip(tmp_path):
+    import numpy as np
+
+    path = tables.write_json(tmp_path / "d" / "x.json", {"b": np.int64(1), "a": np.arange(2), "p": tmp_path})
+    assert tables.read_json(path) == {"a": [0, 1], "b": 1, "p": str(tmp_path)} and path.read_text().index('"a"') < path.read_text().index('"b"')
+    assert json.loads(path.read_text()) and len(tables.file_hash(path)) == 64
+
+
+def test_run_ids():
+    from rxflow.plans import runner
+
+    when = datetime(2024, 1, 2, 3, 4, 5, tzinfo=UTC)
+    assert runner.run_id("my model/x", "abcdef0123", when) == "20240102T030405Z__my-model-x__abcdef0" and runner.run_id("//", "", when).endswith("__run__nogit")
