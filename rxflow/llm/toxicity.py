@@ -18,6 +18,7 @@ both classes every score is 0; repeated rows are scored each.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -236,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     if not counts[0] or not counts[1]:
         return Scorer(None)
     model = Model(counts)
-    sent = spark.sparkContext.broadcast(model)
+    sent = _sent(spark, model, None)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = scorer_of(sent).features(texts(batch["text"]))
@@ -250,25 +251,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     return Scorer(model, fit_curve(x[order], y[order]))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def _sent(spark: SparkSession, model: Model | None, weights: np.ndarray | None):
+    """A broadcast of a scorer, with a name of its own: values of other broadcasts may take its address later."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, model, weights))
 
 
 def scorer_of(sent) -> Scorer:
-    """The scorer of this process for a broadcast model or (model, weights)."""
+    """The scorer of this process for a broadcast."""
     hold("toxicity", _scorers.clear)
-    key = id(sent.value)
-    if key not in _scorers:
+    name, model, weights = sent.value
+    if name not in _scorers:
         _scorers.clear()
-        v = sent.value
-        _scorers[key] = Scorer(*v) if isinstance(v, tuple) else Scorer(v)
-    return _scorers[key]
+        _scorers[name] = Scorer(model, weights)
+    return _scorers[name]
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
     tune(docs.sparkSession)
     docs = docs.drop("score", "predicted")
-    sent = docs.sparkSession.sparkContext.broadcast((scorer.model, scorer.weights))
+    sent = _sent(docs.sparkSession, scorer.model, scorer.weights)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = scorer_of(sent).score(texts(batch["text"]))
