@@ -86,8 +86,11 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """For each batch of documents and part of the hash values: the documents' counts and packed hashes.
-    The first part also tells the documents themselves."""
+    """For each batch of documents and part of the hash values that it has: packed hashes with the document of each.
+
+    Only parts with hashes have rows, so their number is bounded by the shingles. One row of each batch
+    also tells the documents themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -97,10 +100,11 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
             every = np.concatenate(sets)
             part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             order = np.argsort(part, kind="stable")
+            part = part[order]
             packed = np.ascontiguousarray(every[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            doc = np.repeat(np.arange(len(sets)), sizes)
-            counts = np.bincount(part.astype(np.int64) * len(sets) + doc, minlength=parts * len(sets)).astype("<u4").reshape(parts, -1)
+            doc = np.repeat(np.arange(len(sets), dtype="<u4"), sizes)[order]
+            starts = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
+            cuts = list(zip(starts, [*starts[1:], len(part)])) or [(0, 0)]
             signs = np.array([signature(s) for s in sets], np.int64)
             about = pa.record_batch(
                 [batch["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["doc_id", "n", "a", "b"]
@@ -108,47 +112,43 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
             with pa.ipc.new_stream(sink := pa.BufferOutputStream(), about.schema) as w:
                 w.write_batch(about)
             rows = {
-                "part": pa.array(range(parts), pa.int32()),
-                "batch": pa.array([first + k] * parts, pa.int64()),
-                "counts": pa.array([c.tobytes() for c in counts], pa.binary()),
-                "hashes": pa.array([packed[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()),
-                "about": pa.array([sink.getvalue().to_pybytes()] + [None] * (parts - 1), pa.binary()),
+                "part": pa.array(part[starts] if len(part) else [0], pa.int32()),
+                "batch": pa.array([first + k] * len(cuts), pa.int64()),
+                "docs": pa.array([doc[x:y].tobytes() for x, y in cuts], pa.binary()),
+                "hashes": pa.array([packed[x:y].tobytes() for x, y in cuts], pa.binary()),
+                "about": pa.array([sink.getvalue().to_pybytes()] + [None] * (len(cuts) - 1), pa.binary()),
             }
             yield from pa.table(rows).to_batches()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, batch long, counts binary, hashes binary, about binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "part int, batch long, docs binary, hashes binary, about binary")
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """Of one part: for each batch, how many hashes of each document other documents have, too."""
+    """Of one part: for each batch, which documents have hashes that other documents have, too (one entry for each)."""
     blobs = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in rows["hashes"]]
-    wide = np.zeros((sum(map(len, blobs)), 8), np.uint8)
-    at = 0
-    for b in blobs:
+    ends = np.cumsum([0, *map(len, blobs)])
+    wide = np.zeros((ends[-1], 8), np.uint8)
+    for at, b in zip(ends, blobs):
         wide[at : at + len(b), :5] = b
-        at += len(b)
     values = wide.view(np.uint64).ravel()
     order = np.argsort(values)
     ordered = values[order]
     same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(values) + 1, np.int64)
-    twice[1:][order[1:][same]] = 1
-    twice[1:][order[:-1][same]] = 1
-    upto = np.cumsum(twice)
-    out, at = [], 0
-    for c in rows["counts"]:
-        ends = at + np.concatenate([[0], np.cumsum(np.frombuffer(c.as_py(), "<u4").astype(np.int64))])
-        out.append(np.diff(upto[ends]).astype("<u4").tobytes())
-        at = ends[-1]
-    return pa.table({"batch": rows["batch"], "shared": pa.array(out, pa.binary()), "about": rows["about"]})
+    twice = np.zeros(len(values), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    out = [np.frombuffer(d.as_py(), "<u4")[twice[x:y]].tobytes() for d, x, y in zip(rows["docs"], ends[:-1], ends[1:])]
+    found = pa.table({"batch": rows["batch"], "shared": pa.array(out, pa.binary()), "about": rows["about"]})
+    return found.filter(pa.array([bool(o) or a is not None for o, a in zip(out, rows["about"].to_pylist())], pa.bool_()))
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    """Of one batch: each document with the sums over all parts."""
-    total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in rows["shared"])
+    """Of one batch: each document with the number of its shared hashes, of all parts."""
     about = next(x for x in rows["about"].to_pylist() if x is not None)
     with pa.ipc.open_stream(about) as r:
-        return r.read_all().append_column("shared", pa.array(total, pa.int64()))
+        docs = r.read_all()
+    hits = np.frombuffer(b"".join(rows["shared"].to_pylist()), "<u4").astype(np.int64)
+    return docs.append_column("shared", pa.array(np.bincount(hits, minlength=len(docs)), pa.int64()))
 
 
 def sets_of(docs: DataFrame) -> DataFrame:

@@ -120,8 +120,10 @@ def _plain(c: str) -> str:
 _FOREIGN = re.compile(r"[^\x00-\xac\xae-˿]")
 _SIGN_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 _SIGN_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
+#: Words that follow "at" in sentences; no host starts with one.
+_NO_HOST = "a|all|an|any|each|every|first|her|his|home|it|its|last|least|most|my|no|night|noon|once|one|our|some|that|the|their|these|this|those|work|your"
 #: An address in words: name at host dot com. Before "at" and around "dot" stands white space.
-_IN_WORDS = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_AT})\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})|(?<=[A-Za-z0-9])@(?=[A-Za-z0-9-]{{1,63}}\s{{1,3}}(?:{_DOT})\s)", re.I)
+_IN_WORDS = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_AT})\s{{1,3}}(?!(?:{_NO_HOST})\s)(?=[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})|(?<=[A-Za-z0-9])@(?=[A-Za-z0-9-]{{1,63}}\s{{1,3}}(?:{_DOT})\s)", re.I)
 _DOT_WORD = re.compile(rf"\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=[A-Za-z0-9-])", re.I)
 _PART = re.compile(r"[A-Za-z0-9-]{1,63}")
 _NAMES = "|".join(sorted(_SPELLED, key=len, reverse=True))

@@ -35,7 +35,7 @@ def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def levels(ids: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all runs of 1, 2, 4, ... words (cut at the end), until no two are equal."""
+    """Ranks of all runs of 1, 2, 4, ... words (cut at the end), until no two are equal; ids count from 0 without gaps."""
     n = len(ids)
     out = [ids]
     while len(out[-1]) and out[-1].max() < n - 1 and 1 << (len(out) - 1) < n:

@@ -104,7 +104,7 @@ def brute_repeats(words, least):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=40), st.integers(1, 5))
 def test_repetition_is_exact(words, least):
-    ids = np.array([ord(w) - 97 for w in words], np.int64)
+    ids = np.array([sorted(set(words)).index(w) for w in words], np.int64)
     covered, longest = Q.repetition(ids, least)
     want = brute_repeats(words, least)
     if len(words) > least:
