@@ -182,6 +182,12 @@ def slug(text: Column) -> Column:
     return F.when(out == "", "run").otherwise(out)
 
 
+def readable(number: Column) -> Column:
+    """With thousands separators; two decimals unless it is whole."""
+    n = number.cast("double")
+    return F.when(n == F.floor(n), F.format_number(n, 0)).otherwise(F.format_number(n, 2))
+
+
 def model_input(reactants: Column) -> Column:
     """A sequence-to-sequence prompt: the reactants and an empty block of reagents."""
     return F.concat(F.lit("REACTANT:"), reactants, F.lit("REAGENT:"))
