@@ -39,6 +39,22 @@ def test_recall_and_exact_scores(spark):
     assert hit >= 0.9 * 150
 
 
+def test_hot_group_is_searched_whole(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1000:] = x[1000] + 1e-4 * rng.normal(size=(3000, 16))  # far more near copies than are ranked at first
+    x = x.astype(np.float32)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = neighbours.search(vectors(spark, rows), F.col("vec_id") % 500 == 0).collect()
+    x = x.astype(float)
+    for q in range(0, 4000, 500):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_odd_vectors_take_no_part(spark):
     bad = [(100, None), (200, [0.0, 0.0]), (300, [1.0, float("nan")]), (400, [1.0, float("inf")]), (500, [1.0, None]), (600, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     good = [(0, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0]), (8, [1.0, 0.5])]
