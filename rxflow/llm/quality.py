@@ -23,10 +23,11 @@ from rxflow.llm.common import map_arrow, table, texts, tune
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
 
-#: Shortest repeat in words, largest covered fraction, longest repeat in words.
+#: Shortest repeat in words, largest covered fraction, longest repeat in words. All words in such repeats also lie in
+#: repeated 3-word windows, of which the base rule allows 50 %, so the fraction must be well below that to decide anything.
 MIN_WORDS = 8
-MAX_COVERED = 0.4
-MAX_LONGEST = 120
+MAX_COVERED = 0.2
+MAX_LONGEST = 50
 
 
 def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -138,6 +138,19 @@ def test_verdicts(spark):
     assert Q.judge(docs.limit(0)).count() == 0
 
 
+def test_repeats_that_only_the_suffix_array_tells():
+    words = iter(f"w{i}" for i in range(10_000))
+    some = lambda n: " ".join(next(words) for _ in range(n))
+    passage, short, lines = some(119), some(60), some(12)
+    thrice = " ".join([some(200), passage, some(200), passage, some(243), passage])  # 1,000 words, 36 % in repeats
+    long_once_more = " ".join([some(400), short, some(400), short])  # 13 %, but 60 words in a row
+    many = " ".join(f"{some(30)} {lines}" for _ in range(5))  # 29 % in short repeats
+    light = " ".join([some(300), lines, some(300), lines])
+    for text, want in ((thrice, False), (long_once_more, False), (many, False), (light, True)):
+        m = Q.measure(text)
+        assert not Q.base_failed(m[0], m[4]) and Q.kept(m) is want
+
+
 # ---- personal data --------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
