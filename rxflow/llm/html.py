@@ -10,7 +10,9 @@ least ``pages`` pages is cut from each page of the host.
 A tree can't tell varied boilerplate (rotating adverts, comments) from an article, nor an
 article that a site prints twice from a notice; so elements whose tag, class or role names
 what they are have a prior: those of menus, footers, adverts, forms and the like count as 0, and an
-article's own paragraphs as 1. If a page has an article or main element, only text in it counts.
+article's own paragraphs as 1. A class or id counts only if all words of it are such names, and never on
+html or body; where names would leave a page without its article or main element, they don't count around it.
+If a page has an article or main element, only text in it counts.
 
 Defined cases: a null or empty html has an empty text; a page without a host is of the host
 ""; unclosed elements end with their parent; repeated rows are read each and count in
@@ -70,10 +72,11 @@ def host_of(url: str | None) -> str:
 
 
 class Element:
-    __slots__ = ("children", "main", "noise", "path", "start", "tag")
+    __slots__ = ("children", "main", "named", "noise", "path", "start", "tag")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool, start: int):
+    def __init__(self, tag: str, path: int, noise: bool, main: bool, start: int, named: bool = False):
         self.tag, self.path, self.noise, self.main, self.start = tag, path, noise, main, start
+        self.named = named  # noise by the names of elements outside of an article alone
         self.children: list[str] = []
 
 
@@ -88,6 +91,11 @@ def _named(tag: str, attributes: str) -> tuple[str, str]:
     return names, role
 
 
+def _noisy(names: str) -> bool:
+    """Whether a class or id has no other words than those of noise."""
+    return any((parts := _NAME.findall(name)) and _NOISE_NAMES.issuperset(parts) for name in names.split())
+
+
 class Page:
     """One pass over a page: its elements' paths with styles and texts, and the blocks of its main text.
 
@@ -100,8 +108,13 @@ class Page:
         self.runs: list[str] = []  # all text outside of raw elements, by which content is told
         self.blocks: dict[bool, list[str]] = {True: [], False: []}  # in an article or main element, and all
         self.open: list[str] = []
-        self.has_main = False
+        self.has_main = self.lost = False
         self._read(source)
+        if self.lost and not self.has_main:  # names hid every article: they were not of what it holds
+            found = self.nodes
+            self.nodes, self.runs, self.blocks = [], [], {True: [], False: []}
+            self._read(source, rescue=True)
+            self.nodes = found
 
     def _flush(self, main: bool) -> None:
         if self.open:
@@ -122,7 +135,7 @@ class Page:
                 style = xxhash.xxh3_64_intdigest(",".join(e.children).encode())
                 self.nodes.append((e.path, style, content))
 
-    def _read(self, source: str) -> None:
+    def _read(self, source: str, rescue: bool = False) -> None:
         root = Element("", 0, False, False, 0)
         stack, at, n = [root], 0, len(source)
         while at < n:
@@ -173,16 +186,22 @@ class Page:
             names, role = _named(tag, m[3]) if "=" in m[3] else ("", "")
             path = xxhash.xxh3_64_intdigest(f"{top.path} {tag}{names}/{role}".encode()) >> 1
             is_main = tag in ("article", "main") or role in ("main", "article")
-            noise = top.noise or tag in _NOISE_TAGS or role in _NOISE_ROLES or (not is_main and not _NOISE_NAMES.isdisjoint(_NAME.findall(names)))
-            noise = noise or (tag == "header" and not top.main)
-            noise = noise or (path in self.low and not (is_main or (top.main and tag in _PLAIN)))
+            hidden = top.named and is_main
+            self.lost = self.lost or hidden
+            kept = top.noise and not (hidden and rescue)
+            part = not _NOISE_NAMES.isdisjoint(_NAME.findall(names))
+            own = tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not top.main)
+            own = own or (path in self.low and not is_main and (part or not (top.main and tag in _PLAIN)))
+            noise, named = kept or own, kept and top.named and not own
+            if not noise and not is_main and tag not in ("html", "body") and _noisy(names):
+                noise, named = True, not top.main
             if tag in _BLOCK and not top.noise:
                 self._flush(top.main)
             main = (top.main or is_main) and not noise
             self.has_main = self.has_main or main
             if m[3].endswith("/") and tag not in _BLOCK:
                 continue
-            stack.append(Element(tag, path, noise, main, len(self.runs)))
+            stack.append(Element(tag, path, noise, main, len(self.runs), named))
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 at = end.end() if end else n

@@ -38,6 +38,24 @@ def test_main_text(source, want):
     assert text(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body class='home has-sidebar'><article><p>a</p></article></body>", "a"),
+        ("<body class=sidebar id='content-with-comments'><p>a</p></body>", "a"),
+        ("<div class='page-header-fixed no-sidebar'><nav>n</nav><main><p>a</p></main></div>", "a"),
+        ("<article><div class='article-header'><h1>t</h1></div><p>a</p></article>", "t\na"),
+        ("<div class=widget><div><p>w</p><article><p>a</p></article></div></div>", "a"),
+        ("<article><p>a</p></article><div class=comments><article><p>c</p></article></div>", "a"),
+        ("<article><p>a</p><div class='ad-banner'><article>c</article></div></article>", "a"),
+        ("<nav class=widget><article>n</article></nav><div><p>a</p></div>", "a"),
+        ("<div class=widget><nav><article>n</article></nav></div><p>a</p>", "a"),
+    ],
+)
+def test_names_hide_no_article(source, want):
+    assert text(source) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<", ">", "<!--", "-->", "<li>", "<ul>", "</ul>", "a b", "&amp", "<td>", "</x>", "<br/>", "<article>", "\"", "<a href='"]), max_size=25))
 def test_any_markup_is_read(parts):
