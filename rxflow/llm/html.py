@@ -7,6 +7,11 @@ share them, with the number of the host's pages that have the path as base: 0 if
 show the same, 1 if each shows its own. A branch of importance under ``least`` on at
 least ``pages`` pages is cut from each page of the host.
 
+The blocks of an article are nodes of their own, by path and text, as siblings of a path are one node
+otherwise. A block's importance is 1 - n log(n) / (m log(m)) for m different main texts of the host with blocks
+of that path, n of them with this block. Main texts count as different for a block only if the longest of
+their other blocks differ, so an article that a site prints often is not a notice. A page of which all blocks would be cut keeps them.
+
 A tree can't tell varied boilerplate (rotating adverts, comments) from an article, nor an
 article that a site prints twice from a notice; so elements whose tag, class or role names
 what they are have a prior: those of menus, footers, adverts, forms and the like count as 0, and an
@@ -107,16 +112,17 @@ class Page:
         self.nodes: list[tuple[int, int, int]] = []  # path, style, content
         self.runs: list[str] = []  # all text outside of raw elements, by which content is told
         self.blocks: dict[bool, list[str]] = {True: [], False: []}  # in an article or main element, and all
+        self.paths: list[tuple[int, int]] = []  # path, and path with text, of those in an article or main element
         self.open: list[str] = []
         self.has_main = self.lost = False
         self._read(source)
         if self.lost and not self.has_main:  # names hid every article: they were not of what it holds
             found = self.nodes
-            self.nodes, self.runs, self.blocks = [], [], {True: [], False: []}
+            self.nodes, self.runs, self.blocks, self.paths = [], [], {True: [], False: []}, []
             self._read(source, rescue=True)
             self.nodes = found
 
-    def _flush(self, main: bool) -> None:
+    def _flush(self, main: bool, path: int) -> None:
         if self.open:
             text = _SPACE.sub(" ", html.unescape("".join(self.open))).strip()
             self.open = []
@@ -124,12 +130,13 @@ class Page:
                 self.blocks[False].append(text)
                 if main:
                     self.blocks[True].append(text)
+                    self.paths.append((path, xxhash.xxh3_64_intdigest(f"{path} {text}".encode()) >> 1))
 
     def _close(self, stack: list[Element], size: int) -> None:
         while len(stack) > size:
             e = stack.pop()
             if e.tag in _BLOCK and not e.noise:
-                self._flush(e.main)
+                self._flush(e.main, e.path)
             if self.measure:
                 content = xxhash.xxh3_64_intdigest("".join(self.runs[e.start :]).strip().encode())
                 style = xxhash.xxh3_64_intdigest(",".join(e.children).encode())
@@ -181,7 +188,7 @@ class Page:
             top.children.append(tag)
             if tag in _VOID:
                 if tag == "hr" and not top.noise:
-                    self._flush(top.main)
+                    self._flush(top.main, top.path)
                 continue
             names, role = _named(tag, m[3]) if "=" in m[3] else ("", "")
             path = xxhash.xxh3_64_intdigest(f"{top.path} {tag}{names}/{role}".encode()) >> 1
@@ -196,7 +203,7 @@ class Page:
             if not noise and not is_main and tag not in ("html", "body") and _noisy(names):
                 noise, named = True, not top.main
             if tag in _BLOCK and not top.noise:
-                self._flush(top.main)
+                self._flush(top.main, top.path)
             main = (top.main or is_main) and not noise
             self.has_main = self.has_main or main
             if m[3].endswith("/") and tag not in _BLOCK:
@@ -208,11 +215,14 @@ class Page:
                 self._close(stack, len(stack) - 1)
         self._close(stack, 1)
         if not root.noise:
-            self._flush(False)
+            self._flush(False, 0)
 
     @property
     def text(self) -> str:
-        return "\n".join(self.blocks[self.has_main])
+        if not self.has_main:
+            return "\n".join(self.blocks[False])
+        left = [b for b, (_, key) in zip(self.blocks[True], self.paths) if key not in self.low]
+        return "\n".join(left or self.blocks[True])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -247,11 +257,42 @@ def low_paths(tree: DataFrame, least: float = LEAST, pages: int = PAGES) -> Data
     return both.where((F.col("pages") >= pages) & (F.col("importance") < least)).select("host", "path")
 
 
+def low_blocks(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES) -> DataFrame:
+    """``host, path`` of the blocks of articles to cut; a block's path is that of its element with its text."""
+    tune(pages.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: set[tuple[str, int, int, int]] = set()
+        for url, source in zip(batch["url"].to_pylist(), texts(batch["html"])):
+            page = Page(source)
+            if not page.has_main:
+                continue
+            host = host_of(url)
+            of = {key: text for (_, key), text in zip(page.paths, page.blocks[True])}
+            long = sorted(set(of.values()), key=lambda x: (-len(x), x))[:2]
+            marks = [xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in long]
+            whole = xxhash.xxh3_64_intdigest("\n".join(page.blocks[True]).encode()) >> 1
+            for path, key in page.paths:
+                seen.add((host, path, -1, whole))
+                if len(long) > 1:
+                    seen.add((host, path, key, marks[of[key] == long[0]]))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        cols = [pa.array(x, k) for x, k in zip(zip(*seen), kinds)] if seen else [pa.array([], k) for k in kinds]
+        return pa.record_batch(cols, ["host", "path", "block", "other"])
+
+    rows = map_arrow(pages.select("url", "html"), run, "host string, path long, block long, other long")
+    counts = stored(rows.distinct().groupBy("host", "path", "block").agg(F.count("*").alias("n")).where((F.col("block") == -1) | (F.col("n") >= min_pages)))
+    m = counts.where("block = -1").select("host", "path", F.col("n").alias("m"))
+    n, m = counts.where("block <> -1").join(m, ["host", "path"]), F.col("m").cast("double")
+    share = F.col("n") * F.log(F.col("n").cast("double")) / (m * F.log(m))
+    return n.where((F.col("n") > 1) & (1 - share < least)).select("host", F.col("block").alias("path"))
+
+
 def extract(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     spark = pages.sparkSession
     tune(spark)
-    low = stored(low_paths(style_tree(pages), least, min_pages))
+    low = stored(low_paths(style_tree(pages), least, min_pages).unionByName(low_blocks(pages, least, min_pages)))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)))
     small = low.count() <= BROADCAST_ROWS

@@ -94,6 +94,21 @@ def test_articles_that_a_site_repeats_are_kept(spark):
     assert {r["text"] for r in H.extract(pages).collect()} == {"Same\nagain"}
 
 
+def test_notices_in_articles_are_cut(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    notice = "Sign up for our letter, which comes each week and costs nothing at all to read"
+    rows = []
+    for i in range(30):
+        body = [" ".join(word() for _ in range(20)) for _ in range(3)]
+        rows.append((i, "http://h.org/", "<article>" + "".join(f"<p>{x}</p>" for x in [body[0], notice, *body[1:]]) + "<ul><li>Share</li></ul></article>", "\n".join(body)))
+    rows.append((30, "http://few.org/", rows[0][2], f"{rows[0][3].split(chr(10))[0]}\n{notice}\n" + "\n".join([*rows[0][3].split("\n")[1:], "Share"])))
+    rows.append((31, "http://h.org/", f"<article><p>{notice}</p></article>", notice))  # nothing else would be left
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+
+
 def test_importance(spark):
     pages = spark.createDataFrame([(i, "http://h.org/", f"<div class=a>same</div><div class=b>{i}</div>") for i in range(10)], "page_id long, url string, html string")
     by_kind = {(r["path"], r["kind"]): r["importance"] for r in H.style_tree(pages).collect()}
