@@ -8,8 +8,9 @@ text's features are that difference over all its letters, its strongest words an
 many words are strong. A logistic curve, fitted on labelled texts which the models have
 not seen, turns them into a score from 0 to 1.
 
-The models are fitted on a bounded sample of labelled rows: of each class, the
-``sample`` rows that come first by a hash of doc_id. Every text is scored whole.
+The models count all labelled rows outside the held-out fold and the curve's; words and
+grams are counted distributed, and the driver only holds the finished levels. The curve is fitted on a bounded sample: of each
+class, the first ``sample`` by a hash of doc_id of a quarter of the rows. Every text is scored whole.
 
 Defined cases: a null or empty text has no evidence and gets the score of that; a null
 label is no label; a doc_id labelled twice counts by its larger label; without labels of
@@ -29,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from rxflow.llm.common import hold, map_arrow, stored, table, texts, tune
+from rxflow.llm.common import BROADCAST_ROWS, hold, map_arrow, stored, table, texts, tune
 
-#: Labelled texts of each class that the models are fitted on, at most.
+#: Labelled texts of each class that the curve is fitted on, at most.
 SAMPLE = 3_000
+#: Words whose grams are taken at once.
+WORDS = 50_000
 #: Words whose evidence a process remembers at most.
 KNOWN_WORDS = 500_000
 ORDER, SHARED = 6, 3
@@ -136,8 +139,18 @@ class Model:
             flat, at, word = _letters(list(counts[c]))
             times = np.fromiter(counts[c].values(), np.float64, len(counts[c]))[word]
             self.own.append(_continued(_grams(flat, at), range(SHARED + 1, ORDER), times))
+        self._end()
+
+    def _end(self) -> None:
         self.bottom = 1.0 / max(2, len(self.shared[0].grams) + 1)
 
+    @classmethod
+    def of(cls, shared: list[Level], own: list[list[Level]]) -> Model:
+        model = cls.__new__(cls)
+        model.shared, model.own = shared, own
+        model._end()
+        return model
+
     def evidence(self, words: list[str]) -> np.ndarray:
         """For each word, the toxic less the ordinary log-likelihood."""
         flat, at, word = _letters(words)
@@ -207,19 +220,78 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def _places(c: int, words: list[str], n: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct grams of some words of a class: class (-1: shared), order, the longer gram that counts once, gram, context, weight."""
+    flat, at, word = _letters(words)
+    last = None
+    for k, (gram, context) in enumerate(_grams(flat, at), 1):
+        keys, first, of = np.unique(gram, return_index=True, return_inverse=True)
+        if k > 1:  # the order below, by continuations
+            yield (-1 if k - 1 <= SHARED else c), k - 1, keys, last[0][first], last[1][first], np.ones(len(keys))
+        if k == ORDER:
+            yield c, k, np.zeros(len(keys), np.uint64), keys, context[first], np.bincount(of, n[word], len(keys))
+        last = gram, context
+
+
+def _model(words: DataFrame) -> Model | None:
+    """The models of ``toxic, word, n``, as ``Model`` makes them, with all counts distributed."""
+    if words.select("toxic").distinct().count() < 2:
+        return None
+    schema = "c int, k int, longer long, gram long, context long, n double"
+    names = ["c", "k", "longer", "gram", "context", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            toxic, n, every = t["toxic"].to_numpy(), t["n"].to_numpy().astype(float), t["word"].to_pylist()
+            for c in (0, 1):
+                at = np.flatnonzero(toxic == c)
+                if len(at):
+                    for kind, k, *cols, weight in _places(c, [every[i] for i in at], n[at]):
+                        size = len(weight)
+                        yield pa.record_batch([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, k, np.int32)), *(pa.array(x.view(np.int64)) for x in cols), pa.array(weight)], names)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= WORDS:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
+
+    places = words.mapInArrow(run, schema)
+    each = places.groupBy("c", "k", "longer", "gram", "context").agg(F.when(F.first("k") == ORDER, F.sum("n")).otherwise(1.0).alias("n"))
+    levels = stored(each.groupBy("c", "k", "gram", "context").agg(F.sum("n").alias("n")))
+
+    def level(c: int, k: int) -> Level:
+        t = levels.where((F.col("c") == c) & (F.col("k") == k)).select("gram", "context", "n").toArrow()
+        gram, context = (np.ascontiguousarray(t[x].to_numpy()).view(np.uint64) for x in ("gram", "context"))
+        return Level.of(gram, context, t["n"].to_numpy())
+
+    shared = [level(-1, k) for k in range(1, SHARED + 1)]
+    return Model.of(shared, [[level(c, k) for k in range(SHARED + 1, ORDER + 1)] for c in (0, 1)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """Learn from the labelled texts outside the held-out fold.
 
-    Of the sample, three quarters make the models and a quarter the curve.
+    Of each class, at most ``sample`` rows of a quarter make the curve and all others the models.
     """
     spark = docs.sparkSession
     tune(spark)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id"))
-    parts = [known.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(sample) for c in (0, 1)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * sample rows at most
-    held = stored(docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic", (F.pmod("h", F.lit(4)) == 0).alias("curve")).dropDuplicates(["doc_id"]))
+    quarter = known.where(F.pmod("h", F.lit(4)) == 0)
+    parts = [quarter.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(sample) for c in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).select("doc_id", F.lit(True).alias("curve")))  # 2 * sample rows at most
+    known = known.join(chosen, "doc_id", "left").select("doc_id", "toxic", F.coalesce("curve", F.lit(False)).alias("curve"))
+    often = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.count("*") > 1).alias("often"))
+    known = stored(known.join(often, "doc_id"))
+    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id")
+    rows = rows.where("not often").unionByName(rows.where("often").dropDuplicates(["doc_id"]))  # no shuffle of texts but those
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[tuple[int, str], int] = {}
@@ -229,21 +301,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
         cols = [[k[0] for k in seen], [k[1] for k in seen], list(seen.values())]
         return pa.record_batch([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.string(), pa.int64()))], ["toxic", "word", "n"])
 
-    words = map_arrow(held.where(~F.col("curve")).select("text", "toxic"), count, "toxic int, word string, n long")
-    counts: list[dict[str, int]] = [{}, {}]
-    rows = words.groupBy("toxic", "word").agg(F.sum("n").alias("n")).orderBy("toxic", "word")
-    for r in rows.toLocalIterator():  # of the bounded sample
-        counts[r.toxic][r.word] = r.n
-    if not counts[0] or not counts[1]:
+    words = map_arrow(rows.where(~F.col("curve")).select("text", "toxic"), count, "toxic int, word string, n long")
+    model = _model(stored(words.groupBy("toxic", "word").agg(F.sum("n").alias("n"))))
+    if model is None:
         return Scorer(None)
-    model = Model(counts)
+    held = rows.where("curve")
     sent = _sent(spark, model, None)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = scorer_of(sent).features(texts(batch["text"]))
         return pa.record_batch([pa.array(x.tolist(), pa.list_(pa.float64())), batch["toxic"]], ["x", "toxic"])
 
-    got = map_arrow(held.where("curve").select("text", "toxic"), measure, "x array<double>, toxic int").collect()
+    got = map_arrow(held.select("text", "toxic"), measure, "x array<double>, toxic int").collect()
     if len({r.toxic for r in got}) < 2:
         return Scorer(None)
     x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)

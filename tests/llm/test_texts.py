@@ -85,6 +85,21 @@ def test_probabilities_sum_to_one(spark):
         assert all(0.5 < x <= 1 + 1e-9 for x in totals)
 
 
+def test_all_labelled_texts_make_the_models(spark, corpus):
+    docs, labels = corpus
+    known = docs.join(labels, "doc_id").where(~T.held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id")).collect()
+    curve = {r["doc_id"] for c in (0, 1) for r in sorted((r for r in known if r["toxic"] == c and r["h"] % 4 == 0), key=lambda r: r["h"])[:5]}
+    counts = [{}, {}]
+    for r in known:
+        if r["doc_id"] not in curve:
+            for w in r["text"].lower().split():
+                counts[r["toxic"]][w] = counts[r["toxic"]].get(w, 0) + 1
+    got, want = T.fit(docs.unionByName(docs.limit(50)), labels, sample=5).model, T.Model(counts)  # a sample of 5 bounds the curve alone
+    for a, b in zip([*got.shared, *got.own[0], *got.own[1]], [*want.shared, *want.own[0], *want.own[1]], strict=True):
+        for name in ("grams", "shares", "contexts", "left"):
+            assert np.array_equal(getattr(a, name), getattr(b, name))
+
+
 # ---- quality --------------------------------------------------------------------------
 
 
