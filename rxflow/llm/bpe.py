@@ -85,17 +85,17 @@ class Encoder:
     def __init__(self, path: str, pattern: str | None = None):
         self.ranks = vocab.ranks_of(path)
         self.pieces = vocab.bytes_of(path)
-        self.words = vocab.Words(self._merged, vocab.splitter(pattern).findall if pattern else vocab.split)
+        find = vocab.splitter(pattern).findall if pattern else None
+        self.words = vocab.Words(self._merged, lambda word: [word], find) if find else vocab.Words(self._merged)
 
-    def _merged(self, new: list[str]) -> list[bytes]:
-        return [array("I", merge(w.encode(), self.ranks)).tobytes() for w in new]
+    def _merged(self, piece: str) -> bytes:
+        return array("I", merge(piece.encode(), self.ranks)).tobytes()
 
     def encode_all(self, batch: list[str]) -> Iterator[np.ndarray]:
-        for ids in self.words.ids(batch):
-            yield np.frombuffer(ids, "<u4")
+        return map(self.encode, batch)
 
     def encode(self, text: str) -> np.ndarray:
-        return next(self.encode_all([text]))
+        return np.frombuffer(self.words.ids(text), "<u4")
 
     def decode(self, ids: Iterable[int]) -> bytes:
         pieces = self.pieces

@@ -7,8 +7,11 @@ alone, so the driver plans over the histogram of lengths: ``count`` equal pieces
 windows of equal room are handled as one run, and neither the histogram nor the plan
 grows with the corpus. Executors then look up where the k-th piece of a length goes.
 
-Defined cases: a null or empty text is one piece, the end id; copies are packed each;
-an empty table gives an empty result; a document with a null doc_id keeps it.
+Sequences of full windows have numbers above all others, which are not consecutive.
+
+Defined cases: a null or empty text is one piece, the end id; a very long one is cut into as many windows as it needs;
+copies are packed each; of pieces of equal length the one with the smaller doc_id and start comes first within a salted
+part; an empty table gives an empty result; a document with a null doc_id keeps it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -74,18 +77,20 @@ def plan(counts: Iterable[tuple[int, int]], size: int = SIZE) -> list[tuple[int,
         while rank < count:
             room = rooms.tightest(length)
             if room is None:  # new windows, each filled with this length while it fits
-                each = size // length
-                n = max(1, (count - rank) // each)
-                first, room = windows, size
-                windows += n
+                first, n, room = windows, None, size
             else:
                 first, n = runs[room].pop()
                 rooms.add(room, -n)
-            used = min(n, count - rank)
+            # a piece makes its window the tightest, so that one is filled before the next is touched
+            used = max(1, (count - rank) // (room // length))
+            if n is None:
+                windows += used
+            else:
+                used = min(n, used)
             out.append((length, rank, used, first, size - room))
             rank += used
             open_(room - length, first, used)
-            if used < n:
+            if n is not None and used < n:
                 open_(room, first + used, n - used)
     return out
 
@@ -129,7 +134,7 @@ def pack(docs: DataFrame, vocab_path: str, size: int = SIZE, end_id: int = 1) ->
     """
     spark = docs.sparkSession
     cut = stored(pieces(docs, vocab_path, size, end_id))
-    counts = [tuple(r) for r in cut.groupBy("length").agg(F.count("*")).collect()]  # size rows at most
+    counts = [tuple(r) for r in cut.where(F.col("length") < size).groupBy("length").agg(F.count("*")).collect()]  # size rows at most
     moves = plan(counts, size)
     steps = np.array(moves or np.zeros((0, 5)), np.int64).reshape(-1, 5)
     steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
@@ -150,7 +155,11 @@ def pack(docs: DataFrame, vocab_path: str, size: int = SIZE, end_id: int = 1) ->
         return pa.record_batch([*(batch[x] for x in names), *new], [*names, "sequence_id", "offset", "padded_length"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
-    return map_arrow(ranked(cut, salts), run, schema)
+    rest = map_arrow(ranked(cut.where(F.col("length") < size), salts), run, schema)
+    # a full window is a sequence by itself; the rows of a stored table keep their places, so their numbers do, too
+    number = F.lit(int((steps[:, 3] + steps[:, 2]).max(initial=0))) + F.monotonically_increasing_id()
+    full = cut.where(F.col("length") >= size).select("*", number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(size).cast("long").alias("padded_length"))
+    return full.unionByName(rest)
 
 
 def fill_of(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,14 +4,17 @@ A file is a run of records, each
     length of the payload (8 bytes), masked CRC of those 8 bytes (4),
     payload, masked CRC of the payload (4), a line feed (1);
 all numbers are little-endian. A payload is doc_id (8), number of ids (8), bytes per
-id (1), the ids. The index, a Parquet table beside the files, has a row (file, doc_id,
-offset, length) for each record, so that shuffled readers can seek. Frames are written
+id (1, of which the highest bit marks a null doc_id), the ids. The index, a Parquet table beside the files, has a row
+(file, doc_id, offset, length) for each record, so that shuffled readers can seek. Frames are written
 by Spark's text writer, whose bytes are those given and whose line end is the last byte
 of a record: thus files appear by Spark's commit protocol in whatever store Spark can
 reach, and a lost executor leaves no half-written file.
 
-Defined cases: a null or empty text has only the end id; doc_ids that repeat keep one
-record each, in an order fixed by their ids; an empty table gives an empty result.
+Texts are encoded where they are read; only finished frames, a fraction of the texts, are put in order.
+
+Defined cases: a null or empty text has only the end id, a very long one is a single record; doc_ids that repeat keep one
+record each, in an order fixed by their frames, and may share several files; rows with a null doc_id come first;
+other columns of the table are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +29,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.llm import vocab
-from rxflow.llm.common import input_bytes, map_arrow, shared_dir, table, texts, tune
+from rxflow.llm.common import map_arrow, shared_dir, stored, table, texts, tune
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qQB")
 _SUM = struct.Struct("<I")
 END = b"\n"
 
-#: A file has about so many bytes of text; files are read whole.
-FILE_BYTES = 16 << 20
+#: In the byte that tells the width of an id: the record has no doc_id.
+_NO_ID = 0x80
+
+#: A file has about so many bytes of records; files are read whole.
+FILE_BYTES = 64 << 20
 
 
 def masked(data: bytes) -> int:
@@ -43,9 +49,9 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def pack(doc_id: int, ids: np.ndarray) -> bytes:
+def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
     """A record without its line feed."""
-    body = _BODY.pack(doc_id, len(ids), ids.dtype.itemsize) + ids.tobytes()
+    body = _BODY.pack(doc_id or 0, len(ids), ids.dtype.itemsize | (_NO_ID if doc_id is None else 0)) + ids.tobytes()
     head = len(body).to_bytes(8, "little")
     return head + _SUM.pack(masked(head)) + body + _SUM.pack(masked(body))
 
@@ -55,7 +61,7 @@ def framed(ids: np.ndarray) -> int:
     return _HEAD.size + _BODY.size + ids.nbytes + 5
 
 
-def unpack(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
+def unpack(data: bytes) -> Iterator[tuple[int, int | None, np.ndarray]]:
     """Each record of a file: its offset, doc_id and ids. A broken one raises ValueError."""
     at = 0
     while at < len(data):
@@ -69,6 +75,8 @@ def unpack(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         if len(body) < size or data[end + 4 : end + 5] != END or _SUM.unpack_from(data, end)[0] != masked(body):
             raise ValueError(f"wrong payload at {at}")
         doc_id, n, width = _BODY.unpack_from(body)
+        if width & _NO_ID:
+            doc_id, width = None, width ^ _NO_ID
         ids = np.frombuffer(body, f"<u{width}", offset=_BODY.size)
         if len(ids) != n:
             raise ValueError(f"wrong number of ids at {at}")
@@ -83,18 +91,19 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0) -> DataF
     """
     spark = docs.sparkSession
     tune(spark)
-    files = max(spark.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache = vocab.words_of(vocab_path)
         end = np.array([end_id], cache.kind)
-        ids = [np.append(x, end) for x in cache.encode_all(texts(batch["text"]))]
-        frames = [pack(i, x) for i, x in zip(batch["doc_id"].to_pylist(), ids)]
-        return pa.record_batch([pa.array(frames, pa.binary())], ["frame"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    rows = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.octet_length("text"), "text")
-    map_arrow(rows, run, "frame binary").select(F.col("frame").cast("string")).write.text(f"{path}/data", lineSep=END.decode())
+        frames = [pack(i, np.append(x, end)) for i, x in zip(batch["doc_id"].to_pylist(), cache.encode_all(texts(batch["text"])))]
+        return pa.record_batch([batch["doc_id"], pa.array(map(len, frames), pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "size", "frame"])
+
+    framed = stored(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, size long, frame binary"))
+    total = framed.agg(F.sum("size")).first()[0] or 0
+    files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    order = ["doc_id", F.xxhash64("frame"), "frame"]
+    rows = framed.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
+    rows.select(F.col("frame").cast("string")).write.text(f"{path}/data", lineSep=END.decode())
     index = read(spark, path)
     index.write.parquet(f"{path}/index")
     return spark.read.schema(index.schema).parquet(f"{path}/index")
@@ -126,12 +135,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def starts(records: DataFrame) -> DataFrame:
-    """Adds ``start``, the ids of all records before; files are in order of their names.
+    """Adds ``start``, the ids of all records before; files are in order of the numbers in their names.
 
     Only one row for each file is summed in order.
     """
+    number = F.regexp_extract("file", "part-([0-9]+)", 1).cast("long")
     files = records.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    before = files.select("file", (F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file")).alias("before"))
+    before = files.select("file", (F.sum("in_file").over(Window.orderBy(number)) - F.col("in_file")).alias("before"))
     return records.join(before, "file").withColumn("start", F.col("before") + F.col("position"))
 
 

@@ -6,9 +6,8 @@ import base64
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -16,8 +15,10 @@ import regex
 
 from rxflow.llm.common import hold
 
-#: Words whose ids a process remembers at most, about; each takes some 150 bytes.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a process remembers at most, about; each takes some 200 bytes.
+CACHE_WORDS = 1_600_000
+#: Longer words are encoded whenever they are met.
+LONGEST = 64
 
 
 def vocab_file(name: str) -> str:
@@ -43,13 +44,11 @@ def bytes_of(path: str) -> list[bytes]:
 
 @lru_cache(maxsize=2)
 def tokenizer_of(path: str):
-    """A tokenizer of the tokenizers library; special tokens in a text are ordinary text."""
+    """A tokenizer of the tokenizers library as its file describes it: added tokens in a text are told from ordinary text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=2)
@@ -69,67 +68,90 @@ def split(text: str) -> list[str]:
     return _FAST.findall(text) if not _ODD_FOR_RE.search(text) else splitter().findall(text)
 
 
-class Words:
-    """Ids of texts word by word; ``encode`` gives the ids of new words, as bytes, in one call.
+# White space but blank and line feed, by Unicode or by Python, and the mark that ``chunks`` cuts by.
+_OTHER_SPACE = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    Known words live in two generations. When the young one is full it becomes the old one, and
-    words that are met again come back from there, so that rare words are forgotten.
+
+def chunks(text: str) -> list[str]:
+    """A text cut before each blank and line feed, or the whole text where pieces of the public pattern might cross such a cut.
+
+    Before white space after other characters a piece always starts. Of two white spaces before other characters the
+    first is a piece, too, and a run at the end of a text is one. Longer runs and other white space are left alone.
     """
+    body = text.rstrip(" \n")
+    if "   " in body.replace("\n", " ") or any(c in body for c in _OTHER_SPACE):
+        return [text]
+    found = body.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    if len(body) < len(text):
+        found.append(text[len(body) :])
+    return found
+
+
+class Words(dict):
+    """Ids, as bytes, of the words that were met.
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], find: Callable[[str], list[str]] = split):
-        self.encode, self.find = encode, find
-        self.young: dict[str, bytes] = {}
+    A word is what ``find`` makes of a text; one that is new is split into pieces, which are words themselves;
+    ``encode`` gives the ids of a single piece. Known words live in two generations. When the young one is full it becomes
+    the old one, and words that are met again come back from there, so that rare words are forgotten.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], pieces: Callable[[str], list[str]] = split, find: Callable[[str], list[str]] = chunks):
+        self.encode, self.pieces, self.find = encode, pieces, find
         self.old: dict[str, bytes] = {}
 
-    def ids(self, batch: list[str]) -> Iterator[bytes]:
-        """Of each text, in portions of about a million characters."""
-        portion: list[str] = []
-        room = 1 << 20
-        for text in batch:
-            portion.append(text)
-            room -= len(text)
-            if room < 0:
-                yield from self._portion(portion)
-                portion, room = [], 1 << 20
-        yield from self._portion(portion)
-
-    def _portion(self, batch: list[str]) -> Iterator[bytes]:
-        found = list(map(self.find, batch))
-        if len(self.young) > CACHE_WORDS // 2:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = set().union(*found).difference(young)
-        if old:
-            again = [w for w in new if w in old]
-            young.update([(w, old[w]) for w in again])
-            new.difference_update(again)
-        fresh = list(new)
-        young.update(zip(fresh, self.encode(fresh)))
-        for words in found:
-            yield b"".join(itemgetter(*words)(young)) if len(words) > 1 else b"".join(young[w] for w in words)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            parts = self.pieces(word)
+            ids = b"".join(map(self.__getitem__, parts)) if len(parts) > 1 else self.encode(word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE_WORDS // 2:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
+
+
+# The characters that byte-level vocabularies write for the bytes.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip(_SHOWN, _SHOWN)) | {b: 0x100 + k for k, b in enumerate(sorted(set(range(0x100)).difference(_SHOWN)))}
 
 
 class WordCache:
-    """Ids of texts by the tokenizers library, which encodes every word that isn't known."""
+    """Ids of texts by the tokenizers library, whose model merges every piece that isn't known.
+
+    A text that holds an added token (such as an end mark) is encoded by the library as a whole.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer_of(path)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = "<u4" if wide else "<u2"
-        code = "I" if wide else "H"
-        whole = self.tokenizer.encode_batch_fast
-        self.words = Words(lambda new: [array(code, e.ids).tobytes() for e in whole(new, add_special_tokens=False)], self._find)
-
-    def _find(self, text: str) -> list[str]:
-        """Words, or the library's own split where classes differ."""
-        if _ODD_FOR_TOKENIZERS.search(text):
+        self.kind, self.code = ("<u4", "I") if wide else ("<u2", "H")
+        self.words = Words(self._merged, self._pieces)
+
+    def _merged(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _pieces(self, text: str) -> list[str]:
+        """By the library's own split where classes differ."""
+        if not text.isascii() and _ODD_FOR_TOKENIZERS.search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return split(text)
 
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, of 16 bits each where the vocabulary allows."""
+        if any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.frombuffer(self.words.ids(text), self.kind)
+
     def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """An array of ids (16 bits each where the vocabulary allows) for each text."""
-        for ids in self.words.ids(texts):
-            yield np.frombuffer(ids, self.kind)
+        return map(self.encode, texts)
 
 
 _caches: dict[str, WordCache] = {}
