@@ -17,11 +17,14 @@ article that a site prints twice from a notice; so elements whose tag, class or
 what they are have a prior: those of menus, footers, adverts, forms and the like count as 0, and an
 article's own paragraphs as 1. A class or id counts only if all words of it are such names, and never on
 html or body; where names would leave a page without its article or main element, they don't count around it.
-If a page has an article or main element, only text in it counts.
+Article and main elements stand for the page where they hold at least half of the text that is left; else all that is left counts.
+
+Reading takes time in proportion to a page, also of broken markup, at any depth.
 
 Defined cases: a null or empty html has an empty text; a page without a host is of the host
-""; unclosed elements end with their parent; repeated rows are read each and count in
-the tree each; an empty table gives an empty result.
+""; a null url stays null; unclosed elements end with their parent, unclosed quotes and comments with the page or the next tag end;
+repeated rows are read each and count in the tree each; very long pages are read whole; other columns of the table are not read,
+whatever their names; of equal importance all branches are cut or none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -40,7 +44,11 @@ from rxflow.llm.common import BROADCAST_ROWS, map_arrow, stored, table, texts, t
 #: Importance under which a branch is cut, and pages of a host that must have it.
 LEAST, PAGES = 0.2, 8
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+#: The rest of a tag up to its end or to a quote that is never closed.
+_REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+")
+#: A number too long to be read; it is no character.
+_LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"://([^/?#]*)")
@@ -57,7 +65,7 @@ _ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
@@ -76,6 +84,9 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_BASE, _PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
+
+
 class Element:
     __slots__ = ("children", "main", "named", "noise", "path", "start", "tag")
 
@@ -110,7 +121,7 @@ class Page:
     def __init__(self, source: str, low: frozenset[int] = frozenset(), measure: bool = False):
         self.measure, self.low = measure, low
         self.nodes: list[tuple[int, int, int]] = []  # path, style, content
-        self.runs: list[str] = []  # all text outside of raw elements, by which content is told
+        self.sums, self.powers = [0], [1]  # of the hashes of all text outside of raw elements, by which content is told
         self.blocks: dict[bool, list[str]] = {True: [], False: []}  # in an article or main element, and all
         self.paths: list[tuple[int, int]] = []  # path, and path with text, of those in an article or main element
         self.open: list[str] = []
@@ -118,13 +129,30 @@ class Page:
         self._read(source)
         if self.lost and not self.has_main:  # names hid every article: they were not of what it holds
             found = self.nodes
-            self.nodes, self.runs, self.blocks, self.paths = [], [], {True: [], False: []}, []
+            self.nodes, self.blocks, self.paths = [], {True: [], False: []}, []
+            self.sums = [0]
             self._read(source, rescue=True)
             self.nodes = found
 
+    def _say(self, text: str, noise: bool) -> None:
+        if not noise:
+            self.open.append(text)
+        if self.measure and (run := text.strip()):
+            self.sums.append((self.sums[-1] * _BASE + xxhash.xxh3_64_intdigest(run.encode())) % _PRIME)
+
+    def _content(self, start: int) -> int:
+        """A hash of all text since a place."""
+        n = len(self.sums) - 1 - start
+        while len(self.powers) <= n:
+            self.powers.append(self.powers[-1] * _BASE % _PRIME)
+        return (self.sums[-1] - self.sums[start] * self.powers[n]) % _PRIME
+
     def _flush(self, main: bool, path: int) -> None:
         if self.open:
-            text = _SPACE.sub(" ", html.unescape("".join(self.open))).strip()
+            text = "".join(self.open)
+            if "&#" in text and len(text) > 4000:
+                text = _LONG_NUMBER.sub("\ufffd", text)
+            text = _SPACE.sub(" ", html.unescape(text)).strip()
             self.open = []
             if text:
                 self.blocks[False].append(text)
@@ -132,38 +160,72 @@ class Page:
                     self.blocks[True].append(text)
                     self.paths.append((path, xxhash.xxh3_64_intdigest(f"{path} {text}".encode()) >> 1))
 
-    def _close(self, stack: list[Element], size: int) -> None:
+    def _close(self, size: int) -> None:
+        stack = self.stack
         while len(stack) > size:
             e = stack.pop()
-            if e.tag in _BLOCK and not e.noise:
-                self._flush(e.main, e.path)
+            self.places[e.tag].pop()
+            if e.tag in _BLOCK:
+                self.around.pop()
+                if not e.noise:
+                    self._flush(e.main, e.path)
             if self.measure:
-                content = xxhash.xxh3_64_intdigest("".join(self.runs[e.start :]).strip().encode())
-                style = xxhash.xxh3_64_intdigest(",".join(e.children).encode())
-                self.nodes.append((e.path, style, content))
+                self.nodes.append((e.path, xxhash.xxh3_64_intdigest(",".join(e.children).encode()), self._content(e.start)))
+
+    def _push(self, e: Element) -> None:
+        if e.tag in _BLOCK:
+            self.around.append(len(self.stack))
+        self.places.setdefault(e.tag, []).append(len(self.stack))
+        self.stack.append(e)
+
+    def _last(self, tags: frozenset[str]) -> int:
+        """Where in the stack the last element of some tags is; 0 if there is none."""
+        return max([at[-1] for t in tags if (at := self.places.get(t))], default=0)
+
+    def _tags(self, source: str) -> Iterator[tuple[str, str, bool, str, int]]:
+        """The text before each tag, the tag, whether it ends an element, its attributes and where it ends; at last the text left.
+
+        What is sent back says where to go on.
+        """
+        begin, at, n = 0, 0, len(source)
+        while (lt := source.find("<", at)) >= 0:
+            m = _TAG.match(source, lt)
+            if m:
+                first = m.end()
+                end = _REST.match(source, first).end()
+                while end < n and source[end] != ">":  # at the last quote of its kind, which is no quote then
+                    end = _REST.match(source, end + 1).end()
+                begin = at = (yield source[begin:lt], m[2].lower(), bool(m[1]), source[first:end], min(end + 1, n)) or min(end + 1, n)
+            elif source.startswith(("<!", "<?"), lt):
+                mark = "-->" if source.startswith("<!--", lt) else ">"
+                end = source.find(mark, lt + 2 * len(mark) - 2)
+                yield source[begin:lt], "", False, "", 0
+                begin = at = n if end < 0 else end + len(mark)
+            else:
+                at = lt + 1
+        yield source[begin:], "", False, "", n
 
     def _read(self, source: str, rescue: bool = False) -> None:
         root = Element("", 0, False, False, 0)
-        stack, at, n = [root], 0, len(source)
-        while at < n:
-            m = _TAG.search(source, at)
-            text = source[at : m.start() if m else n]
+        self.stack: list[Element] = [root]
+        self.places: dict[str, list[int]] = {"": [0]}
+        self.around: list[int] = []
+        stack, n, go = self.stack, len(source), None
+        tags = self._tags(source)
+        while True:
+            try:
+                text, tag, ends, attributes, at = tags.send(go)
+            except StopIteration:
+                break
+            go = None
             top = stack[-1]
             if text:
-                self.runs.append(text)
-                if not top.noise:
-                    self.open.append(text)
-            if not m:
-                break
-            at = m.end()
-            if m[2] is None:
+                self._say(text, top.noise)
+            if not tag:
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        self._close(stack, k)
-                        break
+            if ends:
+                if place := self._last(frozenset([tag])):
+                    self._close(place)
                 continue
             if tag == "br":
                 if not top.noise:
@@ -171,26 +233,17 @@ class Page:
                 continue
             if tag in _ENDS:
                 same, wall = _ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in wall:
-                        break
-                    if stack[k].tag in same and (tag != "tr" or stack[k].tag == "tr"):
-                        self._close(stack, k)
-                        break
-            elif tag in _BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        self._close(stack, k)
-                        break
-                    if stack[k].tag in _BLOCK:
-                        break
+                if (place := self._last(same)) > self._last(wall):
+                    self._close(place)
+            elif tag in _BLOCK and self.around and stack[self.around[-1]].tag == "p":
+                self._close(self.around[-1])
             top = stack[-1]
             top.children.append(tag)
             if tag in _VOID:
                 if tag == "hr" and not top.noise:
                     self._flush(top.main, top.path)
                 continue
-            names, role = _named(tag, m[3]) if "=" in m[3] else ("", "")
+            names, role = _named(tag, attributes) if "=" in attributes else ("", "")
             path = xxhash.xxh3_64_intdigest(f"{top.path} {tag}{names}/{role}".encode()) >> 1
             is_main = tag in ("article", "main") or role in ("main", "article")
             hidden = top.named and is_main
@@ -206,27 +259,41 @@ class Page:
                 self._flush(top.main, top.path)
             main = (top.main or is_main) and not noise
             self.has_main = self.has_main or main
-            if m[3].endswith("/") and tag not in _BLOCK:
+            if attributes.endswith("/") and tag not in _BLOCK:
                 continue
-            stack.append(Element(tag, path, noise, main, len(self.runs), named))
+            self._push(Element(tag, path, noise, main, len(self.sums) - 1, named))
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-                self._close(stack, len(stack) - 1)
-        self._close(stack, 1)
-        if not root.noise:
-            self._flush(False, 0)
+                go = end.end() if end else n
+                self._close(len(stack) - 1)
+        self._close(1)
+        self._flush(False, 0)
 
     @property
     def text(self) -> str:
-        if not self.has_main:
-            return "\n".join(self.blocks[False])
-        left = [b for b, (_, key) in zip(self.blocks[True], self.paths) if key not in self.low]
-        return "\n".join(left or self.blocks[True])
+        found = [b for b, (_, key) in zip(self.blocks[True], self.paths) if key not in self.low] or self.blocks[True]
+        if 2 * sum(map(len, self.blocks[True])) < sum(map(len, self.blocks[False])):
+            found = self.blocks[False]
+        return "\n\n".join(found)
+
+
+def _marks(page: Page) -> Iterator[tuple[int, int, int]]:
+    """``path, block, other``: each block of an article (-1: any) with a mark of the main text around it."""
+    if not page.has_main:
+        return
+    of = {key: text for (_, key), text in zip(page.paths, page.blocks[True])}
+    long = sorted(set(of.values()), key=lambda x: (-len(x), x))[:2]
+    marks = [xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in long]
+    whole = xxhash.xxh3_64_intdigest("\n".join(page.blocks[True]).encode()) >> 1
+    for path, key in page.paths:
+        yield path, -1, whole
+        if len(long) > 1:
+            yield path, key, marks[of[key] == long[0]]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, kind, pages, importance`` of the presentation (0) and content (1) nodes of every path."""
+    """``host, path, kind, pages, importance`` of the presentation (0) and content (1) nodes of every path, and of the blocks
+    of articles (2), whose path is that of their element with their text. Stored."""
     tune(pages.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -234,83 +301,67 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for url, source in zip(batch["url"].to_pylist(), texts(batch["html"])):
             host = host_of(url)
             once: dict[int, tuple[int, int]] = {}
-            for path, style, content in Page(source, measure=True).nodes:  # a path's elements on a page are one node
+            page = Page(source, measure=True)
+            for path, style, content in page.nodes:  # a path's elements on a page are one node
                 s, c = once.get(path, (0, 0))
                 once[path] = (s * 31 + style) % 2**63, (c * 31 + content) % 2**63
             for path, (style, content) in once.items():
-                seen[host, path, 0, style] += 1
-                seen[host, path, 1, content] += 1
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
+                seen[host, path, 0, 0, style] += 1
+                seen[host, path, 1, 0, content] += 1
+            for path, block, other in set(_marks(page)):
+                seen[host, path, 2, block, other] = 1
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         cols = [pa.array(x, k) for x, k in zip(zip(*seen), kinds)] if seen else [pa.array([], k) for k in kinds]
-        return pa.record_batch([*cols, pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "value", "n"])
+        return pa.record_batch([*cols, pa.array(list(seen.values()), pa.int64())], ["host", "path", "kind", "block", "value", "n"])
 
-    rows = map_arrow(pages.select("url", "html"), run, "host string, path long, kind int, value long, n long")
-    each = rows.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    sums = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("s"))
+    rows = map_arrow(pages.select("url", "html"), run, "host string, path long, kind int, block long, value long, n long")
+    each = rows.groupBy("host", "path", "kind", "block", "value").agg(F.sum("n").alias("n"))
+    logs = F.sum(F.col("n") * F.log(F.col("n").cast("double")))
+    sums = stored(each.groupBy("host", "path", "kind", "block").agg(F.sum("n").alias("pages"), logs.alias("s"), F.count("*").alias("others")))
     m = F.col("pages").cast("double")
-    return sums.select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, (F.log(m) - F.col("s") / m) / F.log(m)).otherwise(1.0).alias("importance"))
+    nodes = sums.where("kind < 2").select("host", "path", "kind", "pages", F.when(F.col("pages") > 1, (F.log(m) - F.col("s") / m) / F.log(m)).otherwise(1.0).alias("importance"))
+    every = sums.where("kind = 2 AND block = -1").select("host", "path", F.col("others").cast("double").alias("m"))
+    n, m = F.col("others").cast("double"), F.col("m")
+    blocks = sums.where("kind = 2 AND block <> -1 AND others > 1").join(every, ["host", "path"])
+    blocks = blocks.select("host", F.col("block").alias("path"), "kind", F.col("others").alias("pages"), (1 - n * F.log(n) / (m * F.log(m))).alias("importance"))
+    return stored(nodes.unionByName(blocks))
 
 
 def low_paths(tree: DataFrame, least: float = LEAST, pages: int = PAGES) -> DataFrame:
-    """``host, path`` of the branches to cut: neither their presentation nor their content matters."""
+    """``host, path`` of the branches to cut, of which neither presentation nor content matters, and of the blocks to cut."""
     both = tree.groupBy("host", "path").agg(F.max("importance").alias("importance"), F.max("pages").alias("pages"))
     return both.where((F.col("pages") >= pages) & (F.col("importance") < least)).select("host", "path")
 
 
-def low_blocks(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES) -> DataFrame:
-    """``host, path`` of the blocks of articles to cut; a block's path is that of its element with its text."""
-    tune(pages.sparkSession)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: set[tuple[str, int, int, int]] = set()
-        for url, source in zip(batch["url"].to_pylist(), texts(batch["html"])):
-            page = Page(source)
-            if not page.has_main:
-                continue
-            host = host_of(url)
-            of = {key: text for (_, key), text in zip(page.paths, page.blocks[True])}
-            long = sorted(set(of.values()), key=lambda x: (-len(x), x))[:2]
-            marks = [xxhash.xxh3_64_intdigest(x.encode()) >> 1 for x in long]
-            whole = xxhash.xxh3_64_intdigest("\n".join(page.blocks[True]).encode()) >> 1
-            for path, key in page.paths:
-                seen.add((host, path, -1, whole))
-                if len(long) > 1:
-                    seen.add((host, path, key, marks[of[key] == long[0]]))
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-        cols = [pa.array(x, k) for x, k in zip(zip(*seen), kinds)] if seen else [pa.array([], k) for k in kinds]
-        return pa.record_batch(cols, ["host", "path", "block", "other"])
-
-    rows = map_arrow(pages.select("url", "html"), run, "host string, path long, block long, other long")
-    counts = stored(rows.distinct().groupBy("host", "path", "block").agg(F.count("*").alias("n")).where((F.col("block") == -1) | (F.col("n") >= min_pages)))
-    m = counts.where("block = -1").select("host", "path", F.col("n").alias("m"))
-    n, m = counts.where("block <> -1").join(m, ["host", "path"]), F.col("m").cast("double")
-    share = F.col("n") * F.log(F.col("n").cast("double")) / (m * F.log(m))
-    return n.where((F.col("n") > 1) & (1 - share < least)).select("host", F.col("block").alias("path"))
-
-
 def extract(pages: DataFrame, least: float = LEAST, min_pages: int = PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     spark = pages.sparkSession
     tune(spark)
-    low = stored(low_paths(style_tree(pages), least, min_pages).unionByName(low_blocks(pages, least, min_pages)))
+    low = stored(low_paths(style_tree(pages), least, min_pages))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)))
-    small = low.count() <= BROADCAST_ROWS
-    paths = low.groupBy("host").agg(F.collect_list("path").alias("low"))
-    rows = rows.join(F.broadcast(paths) if small else paths, "host", "left")
+    if low.count() <= BROADCAST_ROWS:
+        sets: dict[str, set[int]] = {}
+        for r in low.toLocalIterator():
+            sets.setdefault(r["host"], set()).add(r["path"])
+        sent = spark.sparkContext.broadcast({host: frozenset(paths) for host, paths in sets.items()})
+        rows = rows.withColumn("low", F.lit(None).cast("array<long>"))
+    else:  # a host may hold a third of all pages, so each list goes to as many places
+        sent = spark.sparkContext.broadcast({})
+        salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        lists = low.groupBy("host").agg(F.collect_list("path").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1)))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(lists, ["host", "salt"], "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets: dict[str, frozenset[int]] = {}
         out = []
-        for host, source, low in zip(batch["host"].to_pylist(), texts(batch["html"]), batch["low"]):
-            if host not in sets:
-                sets[host] = frozenset(low.as_py() or ())
-            out.append(Page(source, sets[host]).text)
+        for url, source, low in zip(batch["url"].to_pylist(), texts(batch["html"]), batch["low"]):
+            held = frozenset(low.as_py()) if low.is_valid else sent.value.get(host_of(url), frozenset())
+            out.append(Page(source, held).text)
         return pa.record_batch(
             [batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"]
         )
 
-    return map_arrow(rows.select("page_id", "url", "host", "html", "low"), run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows.select("page_id", "url", "html", "low"), run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

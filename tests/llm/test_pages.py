@@ -1,7 +1,10 @@
 """Operators 4 and 6 against expectations by hand and brute force."""
 
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -20,17 +23,17 @@ def text(source, low=frozenset()):
     ("source", "want"),
     [
         ("", ""),
-        ("<p>a<p>b", "a\nb"),
+        ("<p>a<p>b", "a\n\nb"),
         ("a &lt; b &amp;c &copy; x&#233;", "a < b &c © xé"),
         ("<html><head><title>T</title><style>p{}</style></head><body><script>var t='</p>';</script><p>x", "x"),
-        ("<nav>menu</nav><article><h1>T</h1><p>x <i>y</i>z<br>w</p><ul><li>1<li>2</ul></article><footer>f</footer>tail", "T\nx yz w\n1\n2"),
-        ("<div class='sidebar big'>s</div><div id=main-text>body <form>f</form>more</div>", "body\nmore"),
+        ("<nav>menu</nav><article><h1>T</h1><p>x <i>y</i>z<br>w</p><ul><li>1<li>2</ul></article><footer>f</footer>tail", "T\n\nx yz w\n\n1\n\n2"),
+        ("<div class='sidebar big'>s</div><div id=main-text>body <form>f</form>more</div>", "body\n\nmore"),
         ("<article><p>a</p><section class='comments'><p>c</p></section><aside>x</aside></article>", "a"),
-        ("<main><header><h1>t</h1></header><p>b</p></main><header>top</header>", "t\nb"),
+        ("<main><header><h1>t</h1></header><p>b</p></main><header>top</header>", "t\n\nb"),
         ("<div role=navigation>n</div><p>a\n\t b</p><!-- <p>no</p> -->", "a b"),
-        ("<article><p><b>unclosed<p>next</article><p>out", "unclosed\nnext"),
+        ("<article><p><b>unclosed<p>next</article><p>out", "unclosed\n\nnext"),
         ("<p>cut off &am", "cut off &am"),
-        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
         ("<script>never closed", ""),
     ],
 )
@@ -44,7 +47,7 @@ def test_main_text(source, want):
         ("<body class='home has-sidebar'><article><p>a</p></article></body>", "a"),
         ("<body class=sidebar id='content-with-comments'><p>a</p></body>", "a"),
         ("<div class='page-header-fixed no-sidebar'><nav>n</nav><main><p>a</p></main></div>", "a"),
-        ("<article><div class='article-header'><h1>t</h1></div><p>a</p></article>", "t\na"),
+        ("<article><div class='article-header'><h1>t</h1></div><p>a</p></article>", "t\n\na"),
         ("<div class=widget><div><p>w</p><article><p>a</p></article></div></div>", "a"),
         ("<article><p>a</p></article><div class=comments><article><p>c</p></article></div>", "a"),
         ("<article><p>a</p><div class='ad-banner'><article>c</article></div></article>", "a"),
@@ -60,12 +63,36 @@ def test_names_hide_no_article(source, want):
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<", ">", "<!--", "-->", "<li>", "<ul>", "</ul>", "a b", "&amp", "<td>", "</x>", "<br/>", "<article>", "\"", "<a href='"]), max_size=25))
 def test_any_markup_is_read(parts):
     page = H.Page("".join(parts), measure=True)
-    assert page.text == page.text.strip() and "\n\n" not in page.text
+    assert all(b and b == " ".join(b.split()) for b in page.text.split("\n\n")) or page.text == ""
 
 
-def test_long_pages_take_linear_time():
-    for part in ("<", "<a ", "<!--", "<b>", "</b>", "<p>x", "<a href=\"", "&", "<li>"):
-        H.Page(part * 20_000)
+@pytest.mark.parametrize("part", ["<", "<a ", "<!--", "<b>", "</b>", "<p>x", "<a href=\"", "&", "<li>", "<b>x", "<ul><li>", "<p></p>", "<!", "<table><tr><td>", "<a \"'>"])
+def test_long_pages_take_linear_time(part):
+    for tail in ("", ' "', "'>"):
+        start = time.perf_counter()
+        H.Page(part * 20_000 + tail, measure=True)
+        assert time.perf_counter() - start < 5
+
+
+def test_broken_pages_take_linear_time():
+    deep = "<b>" * 20_000
+    for page in ("<a" * 200_000 + ' "', deep + "</i>" * 20_000, deep + "<p></p>" * 20_000, "<li>" + deep + "<ul>" + deep + "<li></li>" * 20_000, "&#" + "9" * 9_000 + ";"):
+        start = time.perf_counter()
+        H.Page(page, measure=True)
+        assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article>teaser</article><div class=content><p>the real, long text</p></div>", "teaser\n\nthe real, long text"),
+        ("<div><p>short</p></div><article><p>the real, long text</p></article>", "the real, long text"),
+        ("<table><tr><td><table><td>a<tr><td>b</table>c<tr><td>d</table>", "a\n\nb\n\nc\n\nd"),
+        ("a <b c='x>y'>d</b> < e <a title=\"un>closed>f", "a d < e closed>f"),
+    ],
+)
+def test_where_the_main_text_is(source, want):
+    assert text(source) == want
 
 
 def site(rng, n):
@@ -74,13 +101,13 @@ def site(rng, n):
     for i in range(n):
         body = [" ".join(word() for _ in range(rng.randrange(5, 20))) for _ in range(rng.randrange(1, 4))]
         page = "<body><div class=top>Our site</div><div class=story>" + "".join(f"<p>{b}</p>" for b in body) + "</div><div class=legal>All rights kept <b>here</b></div></body>"
-        rows.append((i, f"https://Site{i % 2}.example.org/x/{i}", page, "\n".join(body)))
+        rows.append((i, f"https://Site{i % 2}.example.org/x/{i}", page, "\n\n".join(body)))
     return rows
 
 
 def test_repeated_branches_are_cut(spark):
     rows = site(random.Random(1), 40)
-    more = [(100, None, None, ""), (101, "https://lone.example.org/", "<body><div class=top>Our site</div><p>x</p></body>", "Our site\nx"), (102, "x", "", "")]
+    more = [(100, None, None, ""), (101, "https://lone.example.org/", "<body><div class=top>Our site</div><p>x</p></body>", "Our site\n\nx"), (102, "x", "", "")]
     pages = spark.createDataFrame(rows + more, "page_id long, url string, html string, want string").withColumn("low", F.lit("clash"))
     got = {r["page_id"]: r for r in H.extract(pages).collect()}
     for i, url, _, want in rows + more:
@@ -91,7 +118,7 @@ def test_repeated_branches_are_cut(spark):
 def test_articles_that_a_site_repeats_are_kept(spark):
     page = "<article><h1>Same</h1><p>again</p></article>"
     pages = spark.createDataFrame([(i, "http://h.org/", page) for i in range(20)], "page_id long, url string, html string")
-    assert {r["text"] for r in H.extract(pages).collect()} == {"Same\nagain"}
+    assert {r["text"] for r in H.extract(pages).collect()} == {"Same\n\nagain"}
 
 
 def test_notices_in_articles_are_cut(spark):
@@ -101,8 +128,8 @@ def test_notices_in_articles_are_cut(spark):
     rows = []
     for i in range(30):
         body = [" ".join(word() for _ in range(20)) for _ in range(3)]
-        rows.append((i, "http://h.org/", "<article>" + "".join(f"<p>{x}</p>" for x in [body[0], notice, *body[1:]]) + "<ul><li>Share</li></ul></article>", "\n".join(body)))
-    rows.append((30, "http://few.org/", rows[0][2], f"{rows[0][3].split(chr(10))[0]}\n{notice}\n" + "\n".join([*rows[0][3].split("\n")[1:], "Share"])))
+        rows.append((i, "http://h.org/", "<article>" + "".join(f"<p>{x}</p>" for x in [body[0], notice, *body[1:]]) + "<ul><li>Share</li></ul></article>", "\n\n".join(body)))
+    rows.append((30, "http://few.org/", rows[0][2], "\n\n".join([(parts := rows[0][3].split("\n\n"))[0], notice, *parts[1:], "Share"])))
     rows.append((31, "http://h.org/", f"<article><p>{notice}</p></article>", notice))  # nothing else would be left
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
     got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
@@ -115,6 +142,36 @@ def test_importance(spark):
     assert sorted(round(v, 6) for (_, kind), v in by_kind.items() if kind == 1) == [0.0, 1.0]
 
 
+def test_the_tree_decides_on_a_site_without_landmarks(spark):
+    rows = site(random.Random(4), 60)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    with_tree = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in H.extract(pages, least=0.0).collect()}
+    assert all(with_tree[i] == want and without[i] != want for i, _, _, want in rows)
+
+
+def test_importance_by_brute_force(spark):
+    rng = random.Random(5)
+    shown = [(i, f"http://h{i % 2}.org/", f"<div class=a>{rng.choice('xyz')}</div><div class=b>{rng.choice('xy')}<i>{i % 3}</i></div>") for i in range(40)]
+    got = {(r["host"], r["path"], r["kind"]): r["importance"] for r in H.style_tree(spark.createDataFrame(shown, "page_id long, url string, html string")).collect()}
+    values = {}
+    for _, url, source in shown:
+        for path, style, content in H.Page(source, measure=True).nodes:
+            for kind, value in ((0, style), (1, content)):
+                values.setdefault((H.host_of(url), path, kind), []).append(value)
+    assert got.keys() == values.keys()
+    for key, seen in values.items():
+        entropy = -sum(c / len(seen) * math.log(c / len(seen), len(seen)) for c in Counter(seen).values())
+        assert got[key] == pytest.approx(entropy, abs=1e-9)
+
+
+def test_lists_of_a_host_that_are_too_many_are_joined(spark, monkeypatch):
+    rows = site(random.Random(6), 40)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    assert {r["page_id"]: r["text"] for r in H.extract(pages).collect()} == {i: want for i, _, _, want in rows}
+
+
 # ---- URLs -----------------------------------------------------------------------------
 
 
