@@ -43,7 +43,7 @@ class Identity:
     def fingerprint(self, molecule: Column) -> Column:
         from rxflow.functions.exprs import kmers
 
-        return F.array_sort(F.array_distinct(F.transform(kmers(molecule, 2), lambda k: F.pmod(F.xxhash64(k), F.lit(2048)).cast("int"))))
+        return F.array_sort(F.transform(kmers(molecule, 2), lambda k: F.ascii(k) * 0x110000 + F.ascii(F.substring(k, 2, 1))))
 
 
 class Pure:

@@ -74,10 +74,9 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 
 def tanimoto(a: Column, b: Column) -> Column:
-    """Of two arrays of on-bits; null if either is null. Two empty ones are alike to 0."""
-    both = F.size(F.array_union(a, b))
-    ratio = F.when(both > 0, F.size(F.array_intersect(a, b)) / F.when(both > 0, both)).otherwise(0.0)
-    return F.when(a.isNotNull() & b.isNotNull(), ratio)
+    """Of two arrays of distinct on-bits; null if either is null. Two empty ones are alike to 0."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(a.isNotNull() & b.isNotNull(), both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 # ---- tokens and k-mers ----------------------------------------------------------------
@@ -190,6 +189,7 @@ def readable(number: Column) -> Column:
 
 def model_input(reactants: Column) -> Column:
     """A sequence-to-sequence prompt: the reactants and an empty block of reagents."""
+    # The marks of the blocks.
     return F.concat(F.lit("REACTANT:"), reactants, F.lit("REAGENT:"))
 
 

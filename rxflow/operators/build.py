@@ -204,9 +204,7 @@ def build_reactions(
         .when((F.col("src_n_tokens") > max_tokens) | (F.col("tgt_n_tokens") > max_tokens), "too_long")
         .otherwise("out"),
     )
-    key = ["reactant_smiles", "product_smiles", *dedup_extra_cols]
-    again = F.row_number().over(Window.partitionBy("first_status", *key).orderBy(*order)) > 1
-    rows = rows.withColumn("status", F.when((F.col("first_status") == "out") & again, "duplicate").otherwise(F.col("first_status"))).drop("first_status")
+    rows = _duplicates_told(rows, ["reactant_smiles", "product_smiles", *dedup_extra_cols], order)
     out = rows.where("status = 'out'").select(
         "reactant_smiles",
         "product_smiles",
@@ -220,6 +218,22 @@ def build_reactions(
     return numbered(out, ["reactant_smiles", "product_smiles", *extra_cols]).select(*REACTION_COLUMNS, *extra_cols), rows
 
 
+def _duplicates_told(rows: DataFrame, key: Sequence[str], order: Sequence[str], salts: int = 64) -> DataFrame:
+    """``status`` from ``first_status``: of good rows with equal keys all but the first are duplicates.
+
+    Rejects, which may share a key of nulls, are dealt by a hash and compared with none. A key of very many good rows is
+    dealt over ``salts`` parts, and only the first row of each part meets those of the others.
+    """
+    spread = F.xxhash64(*order)
+    good = F.col("first_status") == "out"
+    first_in = lambda part: F.row_number().over(Window.partitionBy(*key, part).orderBy(*order)) == 1
+    rows = rows.withColumn("_part", F.when(good, F.pmod(spread, F.lit(salts))).otherwise(spread))
+    rows = rows.withColumn("_first", good & first_in("_part"))
+    rows = rows.withColumn("_part", F.when(F.col("_first"), -1).otherwise(spread))
+    rows = rows.withColumn("_first", F.col("_first") & first_in("_part"))
+    return rows.withColumn("status", F.when(good & ~F.col("_first"), "duplicate").otherwise(F.col("first_status"))).drop("first_status", "_part", "_first")
+
+
 def numbered(df: DataFrame, by: Sequence[str], name: str = "reaction_id") -> DataFrame:
     """Consecutive numbers from 0 in a total order, without sorting all rows in one task.
 
@@ -245,6 +259,17 @@ def attach_sequences(reactions: DataFrame, sequences: DataFrame) -> DataFrame:
     return back.select(*reactions.columns, *[c for c in ("sequence", "seq_len") if c not in reactions.columns])
 
 
+def first_of(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The first row of each key in an order, found before any shuffle by partial minima."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("_first")).select(key, "_first.*")
+
+
+def lacking(rows: DataFrame, held: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is in no row of ``held``; rows without a key stay."""
+    return rows.join(held.select(on).distinct(), on, "left_anti")
+
+
 def train_products(reactions: DataFrame, split_col: str = "split") -> DataFrame:
     """Distinct product molecules of the training rows."""
     return reactions.where(F.col(split_col) == "train").select(F.explode(E.molecules(F.col("product_smiles"))).alias("smiles")).distinct()

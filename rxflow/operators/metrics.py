@@ -177,10 +177,23 @@ def nearest_reference(frame: DataFrame, of: Backend | None = None) -> DataFrame:
 
 
 def matches(frame: DataFrame, of: Backend | None = None) -> DataFrame:
-    """``row_id, rank, prediction, exact``: whether each prediction is the whole reference set."""
-    rows = prepared(frame, of).select("row_id", "ref_set", F.posexplode(F.arrays_zip("predictions", "pred_sets")).alias("at", "p"))
-    exact = (F.size("p.pred_sets") > 0) & E.same_set(F.col("p.pred_sets"), F.col("ref_set"))
-    return rows.select("row_id", (F.col("at") + 1).alias("rank"), F.col("p.predictions").alias("prediction"), exact.alias("exact"))
+    """``row_id, rank, prediction, exact, best_tanimoto`` of each prediction: whether it is the whole reference set, and its
+    largest Tanimoto similarity to a reference.
+
+    That is null without references, or if the prediction or all references are invalid. Fingerprints are made once for each distinct side.
+    """
+    of = of or Identity()
+    rows = prepared(frame, of)
+    each = rows.select("row_id", "ref_set", F.posexplode(F.arrays_zip("predictions", "pred_sets")).alias("at", "p"))
+    each = each.select("row_id", "at", "ref_set", "p.*")
+    refs = rows.select("row_id", F.explode(F.array_distinct("references")).alias("molecule"))
+    sides = refs.select("molecule").unionByName(each.select(F.col("predictions").alias("molecule")))
+    bits = dimension(sides, "molecule", of, fingerprints=True).where("bits IS NOT NULL").select("molecule", "bits")
+    refs = refs.join(bits, "molecule").groupBy("row_id").agg(F.collect_list("bits").alias("ref_bits"))
+    each = each.join(bits, each.predictions == bits.molecule, "left").join(refs, "row_id", "left")
+    exact = (F.size("pred_sets") > 0) & E.same_set(F.col("pred_sets"), F.col("ref_set"))
+    best = F.array_max(F.transform("ref_bits", lambda r: E.tanimoto(F.col("bits"), r)))
+    return each.select("row_id", (F.col("at") + 1).alias("rank"), F.col("predictions").alias("prediction"), exact.alias("exact"), best.alias("best_tanimoto"))
 
 
 def recovered(frame: DataFrame, of: Backend | None = None) -> DataFrame:

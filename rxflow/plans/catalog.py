@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
-from rxflow.operators import build, cluster, metrics, profile, split
+from rxflow.operators import build, cluster, embed, metrics, profile, split, tokens
 from rxflow.plans import runner
-from rxflow.sources import tables
+from rxflow.sources import lookups, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,8 +58,13 @@ def _tok(text: str) -> str:
 
 @query(f"SELECT doc_id, CAST(len({_tok('text')}) AS BIGINT) AS n_tokens, array_to_string({_tok('text')}, '') = text AS lossless FROM documents")
 def atom_token_counts(spark, sf):
-    c = F.col("text")
-    return t(spark, sf, "documents").select("doc_id", F.size(E.atom_tokens(c)).cast("long").alias("n_tokens"), E.reconstructs(c).alias("lossless"))
+    rows = t(spark, sf, "documents").select("doc_id", "text", E.atom_tokens(F.col("text")).alias("tokens"))  # matched once
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), (F.array_join("tokens", "") == F.col("text")).alias("lossless"))
+
+
+@query(f"SELECT DISTINCT token FROM (SELECT unnest({_tok('text')}) AS token FROM documents) WHERE length(token) > 1")
+def atom_vocabulary(spark, sf):
+    return tokens.atom_vocabulary(t(spark, sf, "documents"), "text")
 
 
 @query(f"SELECT token, COUNT(*) AS n, length(token) > 1 AS multichar FROM (SELECT unnest({_tok('text')}) AS token FROM documents) GROUP BY token")
@@ -70,8 +75,8 @@ def token_vocabulary(spark, sf):
 
 @query(f"SELECT p_partkey, array_to_string({_tok('p_name')}, ' ') AS tokens, regexp_replace(array_to_string({_tok('p_name')}, ' '), '\\s+', '', 'g') AS back FROM part")
 def token_roundtrip(spark, sf):
-    tokens = E.tokens_to_text(F.col("p_name"))
-    return t(spark, sf, "part").select("p_partkey", tokens.alias("tokens"), E.text_to_smiles(tokens).alias("back"))
+    spaced = E.tokens_to_text(F.col("p_name"))
+    return t(spark, sf, "part").select("p_partkey", spaced.alias("tokens"), E.text_to_smiles(spaced).alias("back"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_returnflag LIKE '%R%' THEN 'reversed' ELSE 'forward' END AS direction, l_discount >= 0.05 AND l_linestatus = 'F' AS good FROM lineitem")
@@ -101,10 +106,10 @@ def refs_explode(spark, sf):
     return t(spark, sf, "events").select("event_id", "user_id", F.explode(tables.list_literal(refs)).alias("uniprot_id"))
 
 
-@query("SELECT doc_id, CASE WHEN length(source) > 4 THEN substr(source, 1, 1) || '…' ELSE source END AS label, replace(replace(replace(substr(text, 1, 40), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM documents WHERE contains(lower(lang || ' ' || source), 'src1')")
+@query("SELECT doc_id, CASE WHEN length(source) > 4 THEN substr(source, 1, 1) || '…' ELSE source END AS label, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS safe FROM documents WHERE contains(lower(lang || ' ' || source), 'src1')")
 def substring_browse(spark, sf):
     rows = t(spark, sf, "documents").where(E.matches("SRC1", F.col("lang"), F.col("source")))
-    return rows.select("doc_id", E.shortened(F.col("source"), 4).alias("label"), E.escape_xml(F.substring("text", 1, 40)).alias("safe"))
+    return rows.select("doc_id", E.shortened(F.col("source"), 4).alias("label"), E.escape_xml(F.col("text")).alias("safe"))
 
 
 # ---- reactions ------------------------------------------------------------------------
@@ -185,8 +190,7 @@ def build_stats(spark, sf):
 def dedupe_priority(spark, sf):
     docs = t(spark, sf, "documents").select(F.md5("text").alias("text_key"), "doc_id", "source", "lang")
     rows = build.in_order(docs.where("lang = 'en'"), docs.where("lang <> 'en'"))
-    first = rows.groupBy("text_key").agg(F.min(F.struct("source_rank", "doc_id", "source")).alias("f"))
-    return first.select("text_key", "f.doc_id", "f.source")
+    return build.first_of(rows, "text_key", ["source_rank", "doc_id"]).select("text_key", "doc_id", "source")
 
 
 _LISTS = """lists AS (SELECT s_nationkey AS nation, list_sort(list(s_suppkey)) AS accs FROM supplier GROUP BY s_nationkey)"""
@@ -225,15 +229,15 @@ def resolve_explode_all(spark, sf):
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def complement_rows(spark, sf):
-    return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+    return build.lacking(t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels"), "doc_id")
 
 
 @query("SELECT d.doc_id, CAST(coalesce(l.quality, 9) AS INT) AS quality, CASE WHEN l.quality IS NULL THEN 'fallback' ELSE 'primary' END AS origin FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)")
 def fallback_attach(spark, sf):
-    found = t(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = t(spark, sf, "documents").select("doc_id")
-    rest = docs.join(found, "doc_id", "left_anti").select("doc_id", F.lit(9).alias("quality"), F.lit("fallback").alias("origin"))
-    return docs.join(found, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), F.lit("primary").alias("origin")).unionByName(rest)
+    found = t(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    first = lambda wanted: wanted.join(found, "doc_id")
+    second = lambda rest: rest.select("doc_id", F.lit(9).alias("quality"))
+    return lookups.with_fallback(spark, t(spark, sf, "documents").select("doc_id"), first, second, "doc_id", "origin", ("primary", "fallback"))
 
 
 # ---- splits ---------------------------------------------------------------------------
@@ -350,24 +354,24 @@ def kmer_sets(spark, sf):
 _FRAME = """side AS (
   SELECT o_orderkey, o_custkey, coalesce(array_to_string(list_sort(list_distinct(list(p_type) FILTER (WHERE p_type IS NOT NULL))), '.'), '') AS side,
     coalesce(list_sort(list_distinct(list(p_type) FILTER (WHERE p_type IS NOT NULL))), []) AS refs
-  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 3 LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey, o_custkey),
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey, o_custkey),
 cust AS (SELECT o_custkey, list({'k': o_orderkey, 's': side} ORDER BY o_orderkey) AS every FROM side GROUP BY o_custkey),
-frame AS (SELECT o_orderkey AS row_id, refs, list_transform(list_filter(every, lambda x: x.k <> o_orderkey)[1:10], lambda x: x.s) AS preds FROM side JOIN cust USING (o_custkey)),
+frame AS (SELECT o_orderkey AS row_id, refs, list_transform(list_filter(every, lambda x: x.k <> o_orderkey), lambda x: x.s) AS preds FROM side JOIN cust USING (o_custkey)),
 f AS (SELECT row_id, list_distinct(refs) AS ref_set, refs, preds,
   list_transform(preds, lambda p: list_distinct(list_filter(string_split(p, '.'), lambda m: trim(m) <> ''))) AS sets FROM frame)
 """
 
 
 def ranked_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """References: part types of an order's first lines. Predictions: those of the customer's other orders."""
+    """References: part types of an order's lines. Predictions: those of the customer's other orders."""
     orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    lines = t(spark, sf, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_partkey")
+    lines = t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     parts = t(spark, sf, "part").select("p_partkey", "p_type")
     types = lines.join(parts, lines.l_partkey == parts.p_partkey).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_type")).alias("refs"))
     sides = orders.join(types, orders.o_orderkey == types.l_orderkey, "left").select("o_orderkey", "o_custkey", F.coalesce("refs", F.array().cast("array<string>")).alias("references"))
     sides = sides.withColumn("side", F.array_join("references", "."))
     every = sides.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "side"))).alias("every"))
-    others = F.slice(F.filter("every", lambda x: x["o_orderkey"] != F.col("o_orderkey")), 1, 10)
+    others = F.filter("every", lambda x: x["o_orderkey"] != F.col("o_orderkey"))
     return sides.join(every, "o_custkey").select(F.col("o_orderkey").alias("row_id"), "references", F.transform(others, lambda x: x["side"]).alias("predictions"))
 
 
@@ -422,9 +426,28 @@ def metric_novelty(spark, sf):
     return metrics.novelty(ranked_frame(spark, sf), train).select(r6(F.col("novelty")).alias("novelty"))
 
 
-@query("WITH " + _FRAME + ", m AS (SELECT row_id, ref_set, unnest(preds) AS prediction, unnest(sets) AS s, unnest(range(1, len(preds) + 1)) AS rank FROM f) SELECT row_id, CAST(rank AS INT) AS rank, prediction, len(s) > 0 AND list_sort(s) = list_sort(ref_set) AS exact FROM m")
+_BITS = "list_distinct(list_transform(range(1, greatest(length({0}), 2)), lambda i: substr({0}, i, 2)))"
+
+
+def _sql_tanimoto(x: str, y: str) -> str:
+    return f"len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y})))::DOUBLE"
+
+
+@query(
+    "WITH " + _FRAME + ", m AS (SELECT row_id, refs, ref_set, unnest(preds) AS prediction, unnest(sets) AS s, unnest(range(1, len(preds) + 1)) AS rank FROM f), "
+    "z AS (SELECT row_id, rank, round(max(" + _sql_tanimoto("x", "y") + "), 6) AS best_tanimoto FROM (SELECT row_id, rank, " + _BITS.format("prediction") + " AS x, " + _BITS.format("ref") + " AS y FROM (SELECT row_id, rank, prediction, unnest(refs) AS ref FROM m WHERE trim(prediction) <> '') WHERE trim(ref) <> '') GROUP BY 1, 2) "
+    "SELECT m.row_id, CAST(m.rank AS INT) AS rank, prediction, len(s) > 0 AND list_sort(s) = list_sort(ref_set) AS exact, best_tanimoto FROM m LEFT JOIN z ON z.row_id = m.row_id AND z.rank = m.rank"
+)
 def match_flags(spark, sf):
-    return metrics.matches(ranked_frame(spark, sf))
+    return metrics.matches(ranked_frame(spark, sf)).withColumn("best_tanimoto", r6(F.col("best_tanimoto")))
+
+
+@query(
+    "WITH " + _FRAME + ", m AS (SELECT row_id, unnest(refs) AS ref, list_filter(preds, lambda p: trim(p) <> '')[1] AS first FROM f WHERE len(refs) > 0) "
+    "SELECT row_id, round(max(" + _sql_tanimoto(_BITS.format("first"), _BITS.format("ref")) + "), 6) AS similarity FROM m WHERE first IS NOT NULL GROUP BY row_id"
+)
+def nearest_reference(spark, sf):
+    return metrics.nearest_reference(ranked_frame(spark, sf)).withColumn("similarity", r6(F.col("similarity")))
 
 
 @query("WITH " + _FRAME + " SELECT row_id, array_to_string(list_sort(list_intersect(ref_set, list_distinct(flatten(sets)))), '.') AS found, array_to_string(list_sort(ref_set), '.') AS expected FROM f")
@@ -507,9 +530,21 @@ def mean_pool_by_label(spark, sf):
     return each.groupBy("label", "component").agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
 
 
+@query(
+    "WITH m AS (SELECT l_orderkey AS id, l_linenumber % 2 AS m, unnest([l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE]) AS x, unnest([0, 1, 2]) AS component FROM lineitem) "
+    "SELECT id, CAST(component AS INT) AS component, round(sum(x * m) / greatest(sum(m), 1)::DOUBLE, 5) AS mean FROM m GROUP BY id, component"
+)
+def mean_pooled_lines(spark, sf):
+    at = F.col("l_linenumber")
+    lines = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), at, F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("v"))
+    held = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(at, "v"))).alias("h"))
+    pooled = embed.mean_pooled(held.select("id", F.col("h.v").alias("states"), F.transform("h.l_linenumber", lambda n: n % 2).alias("mask")))
+    return pooled.select("id", F.posexplode("embedding").alias("component", "mean")).withColumn("mean", F.round("mean", 5))
+
+
 @query("SELECT d.doc_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id IS NULL")
 def embedding_missing(spark, sf):
-    return t(spark, sf, "documents").select("doc_id").join(t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    return build.lacking(t(spark, sf, "documents").select("doc_id"), t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query("SELECT n_nationkey, sha256(length(n_name) || ':' || n_name || length(CAST(n_nationkey AS VARCHAR)) || ':' || n_nationkey || length(CAST(n_regionkey AS VARCHAR)) || ':' || n_regionkey) AS h FROM nation")
@@ -517,9 +552,13 @@ def row_hashes(spark, sf):
     return t(spark, sf, "nation").select("n_nationkey", runner.row_hash(["n_name", "n_nationkey", "n_regionkey"]).alias("h"))
 
 
-@query()
+@query(
+    "WITH h AS (SELECT sha256(length(CAST(event_id AS VARCHAR)) || ':' || event_id || length(event_type) || ':' || event_type || length(CAST(user_id AS VARCHAR)) || ':' || user_id) AS h FROM events), "
+    "w AS (SELECT COUNT(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS BIGINT)::HUGEINT) AS w{i}" for i in range(5)) + " FROM h) "
+    "SELECT sha256('event_id,event_type,user_id|' || n" + "".join(f" || '|' || w{i}" for i in range(5)) + ") AS content_hash FROM w"
+)
 def content_hash(spark, sf):
-    return runner.content_hash(t(spark, sf, "orders"))
+    return runner.content_hash(t(spark, sf, "events").select("user_id", "event_type", "event_id"))
 
 
 @query("SELECT 'D' || doc_id AS accession, replace(replace(lang || source, ' ', ''), chr(10), '') AS sequence FROM documents")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from rxflow.operators.build import lacking
 from rxflow.sources.tables import KeyValueCache
 
 # The public addresses of the protein databases.
@@ -147,8 +148,8 @@ def search_accessions(spark: SparkSession, pairs: DataFrame, cache_path: str, pe
     return _resume(cache, pairs, "array<string>", 25, per_flush, fetch)
 
 
-def with_fallback(spark: SparkSession, wanted: DataFrame, first: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of the first source, and of the second for accessions that the first lacks."""
+def with_fallback(spark: SparkSession, wanted: DataFrame, first: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], DataFrame], key: str = "accession", told: str = "sequence_source", names: tuple[str, str] = ("primary", "archive")) -> DataFrame:
+    """Rows of the first source, and of the second for keys that the first lacks; column ``told`` says of which."""
     found = first(wanted)
-    rest = wanted.select("accession").distinct().join(found, "accession", "left_anti")
-    return found.withColumn("sequence_source", F.lit("primary")).unionByName(second(rest).withColumn("sequence_source", F.lit("archive")))
+    rest = lacking(wanted.select(key).distinct(), found, key)
+    return found.withColumn(told, F.lit(names[0])).unionByName(second(rest).withColumn(told, F.lit(names[1])))

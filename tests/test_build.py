@@ -114,3 +114,17 @@ def test_attach_sequences_closes_ids(spark):
     seqs = spark.createDataFrame([("P2", "MKV"), ("P3", "OTHER")], "accession string, sequence string")
     got = build.attach_sequences(rows, seqs).orderBy("reaction_id").collect()
     assert [(r["reaction_id"], r["uniprot_id"], r["sequence"], r["seq_len"]) for r in got] == [(0, "P2", "MKV", 3), (1, "P3", "INLINE", 6)]
+
+
+def test_duplicates_are_told_in_parts(spark):
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, "bad").otherwise("out").alias("first_status"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("key"), F.col("id").alias("ord"))
+    got = {r["ord"]: r["status"] for r in build._duplicates_told(rows, ["key"], ["ord"], salts=4).collect()}
+    assert got == {i: "bad" if i % 3 == 0 else "out" if i in (1, 2) else "duplicate" for i in range(300)}
+
+
+def test_rejects_share_no_window(spark):
+    rows = records(spark, ["x"] * 50 + ["A>>B"] * 3)
+    _, told = build.build_reactions(rows, ["ord"])
+    text = told._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Window [row_number") == 2 and "_part" in text.split("Window [row_number")[1].split("\n")[0]
+    assert stats(told)["n_invalid"] == 50 and stats(told)["n_duplicate"] == 2

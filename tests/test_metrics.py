@@ -74,6 +74,10 @@ def test_nearest_reference(spark):
 def test_matches_and_recovered(spark):
     rows = frame(spark, [["CCO", "C"]], [["C.OCC", "C"]])
     assert [r["exact"] for r in M.matches(rows, Pure()).orderBy("rank").collect()] == [True, False]
+    best = {r["rank"]: r["best_tanimoto"] for r in M.matches(rows, Pure()).collect()}
+    assert best[2] == 1.0 and 0 < best[1] < 1  # the whole side against its nearest reference
+    none = M.matches(frame(spark, [[], ["CCO"]], [["C"], ["((("]]), Pure()).collect()
+    assert [r["best_tanimoto"] for r in none] == [None, None]
     got = M.recovered(rows, Pure()).first()
     assert got["found"] == got["expected"] and len(got["expected"]) == 2
 

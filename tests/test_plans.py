@@ -125,6 +125,11 @@ def test_flatten():
     assert runner.flatten({"a": {"b": 1, "c": []}, "d": [1, 2]}) == {"a.b": 1, "a.c": "[]", "d": "1, 2"}
 
 
+def test_reports_of_the_environment(tmp_path):
+    assert runner.capture_git(tmp_path) == {"commit": "", "branch": "", "dirty": False}
+    assert runner.capture_libraries(("pyspark", "no-such-package"))["no-such-package"] == "absent"
+
+
 def test_stream_build_is_incremental(spark, tmp_path):
     raw = spark.range(6).select(F.concat(F.lit("A"), (F.col("id") % 3).cast("string"), F.lit(">>B")).alias("unmapped"), F.col("id").alias("rxn_idx"), F.lit("1").alias("ec_num"), F.lit("o").alias("organism"), F.lit("d").alias("source"), F.lit(0.9).alias("quality"), F.lit(True).alias("natural"), F.lit("single").alias("steps"), F.col("id").alias("ord"))
     raw.where("id < 3").drop("id").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
