@@ -27,4 +27,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For those that SQL can express; tokenizers, models, trees and transducers are held against libraries and brute force in tests."""
+    return {"op2_neighbours": neighbours.SQL, "op7_ngram_join": ngram_join.SQL, "op9_quality_rules": quality.SQL}

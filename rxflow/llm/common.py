@@ -47,13 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder inside the one that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The folder is ``spark.checkpoint.dir``; only a local master, whose tasks share the driver's disk, may do without one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="rxflow-")
         spark.sparkContext.setCheckpointDir(root)

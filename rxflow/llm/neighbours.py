@@ -16,7 +16,8 @@ Queries are taken in blocks of a bounded number, each against all rows.
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part;
 nor do those of another length than the most frequent one; a vec_id that occurs more than once
 counts once, by its nearest copy (as a query: by its smallest vector); fewer candidates than
-``k`` are all returned; an empty table gives an empty result.
+``k`` are all returned; of equally near rows the smaller vec_id comes first; other columns are read only by the condition that
+picks the queries; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -240,3 +241,14 @@ def search(rows: DataFrame, queries: Column, k: int = K, rerank: int = RERANK, s
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: All distances of every query, in the arithmetic of ``_exact``.
+SQL = """
+WITH e AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+fit AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+most AS (SELECT len(v) AS d FROM fit GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1),
+u AS (SELECT fit.* FROM fit, most WHERE len(v) = d),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) AS score FROM u q JOIN u c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p) WHERE rank <= 10
+"""

@@ -16,7 +16,8 @@ No pairs of a group are listed: the result is a class and a component for each d
 and a link is an edge of a spanning forest. No stage limits the partners of a document.
 
 Defined cases: a text without words has an empty set and stands alone, also a null one;
-repeated rows get a row each; rows that share a doc_id share its component; an empty
+repeated rows get a row each; rows that share a doc_id share its component; very long texts are read whole; of equal sets
+the smallest doc_id names the class; other columns are not read by ``classes`` and kept by ``one_of_each``; an empty
 table gives an empty result.
 """
 
@@ -39,6 +40,8 @@ WORDS = 5
 GROUPS = 64
 #: Documents of a tile, and bytes of packed hashes of a part, about.
 TILE, PART_BYTES = 512, 12 << 20
+#: Shingles that a task deals to the parts at once; the more, the fewer rows there are for each part.
+DEALT = 1 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,39 +89,47 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """For each batch of documents and part of the hash values that it has: packed hashes with the document of each.
+    """For each batch of documents (of about DEALT shingles) and part of the hash values that it has: packed hashes with the document of each.
 
     Only parts with hashes have rows, so their number is bounded by the shingles. One row of each batch
     also tells the documents themselves.
     """
 
+    def deal(ids: list, sets: list[np.ndarray], batch: int) -> Iterator[pa.RecordBatch]:
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        every = np.concatenate(sets)
+        part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        packed = np.ascontiguousarray(every[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+        doc = np.repeat(np.arange(len(sets), dtype="<u4"), sizes)[order]
+        starts = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
+        cuts = list(zip(starts, [*starts[1:], len(part)])) or [(0, 0)]
+        signs = np.array([signature(s) for s in sets], np.int64)
+        about = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["doc_id", "n", "a", "b"])
+        with pa.ipc.new_stream(sink := pa.BufferOutputStream(), about.schema) as w:
+            w.write_batch(about)
+        rows = {
+            "part": pa.array(part[starts] if len(part) else [0], pa.int32()),
+            "batch": pa.array([batch] * len(cuts), pa.int64()),
+            "docs": pa.array([doc[x:y].tobytes() for x, y in cuts], pa.binary()),
+            "hashes": pa.array([packed[x:y].tobytes() for x, y in cuts], pa.binary()),
+            "about": pa.array([sink.getvalue().to_pybytes()] + [None] * (len(cuts) - 1), pa.binary()),
+        }
+        yield from pa.table(rows).to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for k, batch in enumerate(b for b in batches if b.num_rows):
-            sets = [shingles(t) for t in texts(batch["text"])]
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            every = np.concatenate(sets)
-            part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
-            packed = np.ascontiguousarray(every[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-            doc = np.repeat(np.arange(len(sets), dtype="<u4"), sizes)[order]
-            starts = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
-            cuts = list(zip(starts, [*starts[1:], len(part)])) or [(0, 0)]
-            signs = np.array([signature(s) for s in sets], np.int64)
-            about = pa.record_batch(
-                [batch["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["doc_id", "n", "a", "b"]
-            )
-            with pa.ipc.new_stream(sink := pa.BufferOutputStream(), about.schema) as w:
-                w.write_batch(about)
-            rows = {
-                "part": pa.array(part[starts] if len(part) else [0], pa.int32()),
-                "batch": pa.array([first + k] * len(cuts), pa.int64()),
-                "docs": pa.array([doc[x:y].tobytes() for x, y in cuts], pa.binary()),
-                "hashes": pa.array([packed[x:y].tobytes() for x, y in cuts], pa.binary()),
-                "about": pa.array([sink.getvalue().to_pybytes()] + [None] * (len(cuts) - 1), pa.binary()),
-            }
-            yield from pa.table(rows).to_batches()
+        batch, ids, sets, n = TaskContext.get().partitionId() << 32, [], [], 0
+        for b in batches:
+            for doc_id, text in zip(b["doc_id"].to_pylist(), texts(b["text"])):
+                ids.append(doc_id)
+                sets.append(shingles(text))
+                n += len(sets[-1])
+                if n >= DEALT:
+                    yield from deal(ids, sets, batch)
+                    batch, ids, sets, n = batch + 1, [], [], 0
+        if ids:
+            yield from deal(ids, sets, batch)
 
     return docs.select("doc_id", "text").mapInArrow(run, "part int, batch long, docs binary, hashes binary, about binary")
 
@@ -329,3 +340,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle, and the closure of their links.
+SQL = """
+WITH RECURSIVE w AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' '))) AS sh FROM w WHERE len(words) > 0),
+z AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS k FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN z u ON u.doc_id = a JOIN z v ON v.doc_id = b WHERE 100 * k >= 80 * (u.n + v.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
+FROM w LEFT JOIN z ON z.doc_id = w.doc_id LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = w.doc_id
+"""

@@ -5,12 +5,16 @@ chain of transducers then rewrites the text: look-alike letters and digits of ot
 scripts, spelled digits, and at and dot in words or brackets. Every character of its
 output keeps the span of the source that it came from, so that what the same rules find
 there maps back to the source. Base spans stay; a found span is added where it overlaps
-none of its kind.
+none of its kind, or is wider than all that it overlaps (of a name with one foreign letter the base rules see a part).
 
 Every rule takes time in proportion to the text, also on long runs of letters or digits.
 
-Defined cases: a null or empty text has no spans; repeated rows are searched each;
-offsets are code points of the source, with the end exclusive.
+What counts as one disguise has limits, which are parameters below: white space and separators inside it (GAP), a host's
+label (LABEL, as in domain names), and a number with letters for digits (MIXED). A run of spelled digits has none.
+
+Defined cases: a null or empty text has no spans, a very long one is searched whole; repeated rows are searched each;
+offsets are code points of the source, with the end exclusive; of spans found that overlap only the first is added;
+other columns of the table are not read by ``detect`` and kept by ``redact``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from rxflow.llm.common import map_arrow, table, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
+#: Characters of white space or separators inside a disguise, of a label of a host, and between the ends of a mixed number, at most.
+GAP, LABEL, MIXED = 3, 63, 40
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -118,23 +124,23 @@ def _plain(c: str) -> str:
 
 
 _FOREIGN = re.compile(r"[^\x00-\xac\xae-˿]")
-_SIGN_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_AT}|@)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
-_SIGN_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{_DOT}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
+_SIGN_AT = re.compile(rf"\s{{0,{GAP}}}[\[({{<]\s{{0,{GAP}}}(?:{_AT}|@)\s{{0,{GAP}}}[\])}}>]\s{{0,{GAP}}}", re.I)
+_SIGN_DOT = re.compile(rf"\s{{0,{GAP}}}[\[({{<]\s{{0,{GAP}}}(?:{_DOT}|\.)\s{{0,{GAP}}}[\])}}>]\s{{0,{GAP}}}", re.I)
 #: Words that follow "at" in sentences; no host starts with one.
 _NO_HOST = "a|all|an|any|each|every|first|her|his|home|it|its|last|least|most|my|no|night|noon|once|one|our|some|that|the|their|these|this|those|work|your"
 #: An address in words: name at host dot com. Before "at" and around "dot" stands white space.
-_IN_WORDS = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,3}}(?:{_AT})\s{{1,3}}(?!(?:{_NO_HOST})\s)(?=[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}(?:{_DOT})\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}})|(?<=[A-Za-z0-9])@(?=[A-Za-z0-9-]{{1,63}}\s{{1,3}}(?:{_DOT})\s)", re.I)
-_DOT_WORD = re.compile(rf"\s{{1,3}}(?:{_DOT})\s{{1,3}}(?=[A-Za-z0-9-])", re.I)
-_PART = re.compile(r"[A-Za-z0-9-]{1,63}")
+_IN_WORDS = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,{GAP}}}(?:{_AT})\s{{1,{GAP}}}(?!(?:{_NO_HOST})\s)(?=[A-Za-z0-9-]{{1,{LABEL}}}(?:\s{{1,{GAP}}}(?:{_DOT})\s{{1,{GAP}}}|\.)[A-Za-z0-9-]{{1,{LABEL}}})|(?<=[A-Za-z0-9])@(?=[A-Za-z0-9-]{{1,{LABEL}}}\s{{1,{GAP}}}(?:{_DOT})\s)", re.I)
+_DOT_WORD = re.compile(rf"\s{{1,{GAP}}}(?:{_DOT})\s{{1,{GAP}}}(?=[A-Za-z0-9-])", re.I)
+_PART = re.compile(rf"[A-Za-z0-9-]{{1,{LABEL}}}")
 _NAMES = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _TOKEN = rf"(?:{_NAMES}|plus|{_DOT}|[+0-9](?![A-Za-z0-9]))"
 #: At least four spelled or single digits in a row, with their separators.
-_IN_DIGITS = re.compile(rf"(?<![^\W_])(?:{_TOKEN}[\s,-]{{1,3}}){{3,64}}{_TOKEN}(?![^\W_])", re.I)
+_IN_DIGITS = re.compile(rf"(?<![^\W_])(?:{_TOKEN}[\s,-]{{1,{GAP}}}){{3,}}{_TOKEN}(?![^\W_])", re.I)
 _ONE = re.compile(rf"{_TOKEN}", re.I)
 #: Letters for digits inside a number: O and l.
-_MIXED = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl().\x20-]{0,8}[0-9])[0-9OoIl+][0-9OoIl().\x20-]{5,40}[0-9OoIl](?![A-Za-z0-9])")
-_HINT = re.compile(rf"[\[({{<]\s{{0,3}}(?:{_AT}|{_DOT}|@|\.)\s{{0,3}}[\])}}>]|\b(?:{_AT})\s.{{1,70}}(?:\b(?:{_DOT})\b|\.)|@\S{{1,63}}\s{{1,3}}(?:{_DOT})\b", re.I)
-_SPELLED_HINT = re.compile(rf"\b(?:{_NAMES})[\s,-]{{1,3}}(?:{_NAMES})\b", re.I)
+_MIXED = re.compile(rf"(?<![A-Za-z0-9])(?=[OoIl().\x20-]{{0,8}}[0-9])[0-9OoIl+][0-9OoIl().\x20-]{{5,{MIXED}}}[0-9OoIl](?![A-Za-z0-9])")
+_HINT = re.compile(rf"[\[({{<]\s{{0,{GAP}}}(?:{_AT}|{_DOT}|@|\.)\s{{0,{GAP}}}[\])}}>]|\b(?:{_AT})\s.{{1,70}}(?:\b(?:{_DOT})\b|\.)|@\S{{1,{LABEL}}}\s{{1,{GAP}}}(?:{_DOT})\b", re.I)
+_SPELLED_HINT = re.compile(rf"\b(?:{_NAMES})[\s,-]{{1,{GAP}}}(?:{_NAMES})\b", re.I)
 _MIXED_HINT = re.compile(r"[0-9][OoIl][0-9OoIl().\x20-]|[0-9.-][OoIl][0-9]")
 
 
@@ -222,10 +228,21 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     tape = normalised(text)
     every = list(base)
     if tape.starts is not None:
-        for kind, a, b in base_spans(tape.text):
+        held: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
+        for kind, a, b in base:
+            held[kind].append((a, b))
+        done, last = dict.fromkeys(KINDS, 0), dict.fromkeys(KINDS, 0)
+        for kind, a, b in base_spans(tape.text):  # those of a kind come in order in both lists
             a, b = tape.source(a, b)
-            if not any(k == kind and s < b and a < e for k, s, e in every):
+            spans, k = held[kind], done[kind]
+            while k < len(spans) and spans[k][1] <= a:
+                k += 1
+            done[kind] = j = k
+            while j < len(spans) and spans[j][0] < b:
+                j += 1
+            if a >= last[kind] and (j == k or (a <= spans[k][0] and spans[j - 1][1] <= b and (a, b) != spans[k])):
                 every.append((kind, a, b))
+                last[kind] = b
     order = lambda s: (s[1], KINDS.index(s[0]))
     return sorted(base, key=order), sorted(every, key=order)
 

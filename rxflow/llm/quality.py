@@ -7,7 +7,8 @@ are united. A text is rejected if they cover too large a part of it or the longe
 too long. The work is O(n log^2 n) for n words, whatever the text repeats.
 
 Defined cases: a null or empty text has no words and fails the base rules; lines are equal
-if all their characters are; repeated rows are judged each; an empty table gives an empty result.
+if all their characters are; repeated rows are judged each, very long texts whole; other columns are not read by ``judge`` and kept
+by ``passed``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -150,5 +151,29 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered"
     )
+
+
+def _sql_windows(name: str, size: int) -> str:
+    """Words in windows of a size that a text holds at least twice."""
+    return f"""{name} AS (SELECT doc_id, COUNT(DISTINCT i + j) AS n FROM (
+  SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, w) AS twice FROM (
+    SELECT doc_id, i, array_to_string(words[i:i + {size - 1}], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - {size - 2})) AS i FROM t))), (SELECT unnest(range({size})) AS j)
+  WHERE twice > 1 GROUP BY doc_id)"""
+
+
+#: A word lies in a repeat of MIN_WORDS words or more if it lies in a repeated window of so many; the longest repeat exceeds
+#: MAX_LONGEST if a window of one word more is repeated.
+SQL = f"""
+WITH t AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+lines AS (SELECT doc_id, COUNT(*) - COUNT(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+{_sql_windows("again", 3)},
+{_sql_windows("covered", MIN_WORDS)},
+{_sql_windows("long", MAX_LONGEST + 1)},
+m AS (SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(lines.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, coalesce(covered.n, 0) AS n_covered, coalesce(long.n, 0) AS n_long
+  FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN long USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= {MAX_COVERED}::DOUBLE * n_words AND n_long = 0 AS kept, n_covered FROM m
+"""
\ No newline at end of file

@@ -13,8 +13,9 @@ grams are counted distributed, and the driver only holds the finished levels. Th
 class, the first ``sample`` by a hash of doc_id of a quarter of the rows. Every text is scored whole.
 
 Defined cases: a null or empty text has no evidence and gets the score of that; a null
-label is no label; a doc_id labelled twice counts by its larger label; without labels of
-both classes every score is 0; repeated rows are scored each.
+label is no label; a doc_id labelled twice counts by its larger label, and of texts that share a doc_id the smallest is learned
+from; without labels of both classes every score is 0; repeated rows are scored each, very long texts whole; other columns
+are kept as they are, but for those that the scores are named as; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -291,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     known = stored(known.join(often, "doc_id"))
     side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id")
-    rows = rows.where("not often").unionByName(rows.where("often").dropDuplicates(["doc_id"]))  # no shuffle of texts but those
+    again = rows.where("often").groupBy("doc_id", "toxic", "curve", "often").agg(F.min("text").alias("text"))  # no shuffle of texts but those
+    rows = rows.where("not often").unionByName(again.select(rows.columns))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: dict[tuple[int, str], int] = {}
@@ -338,20 +340,20 @@ def scorer_of(sent) -> Scorer:
     return _scorers[name]
 
 
-def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced."""
+def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with its scores and verdicts; columns of these ``names`` are replaced."""
     tune(docs.sparkSession)
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     sent = _sent(docs.sparkSession, scorer.model, scorer.weights)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = scorer_of(sent).score(texts(batch["text"]))
         return pa.record_batch(
             [*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())],
-            [*batch.schema.names, "score", "predicted"],
+            [*batch.schema.names, *names],
         )
 
-    fields = [*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    fields = [*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())]
     return map_arrow(docs, run, StructType(fields))
 
 

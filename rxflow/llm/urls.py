@@ -7,12 +7,13 @@ it becomes a rule if enough of these have it (support) and enough of those are b
 (confidence), unless a part of it is as sure. A rule is filed in an inverted index under its
 rarest token; a URL only meets the rules of its own tokens.
 
-Labels of the query: a page is bad if its host has a seed word, or if the document that it
-shows (the number in its path) is labelled toxic or of low quality; it is good if that
-document is labelled otherwise.
+Labels of the query: a page is bad if the document that it shows (the last number in its path) is labelled toxic or of low
+quality; it is good if that document is labelled otherwise. A caller with labels of URLs gives those to ``judge`` instead.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens,
-and is allowed; repeated rows are judged each; without bad labels there are no mined rules.
+and is allowed; repeated rows are judged each; a doc_id labelled twice is bad if one label says so; of given rules that fit, the longer
+one wins, of equally long ones the last in the order of their texts; without bad labels, or on an empty table, there are no mined rules;
+very long URLs are read whole; other columns of the tables are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ RULES = [
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
-#: Words in a host by which a URL counts as labelled bad.
-SEEDS = ("ads", "adult", "bets", "casino", "pills", "spam")
 #: Least share of the bad URLs, least number of labelled URLs and least confidence of a mined rule; its tokens at most.
 SUPPORT, COUNT, CONFIDENCE, TOKENS = 0.01, 5, 0.8, 3
 #: Least lower bound of that confidence (Wilson's, at 99 %), so that rules of few URLs are not chance.
@@ -161,14 +160,13 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str,
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("mined"), "block").otherwise("allow")).alias("verdict"), "mined")
 
 
-def labels_of(pages: DataFrame, labels: DataFrame, seeds: Sequence[str] = SEEDS) -> DataFrame:
-    """``items, bad`` of the pages that a seed or the label of their document marks."""
-    known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("label"))
-    url = F.col("url")
-    doc = F.regexp_extract(path(url), "([0-9]{1,18})[^0-9]*$", 1)
-    rows = pages.select(tokens(url).alias("items"), F.when(doc != "", doc).cast("long").alias("doc"), F.arrays_overlap(F.split(host(url), "[.-]"), F.array(*map(F.lit, seeds))).alias("seed"))
-    rows = rows.join(known, "doc", "left")
-    return rows.where("seed OR label IS NOT NULL").select("items", F.when(F.col("seed"), 1).otherwise(F.col("label")).alias("bad"))
+def labels_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``items, bad`` of the pages whose document is labelled. Pages without a number take no part in the join."""
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    known = labels.where(F.col("doc_id").isNotNull() & bad.isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(bad.cast("int")).alias("bad"))
+    doc = F.regexp_extract(path(F.col("url")), "([0-9]{1,18})[^0-9]*$", 1)
+    rows = pages.select(tokens(F.col("url")).alias("items"), F.when(doc != "", doc).cast("long").alias("doc")).where("doc IS NOT NULL")
+    return rows.join(known, "doc").select("items", "bad")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

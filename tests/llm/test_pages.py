@@ -1,5 +1,6 @@
 """Operators 4 and 6 against expectations by hand and brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -214,3 +215,29 @@ def test_parts_of_rules_win(spark):
     assert U.mine(spark.createDataFrame(rows, "items array<string>, bad int")) == [["h:a"]]
     few = [(["h:a"], 1)] * 3 + [(["h:b"], 0)] * 30
     assert U.mine(spark.createDataFrame(few, "items array<string>, bad int")) == []
+
+
+def test_mining_matches_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(400):
+        items = [t for t in "abcdef" if rng.random() < 0.4]
+        rows.append((items, int({"a", "b"} <= set(items) or ("c" in items and rng.random() < 0.9))))
+    bad = [set(i) for i, b in rows if b and i]
+    want = {}
+    for size in (1, 2, 3):
+        for part in itertools.combinations("abcdef", size):
+            have = [b for i, b in rows if set(part) <= set(i)]
+            n, hits = len(have), sum(have)
+            if sum(set(part) <= b for b in bad) < 0.05 * len(bad) or n < U.COUNT or hits < U.CONFIDENCE * n or U.lower_bound(hits, n) < U.SURE:
+                continue
+            if not any(want.get(p, -1) >= hits / n for k in range(1, size) for p in itertools.combinations(part, k)):
+                want[part] = hits / n
+    got = U.mine(spark.createDataFrame(rows, "items array<string>, bad int"), support=0.05)
+    assert sorted(got) == sorted(map(list, want)) and want
+
+
+def test_labels_of_pages(spark):
+    pages = spark.createDataFrame([("http://a.org/x/12.html",), ("http://a.org/about",), (None,), ("http://b.org/13",), ("http://b.org/14",)], "url string")
+    labels = spark.createDataFrame([(12, 1, 0), (12, 1, 1), (13, 1, 0), (14, None, None), (None, 0, 1)], "doc_id int, quality int, toxic int")
+    assert sorted(r["bad"] for r in U.labels_of(pages, labels).collect()) == [0, 1]

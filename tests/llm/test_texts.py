@@ -1,7 +1,9 @@
 """Operators 3, 9 and 10 against brute force and held-out labels."""
 
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -227,3 +229,92 @@ def test_detect_and_redact(spark):
     red = {r["doc_id"]: r["text"] for r in P.redact(docs).collect()}
     assert red == {0: None, 1: "", 2: "é [EMAIL], [IP] or [PHONE]", 3: "[EMAIL]", 4: "plain"}
     assert P.redact(docs).columns == docs.columns and P.detect(docs.limit(0)).count() == 0
+
+
+def test_many_spans_take_linear_time():
+    text = " ".join(f"u{i}@h{i}.org or v{i} [at] h{i} [dot] org" for i in range(20_000))
+    start = time.perf_counter()
+    base, every = P.find(text)
+    assert len(base) == 20_000 and len(every) == 40_000 and time.perf_counter() - start < 20
+
+
+def test_long_runs_of_spelled_digits_are_one_number():
+    digits = "four " + "one " * 15
+    assert ("card", 3, 3 + len(digits) - 1) in P.find("no " + digits + "end")[1]
+    long = "one " * 200
+    assert P.find(long)[1] == []  # 200 digits are no card, wherever one might cut them
+
+
+def test_planted_disguises_are_found_where_they_stand():
+    rng = random.Random(8)
+    words = "the a report of data shows that many small rivers run over old stone near town".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    alike = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "x": "х"}
+    names = "zero one two three four five six seven eight nine".split()
+    caught = 0
+    for _ in range(300):
+        user, host = "".join(rng.choice("abcdexop") for _ in range(6)), "".join(rng.choice("abcdexop") for _ in range(5))
+        kind = rng.randrange(4)
+        if kind == 0:
+            said, of = f"{user} [at] {host} (dot) org", "email"
+        elif kind == 1:
+            said, of = "".join(alike.get(c, c) if rng.random() < 0.5 else c for c in f"{user}{host}") + f"@{host}.org", "email"
+        elif kind == 2:
+            said, of = f"{user} at {host} dot org", "email"
+        else:
+            said, of = "plus " + " ".join(names[rng.randrange(10)] for _ in range(12)), "phone"
+        before = prose(rng.randrange(3, 20)) + ": "
+        spans = P.find(before + said + ", " + prose(10))[1]
+        caught += (of, len(before), len(before) + len(said)) in spans
+        assert all(k == of and a >= len(before) and b <= len(before) + len(said) for k, a, b in spans)
+    assert caught >= 295
+    assert all(P.find(prose(200))[1] == [] for _ in range(50))
+
+
+def test_models_match_a_plain_kneser_ney():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    counts = [{w: rng.randrange(1, 6) for w in rng.sample(words, 35)} for _ in (0, 1)]
+    letters = lambda w: "\x02" * (T.ORDER - 1) + w + "\x03"
+
+    def grams(of, k):  # with the number of times that each stands in the words
+        out = {}
+        for w, n in of.items():
+            t = letters(w)
+            for i in range(T.ORDER - 1, len(t)):
+                g = t[i - k + 1 : i + 1]
+                out[g] = out.get(g, 0) + n
+        return out
+
+    def level(of, k):
+        if k == T.ORDER:
+            held = grams(of, k)
+        else:
+            held = {}
+            for longer in grams(of, k + 1):
+                held[longer[1:]] = held.get(longer[1:], 0) + 1
+        context = {}
+        for g, n in held.items():
+            total, types = context.get(g[:-1], (0, 0))
+            context[g[:-1]] = total + n, types + 1
+        return held, context
+
+    every = {w: 1 for c in counts for w in c}
+    shared = [level(every, k) for k in range(1, T.SHARED + 1)]
+    own = [shared + [level(c, k) for k in range(T.SHARED + 1, T.ORDER + 1)] for c in counts]
+
+    def log_likelihood(levels, w):
+        t, out = letters(w), 0.0
+        for i in range(T.ORDER - 1, len(t)):
+            p = 1 / (len(shared[0][0]) + 1)
+            for k, (held, context) in enumerate(levels, 1):
+                g = t[i - k + 1 : i + 1]
+                if g[:-1] in context:
+                    total, types = context[g[:-1]]
+                    p = max(held.get(g, 0) - T.DISCOUNT, 0) / total + T.DISCOUNT * types / total * p
+            out += math.log(p)
+        return out
+
+    asked = words + ["zzz", "abcdz", "a"]
+    want = [log_likelihood(own[1], w) - log_likelihood(own[0], w) for w in asked]
+    assert T.Model(counts).evidence(asked).tolist() == pytest.approx(want, abs=1e-9)
