@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.llm import vocab
-from rxflow.llm.common import map_arrow, shared_dir, stored, table, texts, tune
+from rxflow.llm.common import input_bytes, map_arrow, shared_dir, table, texts, tune
 
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qQB")
@@ -39,8 +39,10 @@ END = b"\n"
 #: In the byte that tells the width of an id: the record has no doc_id.
 _NO_ID = 0x80
 
-#: A file has about so many bytes of records; files are read whole.
+#: A file has records of about so many bytes of text; files are read whole.
 FILE_BYTES = 16 << 20
+#: Quantiles of doc_id that are asked for, at most.
+QUANTILES = 10_000
 
 
 def masked(data: bytes) -> int:
@@ -84,6 +86,27 @@ def unpack(data: bytes) -> Iterator[tuple[int, int | None, np.ndarray]]:
         at = end + 5
 
 
+def bounds_of(docs: DataFrame, files: int) -> np.ndarray:
+    """The doc_ids between files, by quantiles (QUANTILES at most, the rest between those) of doc_id alone, so that nothing else is read
+    to find them. A doc_id that very many rows share is several bounds."""
+    m = min(files, QUANTILES)
+    cuts = [k / m for k in range(m + 1)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, 10 * m).alias("q")).first()["q"]
+    if not found:
+        return np.zeros(0, np.int64)
+    if m == files:
+        return np.array(found[1:-1], np.int64)
+    return np.interp(np.arange(1, files) / files, cuts, np.array(found, np.float64)).astype(np.int64)
+
+
+def file_of(doc_id: int | None, frame: bytes, bounds: np.ndarray) -> int:
+    """The number of a record's file; of a doc_id that is several bounds, the records are dealt to all files between."""
+    if doc_id is None:
+        return 0
+    first, last = np.searchsorted(bounds, doc_id, "left"), np.searchsorted(bounds, doc_id, "right")
+    return int(first + zlib.crc32(frame) % (last - first + 1))
+
+
 def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0) -> DataFrame:
     """Write the ids of every text, in ascending doc_id order; read the files back and write the index; return it.
 
@@ -95,15 +118,16 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0) -> DataF
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache = vocab.words_of(vocab_path)
         end = np.array([end_id], cache.kind)
-        frames = [pack(i, np.append(x, end)) for i, x in zip(batch["doc_id"].to_pylist(), cache.encode_all(texts(batch["text"])))]
-        return pa.record_batch([batch["doc_id"], pa.array(map(len, frames), pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "size", "frame"])
-
-    framed = stored(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, size long, frame binary"))
-    total = framed.agg(F.sum("size")).first()[0] or 0
-    files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
-    order = ["doc_id", F.xxhash64("frame"), "frame"]
-    rows = framed.repartitionByRange(files, *order[:2]).sortWithinPartitions(*order)
-    rows.select(F.col("frame").cast("string")).write.text(f"{path}/data", lineSep=END.decode())
+        ids = batch["doc_id"].to_pylist()
+        frames = [pack(i, np.append(x, end)) for i, x in zip(ids, cache.encode_all(texts(batch["text"])))]
+        places = [file_of(i, f, sent.value) for i, f in zip(ids, frames)]
+        return pa.record_batch([pa.array(places, pa.int32()), batch["doc_id"], pa.array(frames, pa.binary())], ["file", "doc_id", "frame"])
+
+    files = max(spark.sparkContext.defaultParallelism, -(-input_bytes(docs) // FILE_BYTES))
+    sent = spark.sparkContext.broadcast(bounds_of(docs, files))
+    framed = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "file int, doc_id long, frame binary")
+    framed = framed.repartitionById(files, F.col("file")).sortWithinPartitions("doc_id", F.crc32("frame"), "frame")
+    framed.select(F.col("frame").cast("string")).write.text(f"{path}/data", lineSep=END.decode())
     index = read(spark, path)
     index.write.parquet(f"{path}/index")
     return spark.read.schema(index.schema).parquet(f"{path}/index")

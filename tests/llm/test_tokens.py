@@ -110,7 +110,8 @@ def test_rows_without_doc_id_come_first(spark, tmp_path):
 
 
 def test_copies_of_one_doc_id_may_share_several_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(records, "FILE_BYTES", 2_000)
+    monkeypatch.setattr(records, "FILE_BYTES", 100)
+    monkeypatch.setattr(records, "QUANTILES", 5)
     docs = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"))
     got = records.starts(records.write(docs, f"file://{tmp_path}/s", JSON)).orderBy("start").collect()
     assert len(got) == 400 and len({r["file"] for r in got}) > 4
