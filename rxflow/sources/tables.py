@@ -145,6 +145,12 @@ def list_literal(cell: Column) -> Column:
     return F.coalesce(fast, F.when(rest.isNotNull(), parse_literal(rest)), F.array().cast("array<string>"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 class KeyValueCache:
     """An append-only Parquet table of what was looked up; a miss is kept with an empty value.
 
@@ -156,9 +162,7 @@ class KeyValueCache:
         self.schema = ", ".join([*(f"{k} string" for k in keys), f"{value} {kind}", "batch long"])
 
     def rows(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema).drop("batch")
         all_ = self.spark.read.schema(self.schema).parquet(self.path)
         return all_.groupBy(*self.keys).agg(F.max_by(self.value, "batch").alias(self.value))

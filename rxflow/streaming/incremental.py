@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rxflow.functions.backends import Backend
 from rxflow.operators import build
+from rxflow.sources.tables import exists
 
 
 def build_stream(raw: DataFrame, path: str, checkpoint: str, of: Backend | None = None, max_tokens: int = 300, once: bool = True) -> StreamingQuery:
@@ -21,12 +22,9 @@ def build_stream(raw: DataFrame, path: str, checkpoint: str, of: Backend | None
         spark = batch.sparkSession
         _, rows = build.build_reactions(build.load_records(batch), ["ord"], max_tokens, "stream", extra_cols=["ec_num", "organism"], dedup_extra_cols=["ec_num"], of=of)
         new = rows.where("status = 'out'").select("reactant_smiles", "product_smiles", "ec_num", "organism", "ord")
-        try:
+        if exists(spark, path):
             old = spark.read.parquet(path).where(F.col("batch") < number)
             new = new.join(old.select("reactant_smiles", "product_smiles", "ec_num"), ["reactant_smiles", "product_smiles", "ec_num"], "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = raw.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
