@@ -3,10 +3,11 @@
 Two interpolated Kneser-Ney models over the letters of words, one of toxic and one of
 ordinary texts, share the continuation counts of their lower orders, so that what neither
 class has seen in full is judged alike by both and only what a class has seen sets them
-apart. A word's evidence is the difference of the two log-likelihoods divided by its length; a
-text's features are that difference over all its letters, its strongest words and how
-many words are strong. A logistic curve, fitted on labelled texts which the models have
-not seen, turns them into a score from 0 to 1.
+apart. A word's evidence is the difference of the two log-likelihoods. A text's features
+are that difference over all its letters, the evidence of its strongest words, how many
+words are strong and how much they have together, which also tells texts of many words that are each a
+little toxic, and the number of words. A logistic curve, fitted on labelled texts which
+the models have not seen, turns them into a score from 0 to 1.
 
 The models count all labelled rows outside the held-out fold and the curve's; words and
 grams are counted distributed, and the driver only holds the finished levels. The curve is fitted on a bounded sample: of each
@@ -42,8 +43,10 @@ KNOWN_WORDS = 500_000
 ORDER, SHARED = 6, 3
 DISCOUNT = 0.75
 THRESHOLD = 0.7
-#: Evidence of a letter, in nats, from which a word counts as strong.
-STRONG = 1.0
+#: Evidence of a word, in nats, above which it counts as strong (three degrees), and how much of it counts at most.
+STRONG, MOST = (2.0, 3.0, 4.0), 30.0
+#: Ridge of the curve, by cross-validation over the curve's own labelled texts.
+RIDGE = 0.3
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _BASE = 0x9E3779B97F4A7C15
@@ -181,16 +184,16 @@ class Scorer:
         new = list({w for ws in found for w in ws if w not in known})
         for part in range(0, len(new), 20_000):
             known.update(zip(new[part : part + 20_000], self.model.evidence(new[part : part + 20_000]).tolist()))
-        out = np.zeros((len(batch), 5))
+        out = np.zeros((len(batch), 9))
         for row, ws in zip(out, found):
             if not ws:
                 continue
-            e = np.fromiter((known[w] for w in ws), np.float64, len(ws))
-            size = np.fromiter(map(len, ws), np.float64, len(ws)) + 1
-            each = e / size
-            top = np.sort(each)[-3:] if len(each) > 3 else each
-            strong = e[each > STRONG]
-            row[:] = e.sum() / size.sum(), top.max(), max(0.0, top.mean()), np.log1p(len(strong)), min(strong.max(initial=0.0), 30.0) / 10
+            e = np.sort(np.fromiter((known[w] for w in ws), np.float64, len(ws)))
+            letters = sum(map(len, ws)) + len(ws)
+            top = np.minimum(e[:-11:-1], MOST) / 10
+            strong = len(e) - np.searchsorted(e, STRONG, "right")
+            more = np.maximum(e[len(e) - strong[0] :] - STRONG[0], 0.0).sum()
+            row[:] = e.sum() / letters, top[0], top[:3].mean(), top.mean(), *np.log1p(strong), np.log1p(more), np.log1p(len(ws))
         return out
 
     def score(self, batch: list[str]) -> np.ndarray:
@@ -203,7 +206,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 30) -> np.ndarray:
     """Logistic regression by Newton's method; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
