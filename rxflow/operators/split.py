@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from rxflow.schema import SPLITS, CheckFailed
 
 FRACTIONS = (0.8, 0.1, 0.1)
-#: Groups that ``exact`` mode collects to the driver, at most.
-EXACT_GROUPS = 1_000_000
+#: Groups that ``exact`` mode collects to the driver, and rows that an exact permutation is drawn for there, at most.
+EXACT_GROUPS = EXACT_ROWS = 1_000_000
 
 
 def _check(fractions: Sequence[float]) -> None:
@@ -112,7 +112,7 @@ def overlap(df: DataFrame, key: str, split_col: str = "split") -> DataFrame:
 def shuffled_pairs(df: DataFrame, order: Sequence[str], columns: Sequence[str], seed: int = 42, exact: bool = False) -> DataFrame:
     """A control: ``columns``, kept together, are permuted over the rows of ``df``; all else stays.
 
-    ``exact`` repeats numpy's permutation of the row numbers, drawn on the driver.
+    ``exact`` repeats numpy's permutation of the row numbers, drawn on the driver, of up to EXACT_ROWS rows.
     """
     from rxflow.operators.build import numbered
 
@@ -120,7 +120,10 @@ def shuffled_pairs(df: DataFrame, order: Sequence[str], columns: Sequence[str],
     if exact:
         import numpy as np
 
-        places = np.random.default_rng(seed).permutation(df.count())
+        n = df.count()
+        if n > EXACT_ROWS:
+            raise ValueError(f"{n} rows, more than {EXACT_ROWS}; use exact=False")
+        places = np.random.default_rng(seed).permutation(n)
         table = df.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(places)], "_to long, _at long")
         taken = rows.join(table, "_at").select("_to", *columns)
     else:

@@ -65,6 +65,14 @@ def test_shuffle_control_keeps_pairs(spark, exact):
     assert pairs(out) == pairs(rows) and sorted(r["i"] for r in out.collect()) == list(range(5))
 
 
+def test_exact_shuffles_refuse_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(split, "EXACT_ROWS", 4)
+    rows = spark.range(5).withColumn("s", F.col("id"))
+    with pytest.raises(ValueError):
+        split.shuffled_pairs(rows, ["id"], ["s"], exact=True)
+    assert split.shuffled_pairs(rows, ["id"], ["s"]).count() == 5
+
+
 def mutated(base, n, rng):
     s = list(base)
     for i in rng.sample(range(len(s)), n):
