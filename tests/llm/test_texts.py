@@ -49,6 +49,30 @@ def test_held_out_accuracy(spark, corpus):
     assert sum(r["predicted"] == r["toxic"] for r in out) >= 0.97 * len(out)
 
 
+def test_many_mildly_toxic_words_are_found(spark):
+    rng = random.Random(6)
+    syllables = ["ka", "lo", "mi", "ten", "ra", "su", "vo", "pel"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    docs, labels = [], []
+    for i in range(900):
+        words = [word() for _ in range(rng.randrange(40, 80))]
+        kind = i % 8
+        if kind == 0:  # a loud expression
+            words[3:3] = ["grumfzwixelg"] * 2
+        elif kind == 1:  # ordinary syllables in an order that ordinary words hardly have
+            words[5:5] = ["tentenlo" + word() for _ in range(8)]
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(kind < 2)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = [r for r in T.score(docs, T.fit(docs, labels)).withColumn("h", T.held_out(F.col("doc_id"))).collect() if r["h"]]
+    for kinds, least in (({0}, 0.97), ({1}, 0.8)):
+        found = [r["predicted"] for r in out if r["doc_id"] % 8 in kinds]
+        assert sum(found) >= least * len(found)
+    clean = [r["predicted"] for r in out if r["doc_id"] % 8 > 1]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 def test_held_out_labels_are_never_used(spark, corpus):
     docs, labels = corpus
     flipped = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
