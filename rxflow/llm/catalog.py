@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rxflow.llm import bpe, html, neighbours, ngram_join, packing, personal, quality, records, toxicity, urls
+from rxflow.llm import bpe, html, merkle, neighbours, ngram_join, packing, personal, phrases, quality, records, rotations, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,19 @@ def queries() -> dict[str, Query]:
         "op8_packing": packing.query,
         "op9_quality_rules": quality.query,
         "op10_personal_data": personal.query,
+        "op11_phrases": phrases.query,
+        "op12_merkle_manifest": merkle.query,
+        "op13_embedding_duplicates": rotations.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For those that SQL can express; tokenizers, models, trees and transducers are held against libraries and brute force in tests."""
-    return {"op2_neighbours": neighbours.SQL, "op7_ngram_join": ngram_join.SQL, "op9_quality_rules": quality.SQL}
+    return {
+        "op2_neighbours": neighbours.SQL,
+        "op7_ngram_join": ngram_join.SQL,
+        "op9_quality_rules": quality.SQL,
+        "op11_phrases": phrases.SQL,
+        "op12_merkle_manifest": merkle.SQL,
+        "op13_embedding_duplicates": rotations.SQL,
+    }

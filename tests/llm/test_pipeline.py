@@ -57,6 +57,9 @@ def test_queries_return_their_contract(spark, sf, name):
         "op8": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
         "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op10": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+        "op11": "lang rank phrase a l r n score",
+        "op12": "doc_id leaf subroot root proof_sha256 folded_root verified",
+        "op13": "vec_id n_links component_id kept",
     }[name.split("_")[0]].split()
     assert entry.queries()[name](spark, sf).columns[: len(columns)] == columns
 
