@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -101,8 +102,16 @@ _SPELLED = {
     )
     for i, w in enumerate(words.split())
 } | {"oh": "0"}
-_AT = "at|arobase|arroba"
-_DOT = "dot|point|punkt|punto"
+# At and dot in words, in pairs of a language; and ends of hosts, of country codes those that are no English word.
+_PAIRS = (("at", "dot|punkt"), ("arobase", "point"), ("arroba", "punto"))
+_ENDS = (
+    "com org net edu gov mil int info biz name pro dev app tech blog shop online site cloud xyz "
+    "ae ag ai al ar au az ba bd bg bo br by bz ca cc ch ci cl cm cn co cr cu cy cz de dk dz ec ee eg es eu fi fm fr ge gh gr gt hk hn hr hu id ie il "
+    "io iq ir jo jp ke kr kw kz la lb lk lt lu lv ly ma md mk mn mt mu mx mz ng ni nl np nz om pa pe ph pk pl pr pt py qa ro rs ru rw sa se sg si sk sn "
+    "sv sy th tn tr tv tw tz ua ug uk uy uz ve vn ye za zw"
+).replace(" ", "|")
+_AT = "|".join(at for at, _ in _PAIRS)
+_DOT = "|".join(dot for _, dot in _PAIRS)
 
 
 @lru_cache(maxsize=65536)
@@ -124,13 +133,33 @@ def _plain(c: str) -> str:
 
 
 _FOREIGN = re.compile(r"[^\x00-\xac\xae-˿]")
-_SIGN_AT = re.compile(rf"\s{{0,{GAP}}}[\[({{<]\s{{0,{GAP}}}(?:{_AT}|@)\s{{0,{GAP}}}[\])}}>]\s{{0,{GAP}}}", re.I)
-_SIGN_DOT = re.compile(rf"\s{{0,{GAP}}}[\[({{<]\s{{0,{GAP}}}(?:{_DOT}|\.)\s{{0,{GAP}}}[\])}}>]\s{{0,{GAP}}}", re.I)
+_LEFT, _RIGHT = rf"\s{{0,{GAP}}}[\[({{<]\s{{0,{GAP}}}", rf"\s{{0,{GAP}}}[\])}}>]\s{{0,{GAP}}}"
+_SIGN_AT = re.compile(rf"{_LEFT}(?:{_AT}|@){_RIGHT}", re.I)
+_SIGN_DOT = re.compile(rf"{_LEFT}(?:{_DOT}|\.){_RIGHT}", re.I)
+
+
 #: Words that follow "at" in sentences; no host starts with one.
 _NO_HOST = "a|all|an|any|each|every|first|her|his|home|it|its|last|least|most|my|no|night|noon|once|one|our|some|that|the|their|these|this|those|work|your"
-#: An address in words: name at host dot com. Before "at" and around "dot" stands white space.
-_IN_WORDS = re.compile(rf"(?<=[A-Za-z0-9])\s{{1,{GAP}}}(?:{_AT})\s{{1,{GAP}}}(?!(?:{_NO_HOST})\s)(?=[A-Za-z0-9-]{{1,{LABEL}}}(?:\s{{1,{GAP}}}(?:{_DOT})\s{{1,{GAP}}}|\.)[A-Za-z0-9-]{{1,{LABEL}}})|(?<=[A-Za-z0-9])@(?=[A-Za-z0-9-]{{1,{LABEL}}}\s{{1,{GAP}}}(?:{_DOT})\s)", re.I)
+
+
+def _point(dot: str) -> str:
+    """A dot in words or brackets."""
+    return rf"(?:\s{{1,{GAP}}}(?:{dot})\s{{1,{GAP}}}|{_LEFT}(?:{dot}|\.){_RIGHT})"
+
+
+def _in_words(at: str, dot: str) -> str:
+    """An address in words before its host: name at host dot com. The dots are written or bracketed, for a plain host after
+    "at" is prose; and the host has a known end."""
+    label, point = rf"[A-Za-z0-9-]{{1,{LABEL}}}", _point(dot)
+    return rf"(?<=[A-Za-z0-9])\s{{1,{GAP}}}(?:{at})\s{{1,{GAP}}}(?!(?:{_NO_HOST})\s)(?={label}(?:{point}{label}){{0,3}}?{point}(?:{_ENDS})(?![A-Za-z0-9-]))"
+
+
+_IN_WORDS = re.compile("|".join([*(_in_words(*pair) for pair in _PAIRS), rf"(?<=[A-Za-z0-9])@(?=[A-Za-z0-9-]{{1,{LABEL}}}\s{{1,{GAP}}}(?:{_DOT})\s)"]), re.I)
+#: Four numbers with dots in words, as in an IP address.
+_IP_WORDS = re.compile(rf"(?<![A-Za-z0-9.])[0-9]{{1,3}}(?:\s{{1,{GAP}}}(?:{_DOT})\s{{1,{GAP}}}[0-9]{{1,3}}){{3}}(?![A-Za-z0-9])", re.I)
+_IP_HINT = re.compile(rf"[0-9]\s{{1,{GAP}}}(?:{_DOT})\s{{1,{GAP}}}[0-9]", re.I)
 _DOT_WORD = re.compile(rf"\s{{1,{GAP}}}(?:{_DOT})\s{{1,{GAP}}}(?=[A-Za-z0-9-])", re.I)
+_POINT = re.compile(rf"{_point(_DOT)}(?=[A-Za-z0-9-])", re.I)
 _PART = re.compile(rf"[A-Za-z0-9-]{{1,{LABEL}}}")
 _NAMES = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _TOKEN = rf"(?:{_NAMES}|plus|{_DOT}|[+0-9](?![A-Za-z0-9]))"
@@ -139,7 +168,7 @@ _IN_DIGITS = re.compile(rf"(?<![^\W_])(?:{_TOKEN}[\s,-]{{1,{GAP}}}){{3,}}{_TOKEN
 _ONE = re.compile(rf"{_TOKEN}", re.I)
 #: Letters for digits inside a number: O and l.
 _MIXED = re.compile(rf"(?<![A-Za-z0-9])(?=[OoIl().\x20-]{{0,8}}[0-9])[0-9OoIl+][0-9OoIl().\x20-]{{5,{MIXED}}}[0-9OoIl](?![A-Za-z0-9])")
-_HINT = re.compile(rf"[\[({{<]\s{{0,{GAP}}}(?:{_AT}|{_DOT}|@|\.)\s{{0,{GAP}}}[\])}}>]|\b(?:{_AT})\s.{{1,70}}(?:\b(?:{_DOT})\b|\.)|@\S{{1,{LABEL}}}\s{{1,{GAP}}}(?:{_DOT})\b", re.I)
+_HINT = re.compile(rf"[\[({{<]\s{{0,{GAP}}}(?:{_AT}|{_DOT}|@|\.)\s{{0,{GAP}}}[\])}}>]|\b(?:{_AT})\s.{{1,70}}\b(?:{_DOT})\b|@\S{{1,{LABEL}}}\s{{1,{GAP}}}(?:{_DOT})\b", re.I)
 _SPELLED_HINT = re.compile(rf"\b(?:{_NAMES})[\s,-]{{1,{GAP}}}(?:{_NAMES})\b", re.I)
 _MIXED_HINT = re.compile(r"[0-9][OoIl][0-9OoIl().\x20-]|[0-9.-][OoIl][0-9]")
 
@@ -201,17 +230,19 @@ def normalised(text: str) -> Tape:
         tape.rewrite([(m.start(), m.end(), p) for m in _FOREIGN.finditer(text) if (p := _plain(m[0])) != m[0]])
     if _SPELLED_HINT.search(tape.text):
         _number(tape)
+    if _IP_HINT.search(tape.text):
+        tape.rewrite([(*d.span(), ".") for m in _IP_WORDS.finditer(tape.text) for d in _DOT_WORD.finditer(tape.text, *m.span())])
     if _HINT.search(tape.text):
         tape.rewrite([(*m.span(), "@") for m in _SIGN_AT.finditer(tape.text)])
-        tape.rewrite([(*m.span(), ".") for m in _SIGN_DOT.finditer(tape.text)])
         tape.rewrite([(*m.span(), "@") for m in _IN_WORDS.finditer(tape.text)])
         edits = []
-        for m in re.finditer("@", tape.text):  # dots in words of the host after an @
+        for m in re.finditer("@", tape.text):  # dots in words or brackets of the host after an @
             at = m.end()
-            while (part := _PART.match(tape.text, at)) and (dot := _DOT_WORD.match(tape.text, part.end())):
+            while (part := _PART.match(tape.text, at)) and (dot := _POINT.match(tape.text, part.end())):
                 edits.append((*dot.span(), "."))
                 at = dot.end()
         tape.rewrite(edits)
+        tape.rewrite([(*m.span(), ".") for m in _SIGN_DOT.finditer(tape.text)])
     if _MIXED_HINT.search(tape.text):
         edits = []
         for m in _MIXED.finditer(tape.text):
@@ -222,6 +253,12 @@ def normalised(text: str) -> Tape:
     return tape
 
 
+def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether one of the ordered spans overlaps this one."""
+    k = bisect_left(spans, (b, 0))
+    return k > 0 and spans[k - 1][1] > a
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start and then by kind."""
     base = base_spans(text)
@@ -240,6 +277,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             done[kind] = j = k
             while j < len(spans) and spans[j][0] < b:
                 j += 1
+            if kind == "email" and _meets(held["ip"], a, b):
+                continue  # an address as it stands is no host in disguise
             if a >= last[kind] and (j == k or (a <= spans[k][0] and spans[j - 1][1] <= b and (a, b) != spans[k])):
                 every.append((kind, a, b))
                 last[kind] = b

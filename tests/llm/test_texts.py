@@ -228,6 +228,13 @@ def test_base_spans_match_the_patterns(text):
         ("ip one nine two dot one six eight dot one dot one zero", "ip", "one nine two dot one six eight dot one dot one zero"),
         ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
         ("a​b@ex​ample.com", "email", "a​b@ex​ample.com"),
+        ("to jane at mail dot example (dot) co dot uk now", "email", "jane at mail dot example (dot) co dot uk"),
+        ("jane (at) example.com", "email", "jane (at) example.com"),
+        ("a at b [.] org", "email", "a at b [.] org"),
+        ("juan arroba correo punto es", "email", "juan arroba correo punto es"),
+        ("paul arobase poste point fr", "email", "paul arobase poste point fr"),
+        ("host 192 dot 168 dot 1 dot 1 up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("host 192[.]168[.]1[.]1 up", "ip", "192[.]168[.]1[.]1"),
     ],
 )
 def test_disguises(text, kind, found):
@@ -239,8 +246,31 @@ def test_plain_texts_have_no_spans(text):
     assert P.find(text)[1] == []
 
 
+def test_prose_with_at_has_no_added_spans():
+    """A thousand sentences in which something is at a host, a time or a place, and dots are points."""
+    rng = random.Random(11)
+    hosts = ["example.com", "hotel.com", "10.0.0.1", "noon.Then", "work.We", "node-7.internal", "v2.1", "3.14", "www.site.org/a"]
+    ways = [
+        "Look at {h} for more.", "We met at {h} yesterday", "The class starts at {h} we left.", "the servers at {h} fail", "she looked at polka dot {w}",
+        "arrived at meeting point {w}", "at the dot in {w}", "Find it at {h}, at {h} or at {w} dot {w}.", "they point at {w}. At {h} dot", "rates at {n} dot {n} percent", "at {w} point {w} dot it is",
+    ]
+    words = ["dresses", "three", "night", "home", "is", "in", "me", "so", "be", "at", "blue", "line"]
+    for _ in range(1000):
+        text = rng.choice(ways)
+        for mark, some in (("{h}", hosts), ("{w}", words)):
+            while mark in text:
+                text = text.replace(mark, rng.choice(some), 1)
+        base, every = P.find("Note: " + text.replace("{n}", "5") + " and so on")
+        assert base == every, text
+
+
+def test_addresses_as_they_stand_are_not_swallowed():
+    text = "root [at] 10.0.0.1 or x@y.com dot end"
+    assert [(k, text[a:b]) for k, a, b in P.find(text)[1]] == [("ip", "10.0.0.1"), ("email", "x@y.com")]
+
+
 def test_long_runs_take_linear_time():
-    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1(" * 60_000, "a@" * 60_000, "one " * 50_000, "(at)" * 40_000):
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1(" * 60_000, "a@" * 60_000, "one " * 50_000, "(at)" * 40_000, "a at " * 40_000, "a at b dot " * 20_000, "1 dot " * 40_000, "a@" + "b dot " * 40_000):
         P.find(text)
 
 
