@@ -15,9 +15,10 @@ their other blocks differ, so an article that a site prints often is not a notic
 A tree can't tell varied boilerplate (rotating adverts, comments) from an article, nor an
 article that a site prints twice from a notice; so elements whose tag, class or role names
 what they are have a prior: those of menus, footers, adverts, forms and the like count as 0, and an
-article's own paragraphs as 1. A class or id counts only if all words of it are such names, and never on
-html or body; where names would leave a page without its article or main element, they don't count around it.
-Article and main elements stand for the page where they hold at least half of the text that is left; else all that is left counts.
+article's own paragraphs as 1. A class or id counts if all words of it are such names, and on containers also by one strong word (comments, sidebar, advert) unless
+another tells that it is about the layout (has-sidebar); never on html or body; where names would leave a page without its article or main element, they don't count around it.
+Article and main elements with text, and elements named as content, stand for the page; without such text all that is left does. Beside an article, what else they hold
+of blocks that are mostly links and of list items goes.
 
 Reading takes time in proportion to a page, also of broken markup, at any depth.
 
@@ -52,7 +53,7 @@ _LONG_NUMBER = re.compile(r"&#[0-9]{4000,};?")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"://([^/?#]*)")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -71,11 +72,20 @@ _ENDS = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 _PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th figure figcaption article main b i em strong a span code".split())
+#: Names of elements that hold a page's text.
+_CONTENT = frozenset("content main-content article-content article-body post-content post-body entry-content story-body".split())
+#: Elements that are text themselves; a single word of their names hides none.
+_INLINE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead b i em strong a span code blockquote pre figure figcaption".split())
 _NOISE_TAGS = frozenset("head nav footer aside form script style noscript template iframe button select textarea dialog svg canvas object menu title".split())
-_NOISE_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "header masthead cookie cookies consent notice alert popup modal newsletter subscribe share sharing social related comment comments reply replies widget login signup search".split()
+#: Words of classes and ids that are noise: a strong one by itself, a weak one if all words of the name are noise.
+_STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions sidebar sidebars breadcrumb breadcrumbs "
+    "cookie cookies gdpr newsletter newsletters share sharing related recommended recommendations comment comments commenting commenter disqus livefyre reply replies respond".split()
 )
+_WEAK = frozenset("banner menu nav navbar navigation footer header masthead consent notice notices alert alerts popup modal subscribe social widget widgets login signup search".split())
+_NOISE_NAMES = _STRONG | _WEAK
+#: With one of these, a name says how a page is laid out or what it allows, not what the element holds.
+_LAYOUT = frozenset("has with no not without layout page site allow allows enabled disabled open closed count".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 
@@ -88,28 +98,40 @@ _BASE, _PRIME = 0x1B873593CC9E2D51, (1 << 61) - 1
 
 
 class Element:
-    __slots__ = ("children", "main", "named", "noise", "path", "start", "tag")
+    __slots__ = ("article", "children", "content", "main", "named", "noise", "path", "start", "tag")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool, start: int, named: bool = False):
+    def __init__(self, tag: str, path: int, noise: bool, main: bool, start: int, named: bool = False, article: bool = False, content: bool = False):
         self.tag, self.path, self.noise, self.main, self.start = tag, path, noise, main, start
+        self.article, self.content = article, content or main
         self.named = named  # noise by the names of elements outside of an article alone
         self.children: list[str] = []
 
 
-def _named(tag: str, attributes: str) -> tuple[str, str]:
+def _named(attributes: str) -> tuple[str, str]:
     """Classes and id, and the role."""
     names, role = "", ""
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         if key.lower() == "role":
             role = (a or b or c).strip().lower()
         else:
-            names += " " + (a or b or c).lower()
+            names += " " + (a or b or c)
     return names, role
 
 
-def _noisy(names: str) -> bool:
-    """Whether a class or id has no other words than those of noise."""
-    return any((parts := _NAME.findall(name)) and _NOISE_NAMES.issuperset(parts) for name in names.split())
+def _parts(name: str) -> list[str]:
+    """The words of a class or id, also of one like userComments."""
+    return [x.lower() for x in _NAME.findall(name)]
+
+
+def _noisy(names: str, strong: bool) -> bool:
+    """Whether a class or id has no other words than those of noise, or one strong word of it."""
+    for name in names.split():
+        parts = _parts(name)
+        if parts and _NOISE_NAMES.issuperset(parts):
+            return True
+        if strong and not _STRONG.isdisjoint(parts) and _LAYOUT.isdisjoint(parts):
+            return True
+    return False
 
 
 class Page:
@@ -124,19 +146,24 @@ class Page:
         self.sums, self.powers = [0], [1]  # of the hashes of all text outside of raw elements, by which content is told
         self.blocks: dict[bool, list[str]] = {True: [], False: []}  # in an article or main element, and all
         self.paths: list[tuple[int, int]] = []  # path, and path with text, of those in an article or main element
+        self.beside: list[bool] = []  # of those, which are links outside of the article elements
         self.open: list[str] = []
+        self.linked = 0  # characters of the open block that are links
+        self.has_article = self.has_text = False
         self.has_main = self.lost = False
         self._read(source)
         if self.lost and not self.has_main:  # names hid every article: they were not of what it holds
             found = self.nodes
-            self.nodes, self.blocks, self.paths = [], {True: [], False: []}, []
-            self.sums = [0]
+            self.nodes, self.blocks, self.paths, self.beside = [], {True: [], False: []}, [], []
+            self.sums, self.has_article, self.has_text = [0], False, False
             self._read(source, rescue=True)
             self.nodes = found
 
     def _say(self, text: str, noise: bool) -> None:
         if not noise:
             self.open.append(text)
+            if self.places.get("a"):
+                self.linked += len(text)
         if self.measure and (run := text.strip()):
             self.sums.append((self.sums[-1] * _BASE + xxhash.xxh3_64_intdigest(run.encode())) % _PRIME)
 
@@ -147,18 +174,22 @@ class Page:
             self.powers.append(self.powers[-1] * _BASE % _PRIME)
         return (self.sums[-1] - self.sums[start] * self.powers[n]) % _PRIME
 
-    def _flush(self, main: bool, path: int) -> None:
+    def _flush(self, e: Element) -> None:
+        """Ends the open block, which stands in an element."""
         if self.open:
             text = "".join(self.open)
+            links, self.linked = 2 * self.linked > len(text), 0
             if "&#" in text and len(text) > 4000:
                 text = _LONG_NUMBER.sub("\ufffd", text)
             text = _SPACE.sub(" ", html.unescape(text)).strip()
             self.open = []
             if text:
                 self.blocks[False].append(text)
-                if main:
+                if e.content:
                     self.blocks[True].append(text)
-                    self.paths.append((path, xxhash.xxh3_64_intdigest(f"{path} {text}".encode()) >> 1))
+                    self.beside.append(not e.article and (links or e.tag == "li"))
+                    self.has_article, self.has_text = self.has_article or e.article, self.has_text or e.main
+                    self.paths.append((e.path, xxhash.xxh3_64_intdigest(f"{e.path} {text}".encode()) >> 1))
 
     def _close(self, size: int) -> None:
         stack = self.stack
@@ -168,7 +199,7 @@ class Page:
             if e.tag in _BLOCK:
                 self.around.pop()
                 if not e.noise:
-                    self._flush(e.main, e.path)
+                    self._flush(e)
             if self.measure:
                 self.nodes.append((e.path, xxhash.xxh3_64_intdigest(",".join(e.children).encode()), self._content(e.start)))
 
@@ -241,40 +272,42 @@ class Page:
             top.children.append(tag)
             if tag in _VOID:
                 if tag == "hr" and not top.noise:
-                    self._flush(top.main, top.path)
+                    self._flush(top)
                 continue
-            names, role = _named(tag, attributes) if "=" in attributes else ("", "")
-            path = xxhash.xxh3_64_intdigest(f"{top.path} {tag}{names}/{role}".encode()) >> 1
+            names, role = _named(attributes) if "=" in attributes else ("", "")
+            path = xxhash.xxh3_64_intdigest(f"{top.path} {tag}{names.lower()}/{role}".encode()) >> 1
             is_main = tag in ("article", "main") or role in ("main", "article")
             hidden = top.named and is_main
             self.lost = self.lost or hidden
             kept = top.noise and not (hidden and rescue)
-            part = not _NOISE_NAMES.isdisjoint(_NAME.findall(names))
+            part = not _NOISE_NAMES.isdisjoint(_parts(names))
             own = tag in _NOISE_TAGS or role in _NOISE_ROLES or (tag == "header" and not top.main)
             own = own or (path in self.low and not is_main and (part or not (top.main and tag in _PLAIN)))
             noise, named = kept or own, kept and top.named and not own
-            if not noise and not is_main and tag not in ("html", "body") and _noisy(names):
+            if not noise and not is_main and tag not in ("html", "body") and _noisy(names, tag not in _INLINE):
                 noise, named = True, not top.main
             if tag in _BLOCK and not top.noise:
-                self._flush(top.main, top.path)
+                self._flush(top)
             main = (top.main or is_main) and not noise
             self.has_main = self.has_main or main
             if attributes.endswith("/") and tag not in _BLOCK:
                 continue
-            self._push(Element(tag, path, noise, main, len(self.sums) - 1, named))
+            article = main and (top.article or tag == "article" or role == "article")
+            content = not noise and (top.content or not _CONTENT.isdisjoint(names.lower().split()))
+            self._push(Element(tag, path, noise, main, len(self.sums) - 1, named, article, content))
             if tag in _RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                 go = end.end() if end else n
                 self._close(len(stack) - 1)
         self._close(1)
-        self._flush(False, 0)
+        self._flush(root)
 
     @property
     def text(self) -> str:
-        found = [b for b, (_, key) in zip(self.blocks[True], self.paths) if key not in self.low] or self.blocks[True]
-        if 2 * sum(map(len, self.blocks[True])) < sum(map(len, self.blocks[False])):
-            found = self.blocks[False]
-        return "\n\n".join(found)
+        if not self.has_text:
+            return "\n\n".join(self.blocks[False])
+        rows = [(b, key) for b, (_, key), aside in zip(self.blocks[True], self.paths, self.beside) if not (aside and self.has_article)]
+        return "\n\n".join([b for b, key in rows if key not in self.low] or [b for b, _ in rows])
 
 
 def _marks(page: Page) -> Iterator[tuple[int, int, int]]:

@@ -96,6 +96,42 @@ def test_where_the_main_text_is(source, want):
     assert text(source) == want
 
 
+NAMES = ("comments-area", "comment-list", "comments-section", "disqus_thread", "user-comments", "ad-box", "cookie-bar", "related-posts", "userComments", "top_ads", "newsletter-signup", "share-bar")
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("tag", ["div", "section", "ul", "ol"])
+def test_one_strong_word_hides_a_container(name, tag):
+    inner = "<li><p>Nice read, thanks!</p></li>" if tag in ("ul", "ol") else "<p>Nice read, thanks!</p>"
+    for kind in ("class", "id"):
+        noise = f"<{tag} {kind}='{name}'>{inner}</{tag}>"
+        assert text(f"<article><p>The news.</p>{noise}<p>The end.</p></article>") == "The news.\n\nThe end."
+        assert text(f"<article><p>The news.</p></article>{noise}") == "The news."
+        assert text(f"<body><div><p>The news.</p></div>{noise}</body>") == "The news."
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "comments-open", "no-ads", "with-related", "page-layout-sidebar", "headline", "adventure", "shareholder", "trade"])
+def test_names_of_layouts_and_other_words_hide_nothing(name):
+    assert text(f"<div class={name}><p>The news.</p></div>") == "The news."
+    assert text(f"<article class={name}><p class='share-price'>Shares rose.</p></article>") == "Shares rose."
+
+
+def test_a_short_article_beside_teasers():
+    teasers = "".join(f"<li><a href=/{i}>A teaser of some sixty characters that leads to page {i}</a></li>" for i in range(20))
+    cards = "".join(f"<div><a href=/{i}>Another teaser, which is a link as well, no. {i}</a></div>" for i in range(20))
+    article = "<article><h1>Title</h1><p>" + "A short article. " * 5 + "</p></article>"
+    want = "Title\n\n" + ("A short article. " * 5).strip()
+    for around in ("<body>{}</body>", "<main>{}</main>", "<div class=content>{}</div>", "<main><div>{}</div></main>"):
+        for extra in (f"<ul>{teasers}</ul>", cards, f"<ul>{teasers.replace('<a', '<b').replace('</a', '</b')}</ul>"):
+            assert text(around.format(article + extra)) == text(around.format(extra + article)) == want
+    assert text("<main><h1>Title</h1><article><p>Text.</p></article></main>") == "Title\n\nText."
+
+
+def test_clashing_columns_of_pages(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/c", "<p>x", "h", 1, None)], "page_id long, url string, html string, host string, low int, text string")
+    assert [tuple(r) for r in H.extract(rows).collect()] == [(1, "http://a.b/c", "x", 1)]
+
+
 def site(rng, n):
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
     rows = []
