@@ -1,9 +1,10 @@
-"""Sequence clusters by exact set similarity: a filtered join, components, a greedy rule in each."""
+"""Sequence clusters by exact set similarity: a filtered join of different sets, then the greedy rule in parallel rounds."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
@@ -11,77 +12,216 @@ from rxflow.operators.build import numbered
 from rxflow.sources.tables import durable
 
 K, THRESHOLD = 4, 0.4
+#: Sets that share an item and are compared with each other in one block, with as many more.
+BLOCK = 512
+#: Parts of a set whose sizes bound how much two sets can share.
+PARTS = 16
+#: Most frequent items that are broadcast; more of them are joined.
+BROADCAST_ROWS = 500_000
 
 
-def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similarity`` (a < b) of all pairs of ``id, items`` with Jaccard similarity of at least the threshold.
+# ---- equal sets -----------------------------------------------------------------------
+
 
-    Candidates share one of the n - ceil(t n) + 1 rarest items of each (the prefix filter) and differ
-    little enough in size; they are then compared whole. No cap on how many share an item.
+def classes(sets: DataFrame, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """Equal sets once: ``id, class`` of every set of ``id, items`` and ``class, items, n`` of the different ones, both stored.
+
+    A class has the id of its first member, by ``order`` and then by id. Nulls, repeats and the order of items don't count.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold must be in (0, 1]")
-    sets = sets.select("id", F.array_distinct("items").alias("items")).withColumn("n", F.size("items")).where("n > 0")
+    sets = sets.withColumn("items", F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))).withColumn("_hash", F.xxhash64("items"))
+    sets = durable(sets)
+    first = F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), F.col("id").alias("id")))["id"]
+    different = durable(sets.groupBy("_hash", "items").agg(first.alias("class")).withColumn("n", F.size("items")))
+    members = sets.select("id", "_hash", "items").join(different.drop("n"), ["_hash", "items"]).select("id", "class")
+    return durable(members), different.select("class", "items", "n")
+
+
+# ---- the join -------------------------------------------------------------------------
+
+
+def _ranked(sets: DataFrame) -> DataFrame:
+    """``id, n, held, alone``: the items that another set has, rarest first, and how many stand before them in no other set."""
     each = sets.select("id", "n", F.explode("items").alias("item"))
     often = each.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("held"))
-    # items of a single set stand first in the order and tie nothing
-    short = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("held")))
-    prefix = ranked.select("id", "n", F.explode(F.slice("held", F.lit(1), short)["item"]).alias("item"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (F.col("y.n") >= threshold * F.col("x.n") - 1e-9)
-    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("n").alias("na"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("n").alias("nb"))
+    held = each.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item")))["item"].alias("held"))
+    return durable(held.withColumn("alone", F.col("n") - F.size("held")))
+
+
+def _parts(items: Column) -> Column:
+    """How many items fall in each part."""
+    at = F.transform(items, lambda x: F.pmod(F.xxhash64(x), F.lit(PARTS)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.size(F.filter(at, lambda x: x == p)))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of ``item, id, ...`` dealt to blocks: an item of few rows is one, of more each two of its tiles are one.
+
+    So a block never has more than about twice BLOCK rows, however many sets an item is in.
+    """
+    sizes = rows.groupBy("item").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    sizes = durable(sizes.select("item", F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_tiles")))
+    hot = sizes.where("_tiles > 1")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    out = rows.join(sizes.select("item"), "item", "left_semi").join(hot, "item", "left")
+    tiles = F.coalesce("_tiles", F.lit(1))
+    out = out.withColumn("_tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    return out.withColumn("_i", F.least("_tile", "_other")).withColumn("_j", F.greatest("_tile", "_other")).drop("_tiles", "_other")
+
+
+def candidates(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` of the pairs of different sets (``id, items, n``) that may be similar, and the ranked sets.
+
+    Two sets of n and m items that reach the threshold share at least t (n + m) / (1 + t) items. So the first that they share, rarest first, is among
+    the n - ceil(t n) + 1 first of each (prefix filter), after which each must hold enough others (positional filter);
+    their sizes differ little enough; and the sums of the smaller sizes of their parts reach that number (as suffix filters cut sets in parts).
+    """
+    ranked = _ranked(sets.where("n > 0"))
+    needed = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
+    short = F.greatest(F.lit(0), F.col("n") - needed + 1 - F.col("alone"))
+    prefix = ranked.select("id", "n", "alone", F.posexplode(F.slice("held", F.lit(1), short)).alias("at", "item"))
+    rows = _blocks(prefix.select("item", "id", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("rest")))
+    x, y = rows.alias("x"), rows.alias("y")
+    both = F.lit(threshold / (1 + threshold)) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    near = (
+        (F.col("x.id") < F.col("y.id"))
+        & ((F.col("x._i") == F.col("x._j")) | (F.col("x._tile") != F.col("y._tile")))
+        & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9)
+        & (F.col("y.n") >= threshold * F.col("x.n") - 1e-9)
+        & (F.least("x.rest", "y.rest") >= both)
+    )
+    same = (F.col("x.item") == F.col("y.item")) & (F.col("x._i") == F.col("y._i")) & (F.col("x._j") == F.col("y._j"))
+    pairs = x.join(y, same & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    parts = ranked.select("id", "n", _parts(F.col("held")).alias("parts"))
+    left = parts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("parts").alias("pa"))
+    right = parts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("pb"))
+    most = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    enough = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    return pairs.join(left, "a").join(right, "b").where(most >= enough).select("a", "b"), ranked
+
+
+def different_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` (a < b) of the similar pairs of different sets, ``id, items, n`` without repeats or nulls."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be in (0, 1]")
+    pairs, ranked = candidates(sets, threshold)
+    left = ranked.select(F.col("id").alias("a"), F.col("held").alias("ia"), F.col("n").alias("na"))
+    right = ranked.select(F.col("id").alias("b"), F.col("held").alias("ib"), F.col("n").alias("nb"))
     both = F.size(F.array_intersect("ia", "ib"))
     scored = pairs.join(left, "a").join(right, "b").withColumn("similarity", both / (F.col("na") + F.col("nb") - both))
     return scored.where(F.col("similarity") >= threshold - 1e-12).select("a", "b", "similarity")
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """``id, component`` (its smallest id) of every node; edges are ``a, b``.
+def class_pairs(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``id, class`` of every set of ``id, items``, and ``a, b, similarity`` of the similar pairs of classes. Empty sets are similar to none."""
+    members, different = classes(sets.select("id", "items"))
+    return members, different_pairs(different.withColumnRenamed("class", "id"), threshold)
+
+
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` (a < b) of all pairs of ``id, items`` with Jaccard similarity of at least the threshold; equal sets are expanded.
+
+    ``class_pairs`` gives the same without expanding them, whose pairs grow with the square of how many there are.
+    """
+    members, pairs = class_pairs(sets, threshold)
+    some = members.join(sets.where(F.size(F.array_compact("items")) > 0).select("id"), "id")
+    x, y = some.select(F.col("id").alias("x"), F.col("class").alias("a")), some.select(F.col("id").alias("y"), F.col("class").alias("b"))
+    every = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    equal = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1.0).alias("similarity"))
+    return every.unionByName(equal)
+
+
+# ---- the greedy rule ------------------------------------------------------------------
+
+
+def _chased(links: DataFrame) -> DataFrame:
+    """``id, on, same`` with each link followed to an ``on`` that has none itself; paths halve each round."""
+    links = durable(links)
+    while True:
+        far = links.select(F.col("id").alias("on"), F.col("on").alias("_far"), F.col("same").alias("_same"))
+        next_ = durable(links.join(far, "on", "left"))
+        if next_.where("_far IS NOT NULL").isEmpty():
+            return links
+        links = next_.select("id", F.coalesce("_far", "on").alias("on"), F.when(F.col("_far").isNull(), F.col("same")).otherwise(F.col("_same") == F.col("same")).alias("same"))
+
 
-    Labels move to the smallest of a node's neighbours and are then followed once more, so chains shorten
-    by half each round; each round is checkpointed.
+def first_independent(nodes: DataFrame, earlier: DataFrame) -> DataFrame:
+    """``id, chosen``: taken in order, a node is chosen if no earlier neighbour is. ``earlier`` has ``id, on``: each node with its earlier neighbours.
+
+    This is the lexicographically first maximal independent set, found in rounds. What a node waits for is a list of conditions ``chosen(on) = same``.
+    In each round a node with a condition that fails is out, one without conditions left is chosen, and one with a single condition
+    left has the fate of another node: such links are followed to their ends by pointer jumping, so that a chain of any
+    length takes a logarithm of rounds, and other nodes' conditions move to those ends.
+    """
+    waits = durable(earlier.select("id", "on").distinct().withColumn("same", F.lit(False)))
+    fresh = durable(nodes.select("id").distinct().join(waits.select("id").distinct(), "id", "left_anti").withColumn("chosen", F.lit(True)))
+    known, links = [fresh], None
+    while not waits.isEmpty():
+        seen = waits.join(fresh.select(F.col("id").alias("on"), "chosen"), "on", "left")
+        holds = F.col("chosen") == F.col("same")
+        each = seen.groupBy("id", "on").agg(F.bool_or(holds).alias("_hold"), F.bool_and(holds).alias("_all"), F.min("same").alias("_low"), F.max("same").alias("_high"))
+        left = F.col("_hold").isNull()
+        fails = (F.col("_all") == F.lit(False)) | (left & (F.col("_low") != F.col("_high")))
+        one = each.groupBy("id").agg(F.bool_or(F.coalesce(fails, F.lit(False))).alias("out"), F.count_if(left).alias("left"), F.max(F.when(left, F.struct("on", F.col("_low").alias("same")))).alias("last"))
+        one = durable(one)
+        open_ = one.where("NOT out AND left > 1").select("id")
+        waits = seen.where("chosen IS NULL").join(open_, "id", "left_semi").select("id", "on", "same")  # conditions that hold are done with
+        fresh = durable(one.where("out OR left = 0").select("id", (~F.col("out")).alias("chosen")))
+        known.append(fresh)
+        new = _chased(one.where("NOT out AND left = 1").select("id", "last.on", "last.same"))
+        waits = durable(_moved(waits, new).distinct())
+        links = new if links is None else durable(_moved(links, new).unionByName(new))
+        if len(known) > 8:  # few tables, however many rounds
+            known = [durable(reduce(DataFrame.unionByName, known))]
+    out = reduce(DataFrame.unionByName, known)
+    if links is None:
+        return out
+    return out.unionByName(links.join(out.select(F.col("id").alias("on"), "chosen"), "on").select("id", (F.col("chosen") == F.col("same")).alias("chosen")))
+
+
+def _moved(conditions: DataFrame, links: DataFrame) -> DataFrame:
+    """Conditions on linked nodes as conditions on the ends of their links."""
+    ends = links.select(F.col("id").alias("on"), F.col("on").alias("_end"), F.col("same").alias("_same"))
+    same = F.when(F.col("_end").isNull(), F.col("same")).otherwise(F.col("_same") == F.col("same"))
+    return conditions.join(ends, "on", "left").select("id", F.coalesce("_end", "on").alias("on"), same.alias("same"))
+
+
+def greedy_clusters(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, rep`` of ``id, length, items``: longest first (then by id), each row joins the most similar representative of at least the
+    threshold, the earliest of equal ones, or becomes one.
+
+    Of equal sets only the first can become a representative, so the rule runs over different sets. A row without items is one by itself.
     """
-    both = durable(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct())
-    labels = durable(nodes.select("id", F.col("id").alias("component")).distinct())
-    for _ in range(rounds):
-        theirs = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("component").alias("low"))
-        moved = labels.join(theirs, "id", "left").select("id", "component", F.least("component", F.coalesce("low", "component")).alias("next"))
-        jump = moved.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = durable(moved.join(jump, "next", "left").select("id", "component", F.least("next", F.coalesce("far", "next")).alias("now")))
-        labels = new.select("id", F.col("now").alias("component"))
-        if new.where("component <> now").isEmpty():
-            return labels
-    raise RuntimeError(f"the components did not settle in {rounds} rounds")
-
-
-def greedy(ids: list[str], lengths: list[int], sets: list[frozenset], threshold: float) -> list[int]:
-    """The index of the representative of each sequence: longest first, each joins the most similar
-    representative of at least the threshold (the earliest of equal ones), or becomes one."""
-    out = [0] * len(ids)
-    chosen: list[int] = []
-    for i in sorted(range(len(ids)), key=lambda i: (-lengths[i], ids[i])):
-        best, at = 0.0, -1
-        for r in chosen if sets[i] else ():
-            both = len(sets[i] & sets[r])
-            s = both / (len(sets[i]) + len(sets[r]) - both)
-            if s >= threshold and s > best:
-                best, at = s, r
-        if at < 0:
-            chosen.append(i)
-            at = i
-        out[i] = at
-    return out
+    order = lambda n, i: F.struct((-F.col(n)).alias("n"), F.col(i).alias("i"))
+    some = rows.where(F.size("items") > 0)
+    members, different = classes(some.select("id", "length", "items"), -F.col("length"))
+    lengths = durable(rows.select("id", "length"))
+    of = lambda name, size: lengths.select(F.col("id").alias(name), F.col("length").alias(size))
+    pairs = different_pairs(different.withColumnRenamed("class", "id"), threshold).where(F.col("similarity") >= threshold)
+    pairs = pairs.join(of("a", "la"), "a").join(of("b", "lb"), "b")
+    ahead = order("la", "a") < order("lb", "b")
+    pairs = durable(pairs.select(F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("on"), "similarity"))
+    chosen = durable(first_independent(different.select(F.col("class").alias("id")), pairs.select("id", "on")).where("chosen").select("id"))
+    reps = durable(members.join(chosen.select(F.col("id").alias("class")), "class", "left_semi"))  # equal to a representative
+    both = pairs.select("id", "on", "similarity").unionByName(pairs.select(F.col("on").alias("id"), F.col("id").alias("on"), "similarity"))
+    near = both.join(chosen.select(F.col("id").alias("on")), "on").select(F.col("id").alias("class"), F.col("on").alias("rep"), "similarity")
+    rest = members.join(reps.select("id"), "id", "left_anti").join(near, "class").join(of("id", "length"), "id").join(of("rep", "_rep"), "rep")
+    rest = rest.where(order("_rep", "rep") < order("length", "id"))
+    best = rest.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), order("_rep", "rep").alias("o")))["o"]["i"].alias("rep"))
+    alone = rows.where(F.size("items") == 0).select("id", F.col("id").alias("rep"))
+    return reps.select("id", F.col("class").alias("rep")).unionByName(best).unionByName(alone)
+
+
+def cluster_rows(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``id, cluster`` of ``id, length, items``; clusters are numbered by their representatives' place in (longest, id)."""
+    found = durable(greedy_clusters(rows, threshold))
+    reps = found.select(F.col("rep").alias("id")).distinct().join(rows.select("id", (-F.col("length")).alias("_shorter")), "id")
+    return found.join(numbered(reps, ["_shorter", "id"], "cluster").select(F.col("id").alias("rep"), "cluster"), "rep").select("id", "cluster")
 
 
 def cluster_sequences(sequences: DataFrame, method: str = "kmer", k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """``id, cluster`` of distinct ``id, sequence``.
 
-    ``kmer``: the greedy rule over k-mer sets. A sequence can only join one to which a chain of pairs of the threshold
-    leads, so the rule runs in each connected component apart; clusters are numbered by their
-    representatives' place in (longest, id). ``exact``: equal sequences, numbered by their smallest id.
+    ``kmer``: the greedy rule over k-mer sets. ``exact``: equal sequences, numbered by their smallest id.
     ``uniprot``: each id by itself, in order.
     """
     rows = sequences.select(F.col("id").cast("string").alias("id"), F.coalesce("sequence", F.lit("")).alias("sequence")).dropDuplicates(["id"])
@@ -92,17 +232,7 @@ def cluster_sequences(sequences: DataFrame, method: str = "kmer", k: int = K, th
         return rows.join(first, "sequence").select("id", "cluster")
     if method != "kmer":
         raise ValueError(f"no method {method}")
-    sets = rows.withColumn("items", E.kmers(F.col("sequence"), k)).withColumn("length", F.length("sequence"))
-    nodes = components(similar_pairs(sets, threshold).select("a", "b"), rows)
-
-    def rule(frame: pd.DataFrame) -> pd.DataFrame:
-        reps = greedy(list(frame["id"]), list(frame["length"]), [frozenset(x) for x in frame["items"]], threshold)
-        return pd.DataFrame({"id": frame["id"], "rep": [frame["id"].iloc[r] for r in reps]})
-
-    assigned = sets.select("id", "length", "items").join(nodes, "id").groupBy("component").applyInPandas(rule, "id string, rep string")
-    reps = assigned.select(F.col("rep").alias("id")).distinct().join(sets.select("id", "length"), "id")
-    numbers = numbered(reps.withColumn("_shorter", -F.col("length")), ["_shorter", "id"], "cluster").select(F.col("id").alias("rep"), "cluster")
-    return assigned.join(numbers, "rep").select("id", "cluster")
+    return cluster_rows(durable(rows.select("id", F.length("sequence").alias("length"), E.kmers(F.col("sequence"), k).alias("items"))), threshold)
 
 
 def cluster_frame(spark: SparkSession, sequences: dict[str, str], **options) -> dict[str, int]:

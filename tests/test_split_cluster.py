@@ -73,6 +73,25 @@ def test_exact_shuffles_refuse_many_rows(spark, monkeypatch):
     assert split.shuffled_pairs(rows, ["id"], ["s"]).count() == 5
 
 
+def greedy(ids: list[str], lengths: list[int], sets: list[frozenset], threshold: float) -> list[int]:
+    """The index of the representative of each sequence: longest first, each joins the most similar
+    representative of at least the threshold (the earliest of equal ones), or becomes one."""
+    out = [0] * len(ids)
+    chosen: list[int] = []
+    for i in sorted(range(len(ids)), key=lambda i: (-lengths[i], ids[i])):
+        best, at = 0.0, -1
+        for r in chosen if sets[i] else ():
+            both = len(sets[i] & sets[r])
+            s = both / (len(sets[i]) + len(sets[r]) - both)
+            if s >= threshold and s > best:
+                best, at = s, r
+        if at < 0:
+            chosen.append(i)
+            at = i
+        out[i] = at
+    return out
+
+
 def mutated(base, n, rng):
     s = list(base)
     for i in rng.sample(range(len(s)), n):
@@ -87,7 +106,7 @@ def test_clusters_match_a_global_greedy_run(spark):
     got = cluster.cluster_frame(spark, seqs, k=4, threshold=0.4)
     ids = sorted(seqs)
     sets = [frozenset(seqs[i][j : j + 4] for j in range(len(seqs[i]) - 3)) for i in ids]
-    want = cluster.greedy(ids, [len(seqs[i]) for i in ids], sets, 0.4)
+    want = greedy(ids, [len(seqs[i]) for i in ids], sets, 0.4)
     part = lambda labels: {frozenset(i for i in ids if labels[i] == x) for x in set(labels.values())}
     assert part(got) == part(dict(zip(ids, want)))
     assert sorted(set(got.values())) == list(range(len(set(want))))
@@ -108,3 +127,86 @@ def test_similar_pairs_match_brute_force(spark):
     for t in (0.3, 0.5, 0.8, 1.0):
         want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b])) >= t}
         assert {(r["a"], r["b"]) for r in cluster.similar_pairs(rows, t).collect()} == want
+
+
+def test_equal_sets_nulls_and_hot_items(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 16)  # so that items are cut into tiles
+    rng = random.Random(3)
+    sets = {i: sorted(rng.sample(range(1, 40), rng.randrange(0, 4))) + [0] for i in range(150)}
+    sets |= {200 + i: [0, 1, 2] for i in range(30)} | {300: [], 301: [], 302: None}
+    rows = spark.createDataFrame([(i, None if s is None else [*s, *s[:1], None]) for i, s in sets.items()], "id int, items array<int>")
+    for t in (0.25, 0.6):
+        some = {i: set(s) for i, s in sets.items() if s}
+        want = {(a, b): len(some[a] & some[b]) / len(some[a] | some[b]) for a in some for b in some if a < b}
+        got = {(r["a"], r["b"]): r["similarity"] for r in cluster.similar_pairs(rows, t).collect()}
+        assert got == {p: s for p, s in want.items() if s >= t}
+        members, pairs = cluster.class_pairs(rows.where("items IS NOT NULL"), t)
+        of = {r["id"]: r["class"] for r in members.collect()}
+        assert {i: of[i] for i in some} == {i: min(j for j in some if some[j] == some[i]) for i in some}
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == {p for p in got if of[p[0]] == p[0] and of[p[1]] == p[1] and some[p[0]] != some[p[1]]}
+
+
+def test_an_item_of_every_set_spreads(spark):
+    """Of an item that all sets have, no task gets more than twice the rows of the median one."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(7).alias("item"), "id")
+    dealt = cluster._blocks(rows).repartition(8, "item", "_i", "_j").groupBy(F.spark_partition_id()).count().collect()
+    each = sorted(r["count"] for r in dealt)
+    assert len(each) == 8 and each[-1] <= 2 * each[4]
+    tiles = -(-n // cluster.BLOCK)
+    assert sum(each) == n * tiles
+
+
+def independent(nodes, on):
+    chosen = {}
+    for i in nodes:
+        chosen[i] = not any(chosen[j] for j in on.get(i, ()))
+    return chosen
+
+
+def test_rounds_equal_the_rule_on_a_thousand_graphs(spark):
+    """All graphs are parts of one table, so that one run decides them."""
+    rng = random.Random(6)
+    nodes, edges = [], {}
+    for g in range(1000):
+        n, p = rng.randrange(1, 25), rng.choice([0.05, 0.15, 0.4, 0.9])
+        ids = [1000 * g + i for i in range(n)]
+        nodes += ids
+        for a in range(n):
+            for b in range(a):
+                if rng.random() < p or (g % 10 == 0 and a - b == 1):
+                    edges.setdefault(ids[a], []).append(ids[b])
+    rows = spark.createDataFrame([(i,) for i in nodes], "id long")
+    pairs = spark.createDataFrame([(a, b) for a, bs in edges.items() for b in bs], "id long, on long")
+    got = {r["id"]: r["chosen"] for r in cluster.first_independent(rows, pairs).collect()}
+    assert got == independent(nodes, edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    steps = []
+    chased = cluster._chased
+    monkeypatch.setattr(cluster, "_chased", lambda links: steps.append(1) or chased(links))
+    n = 50_000
+    nodes = spark.range(n, numPartitions=4)
+    got = cluster.first_independent(nodes, nodes.where("id > 0").select("id", (F.col("id") - 1).alias("on")))
+    assert got.groupBy((F.col("id") % 2).alias("odd"), "chosen").count().collect() and got.where("chosen = (id % 2 = 1)").isEmpty() and got.count() == n
+    assert len(steps) <= 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_equal_the_greedy_rule_with_equal_sets(spark, seed):
+    """Equal sets of different lengths, ties and chains of similar ones."""
+    rng = random.Random(seed)
+    items = [frozenset(rng.sample(range(12), rng.randrange(0, 6))) for _ in range(40)]
+    rows = [(f"r{rng.randrange(10**6)}-{i}", rng.randrange(1, 6), rng.choice(items)) for i in range(150)]
+    frame = spark.createDataFrame([(i, n, sorted(s)) for i, n, s in rows], "id string, length int, items array<int>")
+    for t in (0.3, 0.5):
+        want = greedy([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], t)
+        got = {r["id"]: r["rep"] for r in cluster.greedy_clusters(frame, t).collect()}
+        assert got == {rows[i][0]: rows[w][0] for i, w in enumerate(want)}
+
+
+def test_no_group_of_python_is_a_component(spark):
+    rows = spark.createDataFrame([("a", "MKLV"), ("b", "MKLVA")], "id string, sequence string")
+    plan = cluster.cluster_sequences(rows)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "Python" not in plan
