@@ -39,7 +39,7 @@ SALTS = 64
 # How bytes are read. A-Z in lower case, ends of pieces as line feeds, white space as a space.
 _READ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10 + b" ")
 
-Sieve = Callable[[list[str], list[str]], np.ndarray]
+Sieve = Callable[[np.ndarray], np.ndarray]
 
 
 def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +48,22 @@ def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.dictionary.to_numpy(), found.indices.to_numpy()
 
 
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def _chain(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of phrases that are one word longer; the first hash is that of a language."""
+    return ((before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) ^ word
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a sieve that stand for a phrase."""
+    x = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    return x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)
+
+
 def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
     """Different words; then of each word of the texts its place among them, its piece, and its text."""
     _, offsets, data = texts.buffers()
@@ -61,42 +77,55 @@ def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarra
     return coded.dictionary, coded.indices.to_numpy(), piece, pc.list_parent_indices(pieces).to_numpy()[piece]
 
 
-def count_batch(texts: pa.StringArray, langs: pa.StringArray, size: int, sieves: list[Sieve]) -> tuple[pa.StringArray, pa.StringArray, np.ndarray]:
-    """Languages, phrases and counts of the phrases of ``size`` words that pass the sieves of all shorter sizes."""
+def count_batch(texts: pa.StringArray, langs: pa.StringArray, size: int, sieves: list[Sieve]) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Languages, phrases and counts of the phrases of ``size`` words whose two parts of one word less pass the sieves."""
     words, word, piece, text = _words(texts)
     tongues = langs.dictionary_encode()
-    both, at = _codes(tongues.indices.to_numpy()[text].astype(np.int64) * max(len(words), 1) + word)
-    lang = tongues.dictionary.take(pa.array(both // max(len(words), 1)))
-    first = phrases = words.take(pa.array(both % max(len(words), 1)))
-    gram, known = at.astype(np.int64), np.ones(len(at), bool)
-    for k in range(2, size + 1):
-        known &= sieves[k - 2](lang.to_pylist(), phrases.to_pylist())[gram] if len(phrases) else False
-        start = np.flatnonzero(known[:-1] & known[1:] & (piece[:-1] == piece[1:]))
-        found, here = _codes(gram[start] * len(first) + at[start + k - 1])
-        before = pa.array(found // max(len(first), 1))
-        lang = lang.take(before)
-        phrases = pc.binary_join_element_wise(phrases.take(before), first.take(pa.array(found % max(len(first), 1))), " ")
-        gram, known = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
-        gram[start], known[start] = here, True
-    return lang, phrases, np.bincount(gram[known], minlength=len(phrases)).astype(np.int64)
-
-
-def sieve(level: DataFrame) -> Sieve:
-    """A test that passes all phrases of a stored level table and few others."""
+    tongue = tongues.indices.to_numpy()[text]
+    start = np.arange(len(word))
+    if size > 1:
+        one = _hashes(words)[word]
+        hashed, known = _chain(_hashes(tongues.dictionary)[tongue], one), None
+        for k in range(1, size):  # where phrases of k words begin that pass
+            if k > 1:
+                hashed = _chain(hashed[:-1], one[k - 1 :])
+            known = sieves[k - 1](hashed) if known is None else known & sieves[k - 1](hashed)
+            n = max(0, len(known) - 1)
+            known = known[:n] & known[1:] & (piece[:n] == piece[k : k + n])  # both parts, in one piece
+        start = np.flatnonzero(known)
+    gram = _codes(tongue[start].astype(np.int64) * max(len(words), 1) + word[start])[1].astype(np.int64)
+    for k in range(1, size):
+        gram = _codes(gram * max(len(words), 1) + word[start + k])[1].astype(np.int64)
+    n = np.bincount(gram)
+    first = np.empty(len(n), np.int64)
+    first[gram[::-1]] = start[::-1]  # one place of each phrase
+    parts = [words.take(pa.array(word[first + k])) for k in range(size)]
+    return tongues.dictionary.take(pa.array(tongue[first])), pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], n.astype(np.int64)
+
+
+def sieve(level: DataFrame, size: int) -> Sieve:
+    """A test of hashes that passes all phrases of a stored level table of ``size`` words and few others."""
     spark = level.sparkSession
     bits = 1 << max(10, min(SIEVE.bit_length() - 1, int(level.count() * EACH).bit_length()))
-    key = F.xxhash64(F.concat("lang", F.lit("\t"), "phrase"))
-    places = level.where("phrase IS NOT NULL").select(F.explode(F.array(key, F.shiftrightunsigned(key, 32))).alias("h")).select(F.col("h").bitwiseAND(bits - 1).alias("p"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, words = batch["lang"].dictionary_encode(), pc.split_pattern(batch["phrase"], " ").flatten().dictionary_encode()
+            hashed = _hashes(langs.dictionary)[langs.indices.to_numpy()]
+            for word in _hashes(words.dictionary)[words.indices.to_numpy()].reshape(-1, size).T:
+                hashed = _chain(hashed, word)
+            yield pa.record_batch([pa.array(np.concatenate(_places(hashed, bits)).astype(np.int64))], ["p"])
+
     one = F.expr("shiftleft(1L, int(p & 63))")
+    places = level.where("phrase IS NOT NULL").mapInArrow(place, "p long")
     rows = places.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(one).alias("held")).toArrow()
     held = np.zeros(bits >> 6, np.int64)
     held[rows["at"].to_numpy()] = rows["held"].to_numpy()
     sent = spark.sparkContext.broadcast(held.view(np.uint64))
 
-    def passes(langs: list[str], phrases: list[str]) -> np.ndarray:
-        h = np.fromiter((xxhash.xxh64_intdigest(f"{x}\t{y}", 42) for x, y in zip(langs, phrases, strict=True)), np.uint64, len(phrases))
-        out = np.ones(len(h), bool)
-        for p in (h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)):
+    def passes(hashed: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashed), bool)
+        for p in _places(hashed, bits):
             out &= (sent.value[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return out
 
@@ -138,7 +167,7 @@ def levels(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> list[
     out = [stored(counts(docs, 1, []).where((F.col("f") >= least) | F.col("phrase").isNull()))]
     sieves: list[Sieve] = []
     for k in range(2, longest + 1):
-        sieves.append(sieve(out[-1]))
+        sieves.append(sieve(out[-1], k - 1))
         out.append(stored(counts(docs, k, sieves).where(F.col("f") >= least)))
     return out
 

@@ -94,13 +94,20 @@ def test_nothing_frequent_and_nothing_at_all(spark):
     assert run(spark, [(1, None, None, None, None, None)]) == []
 
 
+def hashed(lang, *words):
+    h = phrases._hashes(pa.array([lang]))
+    for w in words:
+        h = phrases._chain(h, phrases._hashes(pa.array([w])))
+    return h
+
+
 def test_sieve_passes_all_and_few_others(spark):
-    words = [f"w{i}" for i in range(4000)]
-    level = spark.createDataFrame([("en", w, 1) for w in words] + [("en", None, 5)], "lang string, phrase string, f long")
-    passes = phrases.sieve(level)
-    assert passes(["en"] * 4000, words).all()
-    assert passes(["en"] * 4000, [f"v{i}" for i in range(4000)]).mean() < 0.02
-    assert passes(["de"] * 4000, words).mean() < 0.02
+    pairs = [(f"w{i}", f"w{i * 7 % 4001}") for i in range(4000)]
+    level = spark.createDataFrame([("en", " ".join(p), 1) for p in pairs] + [("en", None, 5)], "lang string, phrase string, f long")
+    passes = phrases.sieve(level, 2)
+    share = lambda lang, some: passes(np.concatenate([hashed(lang, *p) for p in some])).mean()
+    assert share("en", pairs) == 1
+    assert share("de", pairs) < 0.02 and share("en", [(b, a) for a, b in pairs[1:]]) < 0.02 and share("en", [(f"v{i}", "x") for i in range(4000)]) < 0.02
 
 
 def test_a_full_sieve_still_counts_right(spark, monkeypatch):
@@ -111,9 +118,13 @@ def test_a_full_sieve_still_counts_right(spark, monkeypatch):
 
 
 def test_phrases_need_frequent_ends():
-    text, lang = pa.array(["a b c a b"]), pa.array(["en"])
-    only = lambda held: lambda langs, names: np.array([x in held for x in names], bool)
-    _, names, n = phrases.count_batch(text, lang, 2, [only({"a", "b"})])
+    text, lang = pa.array(["a b c a b. b c"]), pa.array(["en"])
+
+    def only(*held):
+        known = np.concatenate([hashed("en", *p.split()) for p in held])
+        return lambda h: np.isin(h, known)
+
+    _, names, n = phrases.count_batch(text, lang, 2, [only("a", "b")])
     assert dict(zip(names.to_pylist(), n.tolist(), strict=True)) == {"a b": 2}
-    _, names, n = phrases.count_batch(text, lang, 3, [only({"a", "b", "c"}), only({"a b", "b c"})])
+    _, names, n = phrases.count_batch(text, lang, 3, [only("a", "b", "c"), only("a b", "b c")])
     assert dict(zip(names.to_pylist(), n.tolist(), strict=True)) == {"a b c": 1}
