@@ -212,3 +212,14 @@ def mean_pool(rows: Column, mask: Column) -> Column:
 def padded(items: Column, size: int, value: int) -> Column:
     """The array with a value added up to a size; label padding uses -100."""
     return F.concat(items, F.array_repeat(F.lit(value), F.greatest(F.lit(size) - F.size(items), F.lit(0))))
+
+
+def shingles(text: Column, n: int = 5) -> Column:
+    """Distinct runs of n words, as 64-bit hashes; of fewer words the whole sequence; none without words or text. Words stand between blanks, tabs and line ends."""
+    words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words), runs), F.lit(0))  # words are bound by the outer function, so a text is split once

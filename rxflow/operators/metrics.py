@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
 from rxflow.functions.backends import Backend, Identity, dimension
+from rxflow.sources.tables import durable
 
 KS = (1, 5, 10)
 
@@ -162,38 +163,46 @@ def novelty(frame: DataFrame, train: DataFrame, of: Backend | None = None, level
     return joined.agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("old").isNull(), F.col("n")).otherwise(0)).cast("double"), F.sum("n").cast("double")), F.lit(0.0)).alias("novelty"))
 
 
+def _bits(sides: DataFrame, of: Backend) -> DataFrame:
+    """``molecule, bits`` of the distinct valid sides (column ``molecule``), stored: every join with them reads these few rows."""
+    return durable(dimension(sides, "molecule", of, fingerprints=True).where("bits IS NOT NULL").select("molecule", "bits"))
+
+
 def nearest_reference(frame: DataFrame, of: Backend | None = None) -> DataFrame:
     """``row_id, similarity``: the largest Tanimoto similarity of the first valid prediction to a reference.
 
-    Rows without a valid prediction or without references are left out; invalid references count as 0.
+    Rows without a valid prediction or without references are left out; invalid and null references count as 0.
     """
     of = of or Identity()
-    rows = prepared(frame, of).select("row_id", F.get(F.filter("whole", lambda m: m.isNotNull()), F.lit(0)).alias("first"), "references")
-    rows = rows.where(F.col("first").isNotNull() & (F.size("references") > 0))
-    each = rows.select("row_id", "first", F.explode(F.array_distinct("references")).alias("reference"))
-    bits = dimension(each.select(F.col("first").alias("m")).unionByName(each.select(F.col("reference").alias("m"))), "m", of, fingerprints=True).select("molecule", "bits")
-    pairs = each.join(bits.select(F.col("molecule").alias("first"), F.col("bits").alias("x")), "first").join(bits.select(F.col("molecule").alias("reference"), F.col("bits").alias("y")), "reference")
-    return pairs.groupBy("row_id").agg(F.max(F.coalesce(E.tanimoto(F.col("x"), F.col("y")), F.lit(0.0))).alias("similarity"))
+    rows = prepared(frame, of).select("row_id", F.get(F.filter("whole", lambda m: m.isNotNull()), F.lit(0)).alias("first"), F.array_distinct("references").alias("references"))
+    rows = durable(rows.where(F.col("first").isNotNull() & (F.size("references") > 0)))
+    bits = _bits(rows.select(F.explode(F.concat("references", F.array("first"))).alias("molecule")), of)
+    pairs = rows.select(F.explode("references").alias("reference"), "first").distinct()
+    pairs = pairs.join(bits.select(F.col("molecule").alias("first"), F.col("bits").alias("x")), "first").join(bits.select(F.col("molecule").alias("reference"), F.col("bits").alias("y")), "reference")
+    scored = pairs.select("first", "reference", E.tanimoto(F.col("x"), F.col("y")).alias("score"))
+    each = rows.select("row_id", "first", F.explode("references").alias("reference")).join(scored, ["first", "reference"], "left")
+    return each.groupBy("row_id").agg(F.max(F.coalesce("score", F.lit(0.0))).alias("similarity"))
 
 
 def matches(frame: DataFrame, of: Backend | None = None) -> DataFrame:
     """``row_id, rank, prediction, exact, best_tanimoto`` of each prediction: whether it is the whole reference set, and its
     largest Tanimoto similarity to a reference.
 
-    That is null without references, or if the prediction or all references are invalid. Fingerprints are made once for each distinct side.
+    That is null without references, or if the prediction or all references are invalid. Fingerprints are made once for each distinct side, and
+    similarities once for each prediction with the same references; the frame is planned once and stored.
     """
     of = of or Identity()
-    rows = prepared(frame, of)
-    each = rows.select("row_id", "ref_set", F.posexplode(F.arrays_zip("predictions", "pred_sets")).alias("at", "p"))
-    each = each.select("row_id", "at", "ref_set", "p.*")
-    refs = rows.select("row_id", F.explode(F.array_distinct("references")).alias("molecule"))
-    sides = refs.select("molecule").unionByName(each.select(F.col("predictions").alias("molecule")))
-    bits = dimension(sides, "molecule", of, fingerprints=True).where("bits IS NOT NULL").select("molecule", "bits")
-    refs = refs.join(bits, "molecule").groupBy("row_id").agg(F.collect_list("bits").alias("ref_bits"))
-    each = each.join(bits, each.predictions == bits.molecule, "left").join(refs, "row_id", "left")
-    exact = (F.size("pred_sets") > 0) & E.same_set(F.col("pred_sets"), F.col("ref_set"))
+    columns = ("row_id", "ref_set", "pred_sets", "predictions", F.array_sort(F.array_distinct(F.array_compact("references"))).alias("references"))
+    rows = durable(prepared(frame, of).select(*columns))
+    bits = _bits(rows.select(F.explode(F.concat("references", "predictions")).alias("molecule")), of)
+    asked = rows.select("references", F.explode("predictions").alias("prediction")).distinct()
+    refs = asked.select("references").distinct().select("references", F.explode("references").alias("molecule")).join(bits, "molecule").groupBy("references").agg(F.collect_list("bits").alias("ref_bits"))
     best = F.array_max(F.transform("ref_bits", lambda r: E.tanimoto(F.col("bits"), r)))
-    return each.select("row_id", (F.col("at") + 1).alias("rank"), F.col("predictions").alias("prediction"), exact.alias("exact"), best.alias("best_tanimoto"))
+    best = asked.join(bits, asked.prediction == bits.molecule).join(refs, "references").select("references", "prediction", best.alias("best_tanimoto"))
+    each = rows.select("row_id", "ref_set", "references", F.posexplode(F.arrays_zip(F.col("predictions").alias("prediction"), "pred_sets")).alias("at", "p"))
+    each = each.select("row_id", "at", "ref_set", "references", "p.*").join(best, ["references", "prediction"], "left")
+    exact = (F.size("pred_sets") > 0) & E.same_set(F.col("pred_sets"), F.col("ref_set"))
+    return each.select("row_id", (F.col("at") + 1).alias("rank"), "prediction", exact.alias("exact"), "best_tanimoto")
 
 
 def recovered(frame: DataFrame, of: Backend | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What a processed table holds: counts, leaks, clusters, lengths, classes; one small table each."""
+"""What a processed table holds: counts, leaks, clusters, lengths, classes; one small table each. Tables with a median find it when they are made."""
 
 from __future__ import annotations
 
@@ -8,7 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
+from rxflow.operators.quantiles import median
 from rxflow.operators.split import leaking_groups, overlap, split_counts
+from rxflow.sources.tables import durable
+
+
+def _median(df: DataFrame, column: str) -> Column:
+    return F.lit(median(df, column)).cast("double")
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -56,13 +62,14 @@ def cluster_sizes(df: DataFrame, cluster: str = "enzyme_cluster", member: str =
 def cluster_stats(sizes: DataFrame) -> DataFrame:
     """One row: clusters, singletons and their share, largest, mean and median size."""
     single = F.count_if(F.col("size") == 1)
+    sizes = durable(sizes.select("size"))
     return sizes.agg(
         F.count("*").alias("n_clusters"),
         single.alias("n_singletons"),
         F.coalesce(F.try_divide(single.cast("double"), F.count("*").cast("double")), F.lit(0.0)).alias("singleton_share"),
         F.max("size").alias("largest"),
         F.avg("size").alias("mean_size"),
-        F.median("size").alias("median_size"),
+        _median(sizes, "size").alias("median_size"),
     )
 
 
@@ -76,13 +83,13 @@ def largest_clusters(df: DataFrame, cluster: str, member: str, label: Column, or
 
 
 def length_stats(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.min(value).alias("min"), F.floor(F.median(value)).cast("long").alias("median"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return df.agg(F.min(value).alias("min"), F.floor(_median(df, value)).cast("long").alias("median"), F.max(value).alias("max"), F.avg(value).alias("mean"))
 
 
 def side_stats(df: DataFrame) -> DataFrame:
     names = ("n_reactants", "n_products")
     tokens = ("src_n_tokens", "tgt_n_tokens")
-    return df.agg(*(F.avg(c).alias(f"mean_{c}") for c in names), *(F.median(c).alias(f"median_{c}") for c in tokens))
+    return df.agg(*(F.avg(c).alias(f"mean_{c}") for c in names), *(_median(df, c).alias(f"median_{c}") for c in tokens))
 
 
 def split_summary(df: DataFrame, split_cols: Sequence[str], entity: str, reaction: Column) -> DataFrame:
@@ -98,7 +105,7 @@ def split_summary(df: DataFrame, split_cols: Sequence[str], entity: str, reactio
 
 
 def profile(df: DataFrame) -> dict[str, DataFrame]:
-    """All tables that the columns of ``df`` allow, each lazy."""
+    """All tables that the columns of ``df`` allow."""
     out = {"overview": overview(df), "reactions": side_stats(df)}
     has = set(df.columns).issuperset
     key = E.undirected_key(F.col("reactant_smiles"), F.col("product_smiles"))

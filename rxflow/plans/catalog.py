@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
-from rxflow.operators import build, cluster, embed, metrics, profile, split, tokens
+from rxflow.operators import build, cluster, embed, metrics, profile, quantiles, split, tokens
 from rxflow.plans import runner
 from rxflow.sources import lookups, tables
 
@@ -62,9 +62,15 @@ def atom_token_counts(spark, sf):
     return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), (F.array_join("tokens", "") == F.col("text")).alias("lossless"))
 
 
-@query(f"SELECT DISTINCT token FROM (SELECT unnest({_tok('text')}) AS token FROM documents) WHERE length(token) > 1")
+#: Parts as molecules with tokens of several letters: brackets by brand, ring numbers by size, Br and Cl by type.
+_PARTS = "(SELECT CASE WHEN p_type LIKE 'S%' THEN 'Br' ELSE 'Cl' END || 'C%' || CAST(10 + p_size AS VARCHAR) || '[' || replace(p_brand, 'Brand#', 'Fe+') || ']c1ccccc1' AS smiles FROM part)"
+
+
+@query(f"SELECT DISTINCT token FROM (SELECT unnest({_tok('smiles')}) AS token FROM {_PARTS}) WHERE length(token) > 1")
 def atom_vocabulary(spark, sf):
-    return tokens.atom_vocabulary(t(spark, sf, "documents"), "text")
+    ends = F.when(F.col("p_type").startswith("S"), "Br").otherwise("Cl")
+    smiles = F.concat(ends, F.lit("C%"), (10 + F.col("p_size")).cast("string"), F.lit("["), F.replace("p_brand", F.lit("Brand#"), F.lit("Fe+")), F.lit("]c1ccccc1"))
+    return tokens.atom_vocabulary(t(spark, sf, "part").select(smiles.alias("smiles")), "smiles")
 
 
 @query(f"SELECT token, COUNT(*) AS n, length(token) > 1 AS multichar FROM (SELECT unnest({_tok('text')}) AS token FROM documents) GROUP BY token")
@@ -338,12 +344,69 @@ def jaccard_pairs(spark, sf):
     return cluster.similar_pairs(sets, 0.5).withColumn("similarity", r6(F.col("similarity")))
 
 
-@query()
+def _greedy_sql(items: str, threshold: float) -> str:
+    """The greedy rule one row after the other, over a CTE ``s`` of ``id, length, items``."""
+    return f"""WITH RECURSIVE s AS ({items}), o AS (SELECT *, row_number() OVER (ORDER BY length DESC, id) AS i FROM s),
+x AS (SELECT DISTINCT i, unnest(items) AS item FROM o), z AS (SELECT i, count(*) AS n FROM x GROUP BY i),
+k AS (SELECT a.i AS i, b.i AS j, count(*) AS shared FROM x a JOIN x b ON a.item = b.item AND b.i < a.i GROUP BY 1, 2),
+p AS (SELECT k.i, k.j, shared / (u.n + v.n - shared)::DOUBLE AS sim FROM k JOIN z u ON u.i = k.i JOIN z v ON v.i = k.j WHERE shared / (u.n + v.n - shared)::DOUBLE >= {threshold}::DOUBLE),
+e AS (SELECT o.i, coalesce(list(p.j) FILTER (WHERE p.j IS NOT NULL), []) AS earlier FROM o LEFT JOIN p ON p.i = o.i GROUP BY o.i),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS reps UNION ALL SELECT e.i, CASE WHEN list_has_any(reps, earlier) THEN reps ELSE list_append(reps, e.i) END FROM r JOIN e ON e.i = r.i + 1),
+c AS (SELECT unnest(reps) AS rep FROM r WHERE i = (SELECT max(i) FROM r)),
+n AS (SELECT rep, row_number() OVER (ORDER BY rep) - 1 AS cluster FROM c),
+m AS (SELECT p.i, arg_min(rep, (-sim, rep)) AS rep FROM p JOIN c ON c.rep = p.j WHERE p.i NOT IN (SELECT rep FROM c) GROUP BY p.i UNION ALL SELECT rep, rep FROM c)
+SELECT o.id, n.cluster FROM m JOIN o USING (i) JOIN n USING (rep)"""
+
+
+_WORDS = r"list_filter(string_split_regex(text, '[ \t-\r]+'), lambda w: w <> '')"
+_SHINGLED = f"(SELECT doc_id, {_WORDS} AS w FROM documents)"
+_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))"
+
+
+def shingled(spark, sf) -> DataFrame:
+    """``id, length, items``: whole documents as sets of runs of five words."""
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("length"), E.shingles(F.col("text")).alias("items"))
+    return tables.durable(docs)
+
+
+@query(_greedy_sql("SELECT CAST(p_partkey AS VARCHAR) AS id, length(p_name) AS length, list_distinct(list_transform(range(1, greatest(length(p_name) - 3, 1) + 1), lambda i: substr(p_name, i, 4))) AS items FROM part", 0.6))
 def greedy_clusters(spark, sf):
     names = t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("sequence"))
     return cluster.cluster_sequences(names, "kmer", 4, 0.6)
 
 
+@query(_greedy_sql(f"SELECT doc_id AS id, length(text) AS length, {_SHINGLES} AS items FROM {_SHINGLED} JOIN documents USING (doc_id) WHERE len(w) > 0", 0.4))
+def document_clusters(spark, sf):
+    return cluster.cluster_rows(shingled(spark, sf).where(F.size("items") > 0), 0.4)
+
+
+_CLASSES = (
+    f"s AS (SELECT doc_id, list_sort({_SHINGLES}) AS items FROM {_SHINGLED} WHERE len(w) > 0), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY items) AS class, items FROM s), "
+    "x AS (SELECT class, unnest(items) AS item FROM c WHERE doc_id = class), z AS (SELECT class, len(items) AS n FROM c WHERE doc_id = class), "
+    "k AS (SELECT a.class AS a, b.class AS b, count(*) AS shared FROM x a JOIN x b ON a.item = b.item AND a.class < b.class GROUP BY 1, 2), "
+    "p AS (SELECT a, b, shared / (u.n + v.n - shared)::DOUBLE AS similarity FROM k JOIN z u ON u.class = a JOIN z v ON v.class = b WHERE shared / (u.n + v.n - shared)::DOUBLE >= 0.5)"
+)
+
+
+@query("WITH " + _CLASSES + " SELECT a, b, round(similarity, 6) AS similarity FROM p")
+def shingle_jaccard_pairs(spark, sf):
+    return cluster.class_pairs(shingled(spark, sf), 0.5)[1].withColumn("similarity", r6(F.col("similarity")))
+
+
+@query(
+    "WITH " + _CLASSES + ", g AS (SELECT class, count(*) AS copies FROM c GROUP BY class), l AS (SELECT a AS class, sum(copies) AS n FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) q JOIN g ON g.class = q.b GROUP BY a) "
+    "SELECT doc_id, class, copies, CAST(copies - 1 + coalesce(n, 0) AS BIGINT) AS n_links FROM c JOIN g USING (class) LEFT JOIN l USING (class)"
+)
+def shingle_classes(spark, sf):
+    """Each document with words: its class of equal sets, how many are in it, and how many other documents are at least half alike."""
+    members, pairs = cluster.class_pairs(shingled(spark, sf).where(F.size("items") > 0), 0.5)
+    members = members.select(F.col("id").alias("doc_id"), "class")
+    copies = members.groupBy("class").agg(F.count("*").alias("copies"))
+    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))
+    links = both.join(copies.withColumnRenamed("class", "other"), "other").groupBy("class").agg(F.sum("copies").alias("n"))
+    return members.join(copies, "class").join(links, "class", "left").select("doc_id", "class", "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+
+
 @query("SELECT p_partkey, CAST(len(list_distinct(list_transform(range(1, greatest(length(p_name) - 3, 1) + 1), lambda i: substr(p_name, i, 4)))) AS INT) AS n_kmers FROM part")
 def kmer_sets(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.size(E.kmers(F.col("p_name"), 4)).alias("n_kmers"))
@@ -494,6 +557,28 @@ def length_stats(spark, sf):
     return profile.length_stats(t(spark, sf, "documents"), "n_chars").withColumn("mean", r6(F.col("mean")))
 
 
+_SHARES = "[0.01, 0.25, 0.5, 0.75, 0.99]"
+
+
+@query(
+    f"SELECT measure, unnest({_SHARES}::DOUBLE[]) AS share, round(unnest(v)::DOUBLE, 6) AS value FROM ("
+    f"SELECT 'chars' AS measure, quantile_cont(n_chars, {_SHARES}) AS v FROM documents UNION ALL SELECT 'price', quantile_cont(o_totalprice, {_SHARES}) FROM orders)"
+)
+def exact_quantiles(spark, sf):
+    shares = [0.01, 0.25, 0.5, 0.75, 0.99]
+    measured = {"chars": ("documents", "n_chars"), "price": ("orders", "o_totalprice")}
+    rows = [(name, s, v) for name, (table, column) in measured.items() for s, v in zip(shares, quantiles.quantiles(t(spark, sf, table), column, shares))]
+    return spark.createDataFrame(rows, "measure string, share double, value double").withColumn("value", r6(F.col("value")))
+
+
+@query(
+    _BUILT + "SELECT round(avg(len(lefts)), 6) AS mean_n_reactants, round(avg(len(rights)), 6) AS mean_n_products, round(median(nr)::DOUBLE, 6) AS median_src_n_tokens, round(median(np)::DOUBLE, 6) AS median_tgt_n_tokens FROM judged WHERE status = 'out'"
+)
+def side_stats(spark, sf):
+    out = profile.side_stats(tables.durable(_built(spark, sf)[0]))
+    return out.select(*(r6(F.col(c)).alias(c) for c in out.columns))
+
+
 @query("SELECT CAST(least(floor(least(n_chars, 5000.0::DOUBLE) / 100.0::DOUBLE), 49) AS INT) AS bin, CAST(least(floor(least(n_chars, 5000.0::DOUBLE) / 100.0::DOUBLE), 49) AS INT) * 100.0::DOUBLE AS bin_start, COUNT(*) AS n FROM documents GROUP BY 1, 2")
 def length_histogram(spark, sf):
     return profile.histogram(t(spark, sf, "documents"), "n_chars", 50, clip=5000, low=0.0, high=5000.0)

@@ -104,3 +104,10 @@ def test_mean_pool_leaves_masked_positions_out(spark):
 
 def test_padding(spark):
     assert value(spark, E.padded(F.array(F.lit(1)), 3, -100)) == [1, -100, -100]
+
+
+def test_shingles(spark):
+    texts = [None, "", " \t", "a b", "a b c d e", "a  b\tc\nd e f", "x " * 40]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(E.shingles(F.col("x"))).collect()]
+    assert list(map(len, got)) == [0, 0, 0, 1, 1, 2, 1]
+    assert got[4][0] == got[5][0]

@@ -92,3 +92,17 @@ def test_alignment_is_checked(spark):
 def test_matrix_has_a_row_for_each_metric(spark):
     rows = M.matrix(frame(spark, [["C"]], [["C"]])).collect()
     assert [r["metric"] for r in rows] == list(M.PER_K) and all(r["top_1"] == 1 for r in rows)
+
+
+def test_null_references_count_as_nothing(spark):
+    rows = spark.createDataFrame([(0, [None], ["C"]), (1, ["C", None], ["C", None])], "row_id long, references array<string>, predictions array<string>")
+    assert sorted(tuple(r) for r in M.nearest_reference(rows).collect()) == [(0, 0.0), (1, 1.0)]
+    assert {(r["row_id"], r["rank"]): r["best_tanimoto"] for r in M.matches(rows).collect()} == {(0, 1): None, (1, 1): 1.0, (1, 2): None}
+
+
+def test_frames_are_planned_once(spark, tmp_path):
+    """However many branches need the frame, its sources are read once."""
+    rows = frame(spark, [["C.CO"], ["C"]] * 5, [["C", "CO"], ["CC"]] * 5)
+    for of in (M.matches, M.nearest_reference):
+        plan = of(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "references" in plan and "LocalRelation" not in plan and plan.count("LogicalRDD") <= 6
