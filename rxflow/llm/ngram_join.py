@@ -88,25 +88,33 @@ def signature(hashes: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
+#: Stands for the documents of a hash that several of a batch have.
+_SEVERAL = np.uint32(2**32 - 1)
+
+
 def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     """For each batch of documents (of about DEALT shingles) and part of the hash values that it has: packed hashes with the document of each.
 
-    Only parts with hashes have rows, so their number is bounded by the shingles. One row of each batch
-    also tells the documents themselves.
+    A hash that several documents of a batch have is settled there, so each batch sends a hash once, however many documents have it; of one
+    that is settled no document is named. Only parts with hashes have rows, so their number is bounded by the shingles. One row of each batch
+    also tells the documents themselves, and how many of their hashes are settled.
     """
 
     def deal(ids: list, sets: list[np.ndarray], batch: int) -> Iterator[pa.RecordBatch]:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")  # parts are ranges of hashes
+        every, doc = every[order], np.repeat(np.arange(len(sets), dtype="<u4"), sizes)[order]
+        first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
+        often = np.diff(first, append=len(every)) > 1
+        here = np.bincount(doc[np.repeat(often, np.diff(first, append=len(every)))], minlength=len(sets))
+        every, doc = every[first], np.where(often, _SEVERAL, doc[first]).astype("<u4")
         part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        packed = np.ascontiguousarray(every[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-        doc = np.repeat(np.arange(len(sets), dtype="<u4"), sizes)[order]
+        packed = np.ascontiguousarray(every).view(np.uint8).reshape(-1, 8)[:, :5]
         starts = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
         cuts = list(zip(starts, [*starts[1:], len(part)])) or [(0, 0)]
         signs = np.array([signature(s) for s in sets], np.int64)
-        about = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["doc_id", "n", "a", "b"])
+        about = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(here)], ["doc_id", "n", "a", "b", "here"])
         with pa.ipc.new_stream(sink := pa.BufferOutputStream(), about.schema) as w:
             w.write_batch(about)
         rows = {
@@ -148,7 +156,8 @@ def _shared(rows: pa.Table) -> pa.Table:
     twice = np.zeros(len(values), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    out = [np.frombuffer(d.as_py(), "<u4")[twice[x:y]].tobytes() for d, x, y in zip(rows["docs"], ends[:-1], ends[1:])]
+    named = [np.frombuffer(d.as_py(), "<u4") for d in rows["docs"]]
+    out = [d[twice[x:y] & (d != _SEVERAL)].tobytes() for d, x, y in zip(named, ends[:-1], ends[1:])]
     found = pa.table({"batch": rows["batch"], "shared": pa.array(out, pa.binary()), "about": rows["about"]})
     return found.filter(pa.array([bool(o) or a is not None for o, a in zip(out, rows["about"].to_pylist())], pa.bool_()))
 
@@ -159,7 +168,8 @@ def _summed(rows: pa.Table) -> pa.Table:
     with pa.ipc.open_stream(about) as r:
         docs = r.read_all()
     hits = np.frombuffer(b"".join(rows["shared"].to_pylist()), "<u4").astype(np.int64)
-    return docs.append_column("shared", pa.array(np.bincount(hits, minlength=len(docs)), pa.int64()))
+    found = docs["here"].to_numpy() + np.bincount(hits, minlength=len(docs))
+    return docs.drop_columns("here").append_column("shared", pa.array(found, pa.int64()))
 
 
 def sets_of(docs: DataFrame) -> DataFrame:

@@ -190,3 +190,30 @@ def test_tree_loses_no_partner():
         bound = np.minimum(points, points[i]).sum(axis=1)
         want = {j for j in range(300) if 9 * bound[j] >= 4 * (sizes[i] + sizes[j]) and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j])}
         assert want <= set(tree.near(points[i], int(sizes[i])).tolist())
+
+
+def test_a_shingle_of_every_document_is_sent_once_a_batch(spark, monkeypatch):
+    rng = random.Random(21)
+    passage = "one passage that every single document here holds"
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(rng.randrange(0, 30))) + " " + passage for _ in range(400)] + ["", None, "own words alone"]
+    docs = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(texts)], "doc_id long, text string, hashes string").coalesce(1)
+    sets = [set(J.shingles(x or "").tolist()) for x in texts]
+    seen = {}
+    for s in sets:
+        for h in s:
+            seen[h] = seen.get(h, 0) + 1
+    want = {i: sum(seen[h] > 1 for h in s) for i, s in enumerate(sets)}
+    got = {r["doc_id"]: (r["n"], r["shared"]) for r in J.sets_of(docs).collect()}
+    assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+    entries = J._dealt(docs, 4).select(F.sum(F.octet_length("hashes") / 5)).first()[0]
+    assert entries <= len(seen) * 2 < sum(map(len, sets))
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    edges = [(i, 0) for i in range(1, 50)] + [(100 + i, 99 + i) for i in range(1, 40)] + [(7, 7)]
+    rows = spark.createDataFrame(edges, "u long, v long")
+    want = {i: 0 for i in range(50)} | {100 + i: 100 for i in range(40)}
+    assert {r["node"]: r["root"] for r in graph.components(rows).collect()} == want
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda df: written.append(1) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    assert graph.components(rows.where("v = 0")).count() == 50 and len(written) == 1
