@@ -171,6 +171,21 @@ def canonical_sides(records: DataFrame, of: Backend, keys: Sequence[str]) -> Dat
     return records.drop("_sides").join(gathered, list(keys), "left")
 
 
+def judged(records: DataFrame, order: Sequence[str], max_tokens: int = 300, drop_identity: bool = True, of: Backend | None = None) -> DataFrame:
+    """Records with canonical sides, token counts and ``first_status``: what can be told of a record without the others. With a native backend
+    this is narrow, and so works on streams."""
+    rows = canonical_sides(records, of or Identity(), order)
+    rows = rows.withColumn("reactant_smiles", E.join_molecules(F.col("lefts"))).withColumn("product_smiles", E.join_molecules(F.col("rights")))
+    rows = rows.withColumn("src_n_tokens", F.size(E.atom_tokens(F.col("reactant_smiles")))).withColumn("tgt_n_tokens", F.size(E.atom_tokens(F.col("product_smiles"))))
+    return rows.withColumn(
+        "first_status",
+        F.when(F.col("lefts").isNull() | F.col("rights").isNull(), "invalid")
+        .when(F.lit(drop_identity) & (F.col("reactant_smiles") == F.col("product_smiles")), "identity")
+        .when((F.col("src_n_tokens") > max_tokens) | (F.col("tgt_n_tokens") > max_tokens), "too_long")
+        .otherwise("out"),
+    )
+
+
 def build_reactions(
     records: DataFrame,
     order: Sequence[str],
@@ -194,16 +209,7 @@ def build_reactions(
     for c in extra_cols:
         if c not in records.columns:
             records = records.withColumn(c, F.lit(""))
-    rows = canonical_sides(records, of or Identity(), order)
-    rows = rows.withColumn("reactant_smiles", E.join_molecules(F.col("lefts"))).withColumn("product_smiles", E.join_molecules(F.col("rights")))
-    rows = rows.withColumn("src_n_tokens", F.size(E.atom_tokens(F.col("reactant_smiles")))).withColumn("tgt_n_tokens", F.size(E.atom_tokens(F.col("product_smiles"))))
-    rows = rows.withColumn(
-        "first_status",
-        F.when(F.col("lefts").isNull() | F.col("rights").isNull(), "invalid")
-        .when(F.lit(drop_identity) & (F.col("reactant_smiles") == F.col("product_smiles")), "identity")
-        .when((F.col("src_n_tokens") > max_tokens) | (F.col("tgt_n_tokens") > max_tokens), "too_long")
-        .otherwise("out"),
-    )
+    rows = judged(records, order, max_tokens, drop_identity, of)
     rows = _duplicates_told(rows, ["reactant_smiles", "product_smiles", *dedup_extra_cols], order)
     out = rows.where("status = 'out'").select(
         "reactant_smiles",
