@@ -31,6 +31,7 @@ def hold(owner: str, clear: Callable[[], object]) -> None:
     if not _in_use or _in_use[0] != owner:
         if _in_use:
             _in_use[1]()
+            pa.default_memory_pool().release_unused()
         _in_use[:] = [owner, clear]
 
 

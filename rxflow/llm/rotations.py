@@ -4,7 +4,7 @@ A rotation of the leading principal components is learned over a bounded sample
 coordinates lose as little as possible; cut at their medians, they give each vector a balanced binary code. The code is cut into
 words, each the key of a table. A vector stands in each table under its own word, and knocks at those words
 that differ in bits whose coordinates lie near the cut: the squared coordinates of the flipped bits must sum to the
-``budget`` at most. For vectors of the wanted cosine that budget is what links all but a few in 10,000 sample pairs of just that cosine, made
+``budget`` at most. For vectors of the wanted cosine that budget is what links all but one in 1,000 sample pairs of just that cosine, made
 from sample vectors (nearer pairs are found more surely still); with ``exact`` it is the bound that no linked pair can exceed.
 
 First only codes are dealt to tables: a vector is alive in a word if another vector there has a whole code within ``radius`` bits, with
@@ -35,7 +35,7 @@ COSINE = 0.9
 #: Vectors that fit the rotation, and numbers that they have at most (32 MB).
 SAMPLE, NUMBERS = 16384, 1 << 22
 #: Bits of a code, rounds of the fit, pairs that set budget and radius, and the share of them that must be found.
-BITS, ROUNDS, PAIRS, FOUND = 64, 40, 4096, 0.9998
+BITS, ROUNDS, PAIRS, FOUND = 64, 40, 4096, 0.999
 #: Vectors that share a word on average, and the shortest and longest words.
 SHARE, SHORT, LONG = 256, 6, 14
 #: Vectors of a word that are compared with each other in one group, with its equals.
