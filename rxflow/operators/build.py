@@ -57,8 +57,18 @@ def load_records(raw: DataFrame) -> DataFrame:
     return _records(raw)
 
 
-def has_accession(db: Column, refs: Column) -> Column:
-    return F.coalesce(db.isin(*E.ACCESSION_DBS), F.lit(False)) & (F.size(list_literal(refs)) > 0)
+def has_accession(db: Column, refs: Column, listed: bool = False) -> Column:
+    """Whether a row names an accession: a known database and at least one reference.
+
+    A single reference that is no list counts when datasets are built; ``listed`` leaves it out, as the search for
+    missing accessions does. (A tuple has two items or a comma at its end.)
+    """
+    items = list_literal(refs)
+    found = F.size(items) > 0
+    if listed:
+        plain = F.trim(refs)
+        found &= F.startswith(plain, F.lit("[")) | (F.startswith(plain, F.lit("(")) & ((F.size(items) > 1) | F.regexp_like(plain, F.lit(r",\s*\)$"))))
+    return F.coalesce(db.isin(*E.ACCESSION_DBS), F.lit(False)) & F.coalesce(found, F.lit(False))
 
 
 def load_with_accessions(raw: DataFrame) -> DataFrame:
@@ -89,7 +99,7 @@ def load_resolved(raw: DataFrame, resolved: DataFrame, explode_all: bool = False
 
 def accession_less_pairs(raw: DataFrame) -> DataFrame:
     """Distinct ``ec_num, organism`` to search for, in order."""
-    rows = _records(raw.where(~has_accession(F.col("protein_db"), F.col("protein_refs"))))
+    rows = _records(raw.where(~has_accession(F.col("protein_db"), F.col("protein_refs"), listed=True)))
     return rows.where("organism <> ''").select("ec_num", "organism").distinct().orderBy("ec_num", "organism")
 
 
@@ -186,22 +196,9 @@ def judged(records: DataFrame, order: Sequence[str], max_tokens: int = 300, drop
     )
 
 
-def build_reactions(
-    records: DataFrame,
-    order: Sequence[str],
-    max_tokens: int = 300,
-    source: str = "",
-    drop_identity: bool = True,
-    extra_cols: Sequence[str] = (),
-    dedup_extra_cols: Sequence[str] = (),
-    of: Backend | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """The processed table, and every record with its ``status``, for ``build_stats``.
-
-    ``order`` names columns that order the records totally; of equal ones the first stays. Rejects are
-    told apart in the order of STATUSES, and rejected records never count as the first of their kind.
-    The last columns are ``extra_cols``; those that the records lack are empty.
-    """
+def told(records: DataFrame, order: Sequence[str], max_tokens: int = 300, drop_identity: bool = True, extra_cols: Sequence[str] = (), dedup_extra_cols: Sequence[str] = (), of: Backend | None = None) -> DataFrame:
+    """Every record with its ``status``, of those in STATUSES the first that fits; rejected records never count as the first of their kind.
+    Extra columns that the records lack are empty."""
     if missing := set(dedup_extra_cols) - set(extra_cols):
         raise ValueError(f"columns to dedupe by that are no extra columns: {sorted(missing)}")
     if clash := set(extra_cols) & set(REACTION_COLUMNS):
@@ -210,7 +207,11 @@ def build_reactions(
         if c not in records.columns:
             records = records.withColumn(c, F.lit(""))
     rows = judged(records, order, max_tokens, drop_identity, of)
-    rows = _duplicates_told(rows, ["reactant_smiles", "product_smiles", *dedup_extra_cols], order)
+    return _duplicates_told(rows, ["reactant_smiles", "product_smiles", *dedup_extra_cols], order)
+
+
+def processed(rows: DataFrame, source: str = "", extra_cols: Sequence[str] = ()) -> DataFrame:
+    """The processed table of the rows of status ``out``, numbered; its last columns are ``extra_cols``."""
     out = rows.where("status = 'out'").select(
         "reactant_smiles",
         "product_smiles",
@@ -221,7 +222,25 @@ def build_reactions(
         "tgt_n_tokens",
         *extra_cols,
     )
-    return numbered(out, ["reactant_smiles", "product_smiles", *extra_cols]).select(*REACTION_COLUMNS, *extra_cols), rows
+    return numbered(out, ["reactant_smiles", "product_smiles", *extra_cols]).select(*REACTION_COLUMNS, *extra_cols)
+
+
+def build_reactions(
+    records: DataFrame,
+    order: Sequence[str],
+    max_tokens: int = 300,
+    source: str = "",
+    drop_identity: bool = True,
+    extra_cols: Sequence[str] = (),
+    dedup_extra_cols: Sequence[str] = (),
+    of: Backend | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The processed table, and every record with its ``status``, for ``build_stats``.
+
+    ``order`` names columns that order the records totally; of equal ones the first stays.
+    """
+    rows = told(records, order, max_tokens, drop_identity, extra_cols, dedup_extra_cols, of)
+    return processed(rows, source, extra_cols), rows
 
 
 def _duplicates_told(rows: DataFrame, key: Sequence[str], order: Sequence[str], salts: int = 64) -> DataFrame:
@@ -279,3 +298,13 @@ def lacking(rows: DataFrame, held: DataFrame, on: str) -> DataFrame:
 def train_products(reactions: DataFrame, split_col: str = "split") -> DataFrame:
     """Distinct product molecules of the training rows."""
     return reactions.where(F.col(split_col) == "train").select(F.explode(E.molecules(F.col("product_smiles"))).alias("smiles")).distinct()
+
+
+def list_elements(df: DataFrame, column: str, separator: str = ";") -> DataFrame:
+    """``element`` of every list written as text, blank ones left out."""
+    return df.select(F.explode(F.split(F.coalesce(column, F.lit("")), separator)).alias("element")).where(F.trim("element") != "")
+
+
+def first_seen(df: DataFrame, column: str, order: str) -> DataFrame:
+    """Distinct values in the order in which they come up."""
+    return df.groupBy(column).agg(F.min(order).alias("_at")).orderBy("_at", column).select(column)

@@ -16,7 +16,7 @@ EXACT_GROUPS = EXACT_ROWS = 1_000_000
 
 
 def _check(fractions: Sequence[float]) -> None:
-    if len(fractions) != 3 or abs(sum(fractions) - 1) > 1e-6:
+    if len(fractions) != 3 or abs(sum(fractions) - 1) > 1e-9:
         raise ValueError(f"fractions must be three and sum to 1: {tuple(fractions)}")
 
 

@@ -48,7 +48,7 @@ def parse_fasta(text: str) -> dict[str, str]:
     for entry in ("\n" + text).split("\n>")[1:]:
         header, _, body = entry.partition("\n")
         pipes = header.split("|")
-        name = pipes[1] if len(pipes) >= 3 else (header.split() or [""])[0]
+        name = pipes[1] if len(pipes) >= 2 else (header.split() or [""])[0]
         out[name] = "".join(body.split())
     return out
 

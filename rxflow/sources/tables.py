@@ -109,7 +109,7 @@ def fasta_records(text: Column) -> Column:
         header = F.substring_index(entry, "\n", 1)
         pipes = F.split(header, r"\|")
         first = F.regexp_extract(header, r"^\s*(\S*)", 1)
-        name = F.when(F.size(pipes) >= 3, F.get(pipes, F.lit(1))).otherwise(first)
+        name = F.when(F.size(pipes) >= 2, F.get(pipes, F.lit(1))).otherwise(first)
         body = F.when(F.contains(entry, F.lit("\n")), F.regexp_replace(entry, r"^[^\n]*\n", "")).otherwise("")
         return F.struct(name.alias("accession"), F.regexp_replace(body, r"\s+", "").alias("sequence"))
 
@@ -175,6 +175,20 @@ class KeyValueCache:
         found.select(*self.keys, self.value).withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(self.path)
 
 
+def save_json(spark: SparkSession, path: str, value: Any) -> None:
+    """The same as ``write_json``, to any store that Spark writes to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((json.dumps(plain(value), indent=2, sort_keys=True) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def load_json(spark: SparkSession, path: str) -> Any:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
 # ---- small files on the driver --------------------------------------------------------
 
 
