@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rxflow.functions import exprs as E
-from rxflow.operators import build, cluster, embed, metrics, profile, quantiles, split, tokens
-from rxflow.plans import runner
+from rxflow.operators import build, cluster, embed, metrics, profile, quantiles, sketches, split, tokens
+from rxflow.plans import builds, runner
 from rxflow.sources import lookups, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,6 +659,51 @@ def windowed_events(spark, sf):
     return windowed_counts(t(spark, sf, "events")).withColumn("total", F.round("total", 4))
 
 
+@query(
+    _BUILT + ", g AS (SELECT least(r, p) || '|' || greatest(r, p) AS k, status FROM judged) SELECT COUNT(*) AS n_in, COUNT(*) FILTER (WHERE status = 'invalid') AS n_invalid, COUNT(*) FILTER (WHERE status = 'identity') AS n_identity, "
+    "COUNT(*) FILTER (WHERE status = 'too_long') AS n_too_long, COUNT(*) FILTER (WHERE status = 'duplicate') AS n_duplicate, COUNT(*) FILTER (WHERE status = 'out') AS n_out FROM g"
+)
+def written_counts(spark, sf):
+    """Statuses of the judged records, counted by the job that writes them."""
+    rows = build.told(synthetic_records(spark, sf), ["ord"], _CAP, extra_cols=["ec_num"], dedup_extra_cols=["ec_num"])
+    found = builds.written(rows.select("reactant_smiles", "product_smiles", "ec_num", "status"), tables.scratch(spark), {f"n_{s}": F.count_if(F.col("status") == s) for s in build.STATUSES})
+    found = {"n_in": found.pop("rows")} | found
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
+@query("SELECT doc_id, greatest(1, n_chars) AS tokens, true AS fits, true AS wide_enough FROM documents")
+def token_batches(spark, sf):
+    """Whether each document's batch keeps to its budget, and is as wide as its longest document."""
+    rows = embed.token_batches(t(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", 20_000, "doc_id")
+    each = rows.groupBy("batch", "width").agg(F.count("*").alias("n"), F.max(F.greatest(F.lit(1), "n_chars")).alias("longest"))
+    sizes = each.select("batch", ((F.col("n") * F.col("width") <= 20_000) | (F.col("n") == 1)).alias("fits"), (F.col("width") == F.col("longest")).alias("wide_enough"))
+    return rows.join(sizes, "batch").select("doc_id", F.greatest(F.lit(1), "n_chars").cast("long").alias("tokens"), "fits", "wide_enough")
+
+
+@query("SELECT unnest(['doc_id', 'source', 'text']) AS measure, unnest([COUNT(DISTINCT doc_id), COUNT(DISTINCT source), COUNT(DISTINCT text)]) AS n_distinct, true AS near FROM documents")
+def distinct_over_builds(spark, sf):
+    """Exact distinct counts over builds (one for each language), and whether those of the united sketches are near."""
+    path, docs = tables.scratch(spark), t(spark, sf, "documents").select("doc_id", "source", "text", "lang")
+    for k in range(3):  # every language is in one of them
+        part = docs.where(F.pmod(F.xxhash64("lang"), F.lit(3)) == k)
+        sketches.save(part, ["doc_id", "source", "text"], path, f"part{k}", exact=True)
+    both = sketches.exact(spark, path).join(sketches.estimates(spark, path).select("column", F.col("n_distinct").alias("guess")), "column")
+    return both.select(F.col("column").alias("measure"), "n_distinct", (F.abs(F.col("guess") - F.col("n_distinct")) <= 5 * sketches.error() * F.col("n_distinct")).alias("near"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1")
+def streamed_first_events(spark, sf):
+    """The first event of each user, found by a stream with keyed state."""
+    from rxflow.streaming.incremental import first_of_stream
+
+    source, path = f"{sf}/events.parque[t]", tables.scratch(spark)  # a pattern, which may be a single file
+    events = spark.readStream.schema(t(spark, sf, "events").schema).parquet(source).select("user_id", "event_id", "event_type")
+    first = first_of_stream(events, ["user_id"], "event_id")
+    writer = first.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    writer.start().awaitTermination()
+    return spark.read.schema(first.schema).parquet(f"{path}/out")
+
+
 # ---- the flagship ---------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import json
 import tempfile
+import uuid
 from pathlib import Path
 from typing import Any
 
@@ -47,18 +48,34 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str
     return rows.select(*map(field, schema.fields), *([ordinal] if ordinal else []))
 
 
+def _shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Only a local master, whose tasks share the driver's disk, may do without one; it gets
+    a temporary folder."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="rxflow-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that the session names. Only a local master, whose tasks share the driver's disk,
-    may do without one; it gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="rxflow-"))
+    """The rows, checkpointed in the folder that the session names."""
+    _shared_root(df.sparkSession)
     return df.checkpoint()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder there, removed when the session ends."""
+    path = f"{_shared_root(spark).rstrip('/')}/rxflow-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def with_ordinal(df: DataFrame, name: str) -> DataFrame:
     """Consecutive numbers from 0 in the order of partitions and of rows in them.
 
