@@ -169,27 +169,80 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 class KeyValueCache:
-    """An append-only Parquet table of what was looked up; a miss is kept with an empty value.
+    """What was looked up, by key; a miss is kept with an empty value. Of a key that was added twice the later batch counts.
 
-    The table may not exist yet. Of a key that was added twice the later batch counts.
+    The rows are dealt to buckets by their keys when they are added, one file a bucket and batch, with Bloom filters on the keys. So a look-up shuffles
+    what it asks for and never what is cached. When a bucket has more than MOST_FILES files, its
+    runs are merged into a new generation; that one counts once it is complete, and the one before it stays until the next. The cache may not exist yet.
     """
 
+    BUCKETS, MOST_FILES = 16, 8
+
     def __init__(self, spark: SparkSession, path: str, keys: list[str], value: str, kind: str):
-        self.spark, self.path, self.keys, self.value = spark, path, keys, value
-        self.schema = ", ".join([*(f"{k} string" for k in keys), f"{value} {kind}", "batch long"])
+        self.spark, self.path, self.keys, self.value = spark, path.rstrip("/"), keys, value
+        self.schema = ", ".join([*(f"`{k}` string" for k in keys), f"`{value}` {kind}", "batch long"])
+
+    def _files(self, folder: str = "") -> list[Any]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}" if folder else self.path)
+        store = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return list(store.listStatus(at)) if store.exists(at) else []
+
+    def _generation(self) -> int:
+        """The last complete one; 0 if there is none."""
+        names = [f.getPath().getName() for f in self._files()]
+        return max((int(n[6:]) for n in names if n.startswith("ready-")), default=0)
+
+    def _ready(self, generation: int) -> None:
+        save_json(self.spark, f"{self.path}/ready-{generation:06d}", {"generation": generation})
+
+    def _table(self, generation: int) -> str:
+        """The name of a generation's table in this session."""
+        place = f"{self.path}/generation-{generation:06d}"
+        name = f"rxflow_cache_{hashlib.md5(place.encode()).hexdigest()}"
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        options = ", ".join(f"'parquet.bloom.filter.enabled#{k}' 'true'" for k in self.keys)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({self.schema}) USING parquet OPTIONS ({options}) CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.BUCKETS} BUCKETS LOCATION '{place}'")
+        self.spark.catalog.refreshTable(name)
+        return name
+
+    def _insert(self, rows: DataFrame, generation: int) -> None:
+        columns = [f"`{c}`" for c in (*self.keys, self.value, "batch")]
+        rows.select(*columns).repartition(self.BUCKETS, *(f"`{k}`" for k in self.keys)).write.insertInto(self._table(generation))
+
+    def _latest(self, generation: int) -> DataFrame:
+        last = F.max_by(F.struct("batch", F.col(f"`{self.value}`").alias("v")), "batch").alias("_last")
+        return self.spark.table(self._table(generation)).groupBy(*(f"`{k}`" for k in self.keys)).agg(last).select(*(f"`{k}`" for k in self.keys), F.col("_last.v").alias(self.value), F.col("_last.batch").alias("batch"))
 
     def rows(self) -> DataFrame:
-        if not exists(self.spark, self.path):
+        if not (generation := self._generation()):
             return self.spark.createDataFrame([], self.schema).drop("batch")
-        all_ = self.spark.read.schema(self.schema).parquet(self.path)
-        return all_.groupBy(*self.keys).agg(F.max_by(self.value, "batch").alias(self.value))
+        return self._latest(generation).drop("batch")
 
     def missing(self, wanted: DataFrame) -> DataFrame:
         """Distinct wanted keys that were never looked up."""
         return wanted.select(*self.keys).distinct().join(self.rows(), self.keys, "left_anti")
 
     def add(self, found: DataFrame, batch: int) -> None:
-        found.select(*self.keys, self.value).withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(self.path)
+        generation = self._generation() or 1
+        self._insert(found.select(*self.keys, self.value).withColumn("batch", F.lit(batch).cast("long")), generation)
+        if generation == 1:
+            self._ready(1)
+        if sum(f.getPath().getName().startswith("part-") for f in self._files(f"generation-{generation:06d}")) > self.MOST_FILES * self.BUCKETS:
+            self.compact()
+
+    def compact(self) -> None:
+        """Merges the runs of the last generation into a new one, and removes those before it."""
+        jvm, now = self.spark.sparkContext._jvm, self._generation()
+        store = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        remove = lambda name: store.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        remove(f"generation-{now + 1:06d}")  # of a merge that did not end
+        self._insert(self._latest(now), now + 1)
+        self._ready(now + 1)
+        for f in self._files():
+            name = f.getPath().getName()
+            if int(name.rpartition("-")[2]) < now:
+                remove(name)
 
 
 def save_json(spark: SparkSession, path: str, value: Any) -> None:

@@ -161,3 +161,66 @@ def test_run_ids():
 
     when = datetime(2024, 1, 2, 3, 4, 5, tzinfo=UTC)
     assert runner.run_id("my model/x", "abcdef0123", when) == "20240102T030405Z__my-model-x__abcdef0" and runner.run_id("//", "", when).endswith("__run__nogit")
+
+
+def cache_of(spark, tmp_path, kind="string"):
+    return tables.KeyValueCache(spark, str(tmp_path / "cache"), ["ec", "organism"], "found", kind)
+
+
+def test_look_ups_shuffle_only_what_they_ask_for(spark, tmp_path):
+    cache = cache_of(spark, tmp_path)
+    for b in range(3):
+        cache.add(spark.range(400).select((F.col("id") % 200).cast("string").alias("ec"), F.concat(F.lit("o"), F.col("id") % 200).alias("organism"), F.concat(F.lit(f"v{b}-"), "id").alias("found")).dropDuplicates(["ec"]), b)
+    wanted = spark.range(150, 260).select(F.col("id").cast("string").alias("ec"), F.concat(F.lit("o"), "id").alias("organism"))
+    asked = cache.missing(wanted)
+    assert sorted(int(r["ec"]) for r in asked.collect()) == list(range(200, 260))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked.collect()
+        text = cache.missing(wanted)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text[: text.find("== Initial Plan ==")].splitlines() if "== Initial Plan ==" in text else text.splitlines()
+    at = next(i for i, line in enumerate(lines) if "SelectedBucketsCount" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" +-:"))
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            above.append(line)
+            level = depth(line)
+    join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert not any("Exchange" in line for line in above[:join]) and any("HashAggregate" in line or "SortAggregate" in line for line in above[:join])
+    assert {r["found"][:3] for r in cache.rows().collect()} == {"v2-"} and cache.rows().count() == 200
+
+
+def test_files_stay_few_over_many_flushes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables.KeyValueCache, "BUCKETS", 2)
+    monkeypatch.setattr(tables.KeyValueCache, "MOST_FILES", 4)
+    cache = cache_of(spark, tmp_path, "array<string>")
+    for b in range(30):
+        cache.add(spark.createDataFrame([(str(b), "o", [f"x{b}"]), ("same", "o", [str(b)])], "ec string, organism string, found array<string>"), b)
+    files = list((tmp_path / "cache").rglob("part-*"))
+    assert len(files) <= 2 * 2 * (4 + 1) and cache.rows().count() == 31
+    assert {tuple(r["found"]) for r in cache.rows().where("ec = 'same'").collect()} == {("29",)}
+    again = cache_of(spark, tmp_path, "array<string>")
+    assert again.rows().count() == 31
+
+
+def test_a_merge_that_did_not_end_is_not_read(spark, tmp_path):
+    cache = cache_of(spark, tmp_path)
+    row = lambda v: spark.createDataFrame([("1", "o", v)], "ec string, organism string, found string")
+    cache.add(row("a"), 1)
+    cache._insert(row("lost").withColumn("batch", F.lit(9).cast("long")), 2)  # the next generation, without its mark
+    assert [r["found"] for r in cache.rows().collect()] == ["a"]
+    cache.add(row("b"), 2)
+    cache.compact()
+    assert [r["found"] for r in cache.rows().collect()] == ["b"] and cache._generation() == 2
+
+
+def test_headers_of_two_fields(spark):
+    from rxflow.sources import lookups
+
+    text = ">tr|ACC\nMK\n>sp|P1|name\nLV\n>plain one\nA\n"
+    assert lookups.parse_fasta(text) == {"ACC": "MK", "P1": "LV", "plain": "A"}
+    got = spark.createDataFrame([(text,)], "t string").select(F.inline(tables.fasta_records(F.col("t")))).collect()
+    assert {r["accession"]: r["sequence"] for r in got} == {"ACC": "MK", "P1": "LV", "plain": "A"}
