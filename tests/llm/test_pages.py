@@ -277,3 +277,27 @@ def test_labels_of_pages(spark):
     pages = spark.createDataFrame([("http://a.org/x/12.html",), ("http://a.org/about",), (None,), ("http://b.org/13",), ("http://b.org/14",)], "url string")
     labels = spark.createDataFrame([(12, 1, 0), (12, 1, 1), (13, 1, 0), (14, None, None), (None, 0, 1)], "doc_id int, quality int, toxic int")
     assert sorted(r["bad"] for r in U.labels_of(pages, labels).collect()) == [0, 1]
+
+
+def test_the_query_blocks_planted_bad_hosts(spark, tmp_path):
+    """Bad documents stand on hosts and folders of their own; the query learns them from the labels of some pages."""
+    rng = random.Random(12)
+    pages, labels, truth = [], [], {}
+    for i in range(1200):
+        bad = i % 4 == 0
+        if bad:
+            host = rng.choice(["win.cash-now.biz", "a.cash-now.biz", "pills.info"])
+            url = f"https://{host}/{rng.choice(['offer', 'x', 'deal'])}/{i}" if host != "pills.info" else f"https://pills.info/cheap/{i}"
+        else:
+            url = f"https://{rng.choice(['news.info', 'a.blog.biz', 'site.info', 'pills.info'])}/{rng.choice(['offer', 'story', 'x'])}/{i}"
+            url = url.replace("pills.info/offer", "pills.info/advice")
+        pages.append((i, url, "<p>x</p>"))
+        truth[i] = bad
+        if i % 3:  # a third of the pages has no label
+            labels.append((i, 1, int(bad)) if rng.random() > 0.02 else (i, 1, int(not bad)))
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] == "block" for r in U.query(spark, str(tmp_path)).collect()}
+    found = sum(got[i] for i in truth if truth[i])
+    assert found >= 0.9 * sum(truth.values())
+    assert not any(got[i] for i in truth if not truth[i])

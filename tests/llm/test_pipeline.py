@@ -118,3 +118,21 @@ def test_stages_on_empty_tables(spark, odd_folder):
     for _, stage in pipeline.STAGES:
         docs = stored(stage(spark, docs, odd_folder))
         assert docs.count() == 0
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, sf, tmp_path_factory):
+    """The tables of the folder with more columns, named like those that operators make."""
+    path = tmp_path_factory.mktemp("clash")
+    names = "ids low host path codes frame n key part hash word node tree pos batch items bad mined score predicted held_out tied hashes root v w h verdict rule spans kept links".split()
+    for name in ("documents", "embeddings", "pages", "labels"):
+        df = table(spark, sf, name)
+        df.withColumns({c: F.lit("clash") for c in names if c not in df.columns}).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_clashing_columns_change_nothing(spark, sf, clashing, name):
+    query = catalog.queries()[name]
+    rows = lambda folder: sorted(map(str, query(spark, folder).collect()))
+    assert rows(clashing) == rows(sf)
