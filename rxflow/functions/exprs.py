@@ -223,3 +223,8 @@ def shingles(text: Column, n: int = 5) -> Column:
         return F.when(F.size(w) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
 
     return F.get(F.transform(F.array(words), runs), F.lit(0))  # words are bound by the outer function, so a text is split once
+
+
+def cell(value: Column) -> Column:
+    """A number as reports show it, with four digits; a dash for null."""
+    return F.when(value.isNull(), "—").otherwise(F.format_string("%.4f", value.cast("double")))

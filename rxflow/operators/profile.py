@@ -13,6 +13,10 @@ from rxflow.operators.split import leaking_groups, overlap, split_counts
 from rxflow.sources.tables import durable
 
 
+#: Longer sequences and larger clusters count as these in histograms.
+LENGTH_CLIP, CLUSTER_CLIP = 1500.0, 50.0
+
+
 def _median(df: DataFrame, column: str) -> Column:
     return F.lit(median(df, column)).cast("double")
 
@@ -117,11 +121,14 @@ def profile(df: DataFrame) -> dict[str, DataFrame]:
         out["entity_leaks"] = leaking_groups(df, "uniprot_id", splits[0])
     if has(["uniprot_id", "enzyme_cluster"]):
         sizes = cluster_sizes(df)
-        out |= {"cluster_stats": cluster_stats(sizes), "cluster_sizes": value_counts(sizes, "size")}
+        out |= {"cluster_stats": cluster_stats(sizes), "cluster_sizes": value_counts(sizes, "size"), "cluster_size_histogram": histogram(sizes, "size", 50, clip=CLUSTER_CLIP, low=0.0, high=CLUSTER_CLIP)}
         if has(["ec_num"]):
             out["largest_clusters"] = largest_clusters(df, "enzyme_cluster", "uniprot_id", E.ec_class_name(F.col("ec_num")), "reaction_id")
     if has(["uniprot_id", "seq_len"]):
-        out["sequence_lengths"] = length_stats(first_per_key(df, "uniprot_id", "reaction_id"), "seq_len")
+        entities = durable(first_per_key(df, "uniprot_id", "reaction_id").select("uniprot_id", "seq_len"))
+        out |= {"sequence_lengths": length_stats(entities, "seq_len"), "sequence_length_histogram": histogram(entities, "seq_len", 50, clip=LENGTH_CLIP)}
+    for side, n, size in (("reactants", "n_reactants", "src_n_tokens"), ("products", "n_products", "tgt_n_tokens")):
+        out |= {f"{side}_counts": value_counts(df, n), f"{side}_token_histogram": histogram(df, size, 40)}
     if has(["ec_num"]):
         out["classes"] = value_counts(df, E.ec_class_name(F.col("ec_num")), "ec_class")
     return out

@@ -152,7 +152,7 @@ def list_literal(cell: Column) -> Column:
     """``array<string>`` of a list written as text (``['A', 'B']``).
 
     Plain lists are read as JSON in the JVM; other literals (tuples, single values, trailing commas)
-    by an Arrow function that sees no other rows. What is no literal is an empty list.
+    by an Arrow function, which gets nulls in place of the other cells. What is no literal is an empty list.
     """
     from rxflow.functions.literals import parse_literal
 
