@@ -221,15 +221,16 @@ def cluster_rows(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def cluster_sequences(sequences: DataFrame, method: str = "kmer", k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """``id, cluster`` of distinct ``id, sequence``.
 
-    ``kmer``: the greedy rule over k-mer sets. ``exact``: equal sequences, numbered by their smallest id.
+    ``kmer``: the greedy rule over k-mer sets. ``exact``: equal sequences (told by their SHA-256), numbered by their smallest id.
     ``uniprot``: each id by itself, in order.
     """
     rows = sequences.select(F.col("id").cast("string").alias("id"), F.coalesce("sequence", F.lit("")).alias("sequence")).dropDuplicates(["id"])
     if method == "uniprot":
         return numbered(rows.select("id"), ["id"], "cluster")
     if method == "exact":
-        first = numbered(rows.groupBy("sequence").agg(F.min("id").alias("first")), ["first"], "cluster")
-        return rows.join(first, "sequence").select("id", "cluster")
+        rows = rows.select("id", F.unhex(F.sha2("sequence", 256)).alias("key"))  # of long sequences 32 bytes are shuffled
+        first = numbered(rows.groupBy("key").agg(F.min("id").alias("first")), ["first"], "cluster")
+        return rows.join(first, "key").select("id", "cluster")
     if method != "kmer":
         raise ValueError(f"no method {method}")
     return cluster_rows(durable(rows.select("id", F.length("sequence").alias("length"), E.kmers(F.col("sequence"), k).alias("items"))), threshold)
