@@ -131,7 +131,8 @@ def clashing(spark, sf, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+#: The others have such columns in tests of their own.
+@pytest.mark.parametrize("name", ["op1_byte_bpe", "op2_neighbours", "op4_html_main_text", "op5_binary_records", "op6_url_filter"])
 def test_clashing_columns_change_nothing(spark, sf, clashing, name):
     query = catalog.queries()[name]
     rows = lambda folder: sorted(map(str, query(spark, folder).collect()))
