@@ -177,6 +177,7 @@ def escape_xml(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
+    # The characters that a name keeps, and the name of nothing.
     out = F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9._-]+", "-"), "^-+|-+$", "")
     return F.when(out == "", "run").otherwise(out)
 
