@@ -364,9 +364,9 @@ _SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
 
 
 def shingled(spark, sf) -> DataFrame:
-    """``id, length, items``: whole documents as sets of runs of five words."""
-    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("length"), E.shingles(F.col("text")).alias("items"))
-    return tables.durable(docs)
+    """``id, length, items``: whole documents with words as sets of runs of five words."""
+    docs = t(spark, sf, "documents").where(F.col("text").rlike(r"[^ \t-\r]"))
+    return docs.select(F.col("doc_id").alias("id"), F.length("text").alias("length"), E.shingles(F.col("text")).alias("items"))
 
 
 @query(_greedy_sql("SELECT CAST(p_partkey AS VARCHAR) AS id, length(p_name) AS length, list_distinct(list_transform(range(1, greatest(length(p_name) - 3, 1) + 1), lambda i: substr(p_name, i, 4))) AS items FROM part", 0.6))
@@ -377,7 +377,7 @@ def greedy_clusters(spark, sf):
 
 @query(_greedy_sql(f"SELECT doc_id AS id, length(text) AS length, {_SHINGLES} AS items FROM {_SHINGLED} JOIN documents USING (doc_id) WHERE len(w) > 0", 0.4))
 def document_clusters(spark, sf):
-    return cluster.cluster_rows(shingled(spark, sf).where(F.size("items") > 0), 0.4)
+    return cluster.cluster_rows(shingled(spark, sf), 0.4)
 
 
 _CLASSES = (
@@ -399,7 +399,7 @@ def shingle_jaccard_pairs(spark, sf):
 )
 def shingle_classes(spark, sf):
     """Each document with words: its class of equal sets, how many are in it, and how many other documents are at least half alike."""
-    members, pairs = cluster.class_pairs(shingled(spark, sf).where(F.size("items") > 0), 0.5)
+    members, pairs = cluster.class_pairs(shingled(spark, sf), 0.5)
     members = members.select(F.col("id").alias("doc_id"), "class")
     copies = members.groupBy("class").agg(F.count("*").alias("copies"))
     both = pairs.select(F.col("a").alias("class"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other")))

@@ -210,3 +210,36 @@ def test_no_group_of_python_is_a_component(spark):
     rows = spark.createDataFrame([("a", "MKLV"), ("b", "MKLVA")], "id string, sequence string")
     plan = cluster.cluster_sequences(rows)._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan and "Python" not in plan
+
+
+def shuffled_bytes(spark):
+    """Bytes that stages shuffled and spilled so far, as the status store has them."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
+
+
+def test_items_of_a_set_are_shuffled_once(spark):
+    """Whole sets don't move: an item without a partner crosses the network once, with the id of its set."""
+    n, each = 400, 500
+    rows = spark.range(n, numPartitions=4).select("id", F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda i: F.xxhash64("id", i)).alias("items"))
+    before = shuffled_bytes(spark)
+    members, pairs = cluster.class_pairs(rows, 0.5)
+    assert pairs.isEmpty() and members.where("id = class").count() == n
+    assert shuffled_bytes(spark) - before < 20 * n * each
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_sets_small_and_large_with_copies(spark, few, monkeypatch):
+    """Pairs of sets around SMALL, of which some are told at once and others later, whether ids of classes are broadcast or joined."""
+    monkeypatch.setattr(cluster, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(cluster, "SMALL", 6)
+    rng = random.Random(8)
+    sets = {i: set(rng.sample(range(i % 3 * 20, i % 3 * 20 + 14), rng.randrange(1, 13))) for i in range(80)}
+    sets |= {100 + i: sets[i] for i in range(40)}
+    rows = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in sets.items()], "id long, items array<string>")
+    for t in (0.4, 0.7):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+        got = [(r["a"], r["b"], r["similarity"]) for r in cluster.similar_pairs(rows, t).collect()]
+        assert len(got) == len({g[:2] for g in got}) and {(a, b): s for a, b, s in got} == {p: s for p, s in want.items() if s >= t}
