@@ -128,3 +128,14 @@ def test_rejects_share_no_window(spark):
     text = told._jdf.queryExecution().executedPlan().toString()
     assert text.count("Window [row_number") == 2 and "_part" in text.split("Window [row_number")[1].split("\n")[0]
     assert stats(told)["n_invalid"] == 50 and stats(told)["n_duplicate"] == 2
+
+
+def test_rows_of_one_resolved_list_follow_each_other(spark, sf):
+    """So the repeats of a list take little space in a file, however long it is; also if the lists are broadcast."""
+    from rxflow.plans import catalog
+
+    nations = {str(r["s_suppkey"]): r["s_nationkey"] for r in spark.read.parquet(f"{sf}/supplier.parquet").collect()}
+    out = catalog.resolve_explode_all(spark, sf).select("uniprot_id", F.spark_partition_id().alias("part")).collect()
+    at = [(r["part"], nations[r["uniprot_id"]]) for r in out]
+    runs = 1 + sum(x != y for x, y in zip(at, at[1:]))
+    assert len(out) > 100 and runs == len(set(at)), (len(out), runs)
