@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,10 +32,20 @@ def hold(owner: str, clear: Callable[[], object]) -> None:
     if not _in_use or _in_use[0] != owner:
         if _in_use:
             _in_use[1]()
-            pa.default_memory_pool().release_unused()
+            give_back()
         _in_use[:] = [owner, clear]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, which the allocators else keep for later."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def tune(spark: SparkSession) -> None:
     """Short Arrow batches, so that a batch of very long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

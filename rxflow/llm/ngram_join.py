@@ -33,13 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rxflow.llm.common import drop_keys, hold, input_bytes, keep_keys, map_arrow, stored, table, texts, tune
+from rxflow.llm.common import drop_keys, give_back, hold, input_bytes, keep_keys, map_arrow, stored, table, texts, tune
 from rxflow.llm.graph import components
 
 WORDS = 5
 GROUPS = 64
 #: Documents of a tile, and bytes of packed hashes of a part, about.
-TILE, PART_BYTES = 512, 12 << 20
+TILE, PART_BYTES = 512, 6 << 20
 #: Shingles that a task deals to the parts at once; the more, the fewer rows there are for each part.
 DEALT = 1 << 20
 
@@ -102,18 +102,20 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
 
     def deal(ids: list, sets: list[np.ndarray], batch: int) -> Iterator[pa.RecordBatch]:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        signs = np.array([signature(s) for s in sets], np.int64)
         every = np.concatenate(sets)
+        sets.clear()  # what is not needed any more goes at once: a batch has some 80 MB of arrays else
         order = np.argsort(every, kind="stable")  # parts are ranges of hashes
-        every, doc = every[order], np.repeat(np.arange(len(sets), dtype="<u4"), sizes)[order]
+        every, doc = every[order], np.repeat(np.arange(len(sizes), dtype="<u4"), sizes)[order]
         first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
         often = np.diff(first, append=len(every)) > 1
-        here = np.bincount(doc[np.repeat(often, np.diff(first, append=len(every)))], minlength=len(sets))
+        here = np.bincount(doc[np.repeat(often, np.diff(first, append=len(every)))], minlength=len(sizes))
         every, doc = every[first], np.where(often, _SEVERAL, doc[first]).astype("<u4")
+        del order, first, often
         part = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         packed = np.ascontiguousarray(every).view(np.uint8).reshape(-1, 8)[:, :5]
         starts = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
         cuts = list(zip(starts, [*starts[1:], len(part)])) or [(0, 0)]
-        signs = np.array([signature(s) for s in sets], np.int64)
         about = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(here)], ["doc_id", "n", "a", "b", "here"])
         with pa.ipc.new_stream(sink := pa.BufferOutputStream(), about.schema) as w:
             w.write_batch(about)
@@ -124,6 +126,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
             "hashes": pa.array([packed[x:y].tobytes() for x, y in cuts], pa.binary()),
             "about": pa.array([sink.getvalue().to_pybytes()] + [None] * (len(cuts) - 1), pa.binary()),
         }
+        del every, doc, part, packed
         yield from pa.table(rows).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +138,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
                 n += len(sets[-1])
                 if n >= DEALT:
                     yield from deal(ids, sets, batch)
+                    give_back()
                     batch, ids, sets, n = batch + 1, [], [], 0
         if ids:
             yield from deal(ids, sets, batch)
@@ -144,6 +148,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
 
 def _shared(rows: pa.Table) -> pa.Table:
     """Of one part: for each batch, which documents have hashes that other documents have, too (one entry for each)."""
+    hold("shingles", _hashes.clear)
     blobs = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5) for x in rows["hashes"]]
     ends = np.cumsum([0, *map(len, blobs)])
     wide = np.zeros((ends[-1], 8), np.uint8)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
-from rxflow.llm.common import map_arrow, table, texts, tune
+from rxflow.llm.common import hold, map_arrow, table, texts, tune
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of white space or separators inside a disguise, of a label of a host, and between the ends of a mixed number, at most.
@@ -261,6 +261,7 @@ def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start and then by kind."""
+    hold("personal", _plain.cache_clear)
     base = base_spans(text)
     tape = normalised(text)
     every = list(base)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from rxflow.llm.common import map_arrow, table, texts, tune
+from rxflow.llm.common import hold, map_arrow, table, texts, tune
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOLS = "#*$%&|<>"
@@ -99,6 +99,7 @@ def repeated_windows(ids: np.ndarray, size: int = 3) -> int:
 
 def measure(text: str, min_words: int = MIN_WORDS) -> tuple[int, int, int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered words, longest repeat."""
+    hold("quality", int)  # has no table of its own
     words = _WORDS.findall(text)
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words], np.int64)

@@ -1,10 +1,11 @@
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rxflow.llm import catalog, packing, personal, quality, toxicity, vocab
+from rxflow.llm import catalog, common, ngram_join, packing, personal, quality, toxicity, vocab
 from rxflow.llm.common import stored, table
 from tests.llm.test_similarity import brute
 
@@ -137,3 +138,22 @@ def test_clashing_columns_change_nothing(spark, sf, clashing, name):
     query = catalog.queries()[name]
     rows = lambda folder: sorted(map(str, query(spark, folder).collect()))
     assert rows(clashing) == rows(sf)
+
+
+def test_stages_without_tables_clear_those_of_others():
+    """A worker that goes on to another stage holds nothing that the one before it remembered."""
+    common.hold("toxicity", toxicity._scorers.clear)
+    toxicity._scorers["a model"] = object()
+    quality.measure("a text")
+    assert not toxicity._scorers
+    ngram_join.shingles("some words of a text")
+    assert ngram_join._hashes
+    personal.masked("a text")
+    assert not ngram_join._hashes
+    ngram_join.shingles("some words of a text")
+    quality.measure("a text")
+    assert not ngram_join._hashes
+    common.hold("toxicity", toxicity._scorers.clear)
+    toxicity._scorers["a model"] = object()
+    ngram_join._shared(pa.table({"batch": [0], "docs": [b"\0\0\0\0"], "hashes": [b"12345"], "about": [b"x"]}))
+    assert not toxicity._scorers
