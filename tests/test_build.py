@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,21 @@ def test_rows_of_one_resolved_list_follow_each_other(spark, sf):
     at = [(r["part"], nations[r["uniprot_id"]]) for r in out]
     runs = 1 + sum(x != y for x, y in zip(at, at[1:]))
     assert len(out) > 100 and runs == len(set(at)), (len(out), runs)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_long_resolved_lists_are_told_in_tiles(spark, monkeypatch, broadcast):
+    """Tasks are bounded, and near rows of the output repeat few accessions, however long the list is."""
+    monkeypatch.setattr(build, "PART_PAIRS", 100_000, raising=False)
+    if not broadcast:
+        monkeypatch.setattr(build, "BROADCAST_ACCESSIONS", 0, raising=False)
+    n, m = 500, 2000
+    rows = spark.range(n).select(F.lit("A>>B").alias("unmapped"), F.col("id").alias("rxn_idx"), F.lit("1.1").alias("ec_num"), F.lit("Org1").alias("organism"), F.lit("direct").alias("source"))
+    rows = rows.withColumns({"quality": F.lit(1.0), "natural": F.lit(True), "steps": F.lit("single"), "protein_db": F.lit("genbank"), "protein_refs": F.lit("[]"), "ord": F.col("rxn_idx")})
+    found = spark.createDataFrame([("1.1", "Org1", ";".join(f"P{i}" for i in range(m)), 0)], "ec_num string, organism string, accessions string, ord int")
+    monkeypatch.setattr(build, "PIECE_ROWS", 64, raising=False)
+    got = build.load_resolved(rows, found, True).select("rxn_idx", "pos", "uniprot_id", F.spark_partition_id().alias("part")).collect()
+    assert len(got) == n * m and {(r["rxn_idx"], r["pos"]) for r in got} == {(i, p) for i in range(n) for p in range(m)}
+    assert all(r["uniprot_id"] == f"P{r['pos']}" for r in got)
+    assert max(Counter(r["part"] for r in got).values()) <= (256_000 if broadcast else 750_000)
+    assert max(len({r["pos"] for r in got[i : i + 10_000]}) for i in range(0, n * m, 10_000)) <= 512
